@@ -50,6 +50,12 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def mix_parts(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """``mix`` with a seed for each number."""
+    with np.errstate(over="ignore"):
+        return mix(x + seeds.astype(np.uint64) * _ODD)
+
+
 def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ``values[start:end]``, all at once, from prefix sums."""
     with np.errstate(over="ignore"):
