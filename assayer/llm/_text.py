@@ -25,6 +25,9 @@ _LOWER += np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: All ASCII characters but letters and digits.
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
 
@@ -56,15 +59,25 @@ def mix_parts(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
         return mix(x + seeds.astype(np.uint64) * _ODD)
 
 
-def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``values[start:end]``, all at once, from prefix sums."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which ``hashes_from`` gets the hash of any segment of ``values``."""
     with np.errstate(over="ignore"):
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * _power(1, len(values)), out=sums[1:])
-        hashed = (sums[ends] - sums[starts]) * _power(-1, len(values) + 1)[starts]
+        return sums
+
+
+def hashes_from(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        hashed = (sums[ends] - sums[starts]) * _power(-1, len(sums))[starts]
         return mix(hashed + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ``values[start:end]``, all at once."""
+    return hashes_from(prefix_sums(values), starts, ends)
+
+
 def runs(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
@@ -85,11 +98,11 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the number of the first word of each row."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[raw]
+    word = ~between[raw]
     first = np.empty(len(raw), bool)
     first[0] = True
     first[1:] = ~word[:-1]
@@ -106,7 +119,11 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, A-Z as a-z."""
-    return segment_hashes(_LOWER[raw], starts, ends)
+    return segment_hashes(lower_values(raw), starts, ends)
+
+
+def lower_values(raw: np.ndarray) -> np.ndarray:
+    return _LOWER[raw]
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontam, merkle, minhash
+from assayer.llm import bpe, chat, decontam, lines, merkle, minhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.read_back(chat.format_paths(chat.chains(given)))
+    return read.select(F.when(F.col("tree") != "", F.col("tree").cast("long")).alias("conv_id"), *read.columns[1:])
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -22,6 +31,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.grades_of(_table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.remove_repeats(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
+    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
+    return out.select("doc_id", F.when(F.col("text").isNotNull(), F.col("n_lines")).alias("n_lines"), n_removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=5, percent=80)
 
@@ -32,8 +54,11 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_toxicity": op5_toxicity,
+        "op7_line_dedup": op7_line_dedup,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_merkle_fingerprint": op10_merkle_fingerprint,
     }
@@ -53,5 +78,30 @@ SELECT doc_id, item_id, n_item, n_shared FROM x JOIN n USING (item_id) WHERE 100
 """
 
 
+OP7 = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+     e AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM l),
+     w AS (SELECT doc_id, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, i) AS n FROM w
+           WHERE z IS NOT NULL AND trim(translate(x || y || z, chr(9) || chr(13), '  ')) <> ''),
+     gone AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r WHERE n > 1),
+     k AS (SELECT doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (gone.i IS NULL), '') AS t
+           FROM e LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(t) AS text_sha256 FROM k
+"""
+
+#: The digests of the contract straight from the rows; formatted_chars counts the template's marks and escapes.
+OP1 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     n AS (SELECT *, CAST(20 + length(regexp_replace(role, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]', '\\0#', 'g')) + length(regexp_replace(text, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]', '\\0#', 'g')) AS BIGINT) AS size FROM c)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": OP9}
+    return {"op1_chat_formatting": OP1, "op7_line_dedup": OP7, "op9_benchmark_decontamination": OP9}
