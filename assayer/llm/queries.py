@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, decontam, lines, merkle, minhash, pii, toxicity
+from assayer.llm import bpe, chat, decontam, lines, merkle, minhash, perplexity, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.when(F.col("text").isNotNull(), F.col("n_lines")).alias("n_lines"), n_removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op8_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return perplexity.judge(docs, _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=5, percent=80)
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op5_toxicity": op5_toxicity,
         "op7_line_dedup": op7_line_dedup,
+        "op8_quality_perplexity": op8_quality_perplexity,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_merkle_fingerprint": op10_merkle_fingerprint,
     }
