@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, decontam, lines, merkle, minhash, perplexity, pii, toxicity
+from assayer.llm import bpe, chat, decontam, lines, merkle, minhash, perplexity, pii, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.remove_repeats(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_dedup": op3_minhash_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_toxicity": op5_toxicity,
+        "op6_passage_dedup": op6_passage_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_perplexity": op8_quality_perplexity,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
