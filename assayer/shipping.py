@@ -10,8 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once for each Spark context."""
+    """Adds the package to the session's Python files, once for each Spark context.
+
+    Arrow batches are bounded by bytes as well, since texts may be very long, unless the session has a bound.
+    """
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.sparkContext.getConf().toDebugString():
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_assayer_shipped", False):
         return
