@@ -62,10 +62,14 @@ def one_line(field: Column) -> Column:
 
 def sealed(text: Column, key: Column) -> Column:
     """AES-GCM as ``v1.iv.tag.ciphertext`` in base64url."""
-    raw = F.aes_encrypt(text, key, F.lit("GCM"))
-    part = lambda a, n: base64url(F.substring(raw, a, n))
-    size = F.octet_length(raw)
-    return F.concat_ws(".", F.lit("v1"), part(1, 12), base64url(F.call_function("substring", raw, size - 15, F.lit(16))), base64url(F.call_function("substring", raw, F.lit(13), size - 28)))
+
+    def packed(raw: Column) -> Column:
+        size = F.octet_length(raw)
+        part = lambda at, n: base64url(F.call_function("substring", raw, at, n))
+        return F.concat_ws(".", F.lit("v1"), part(F.lit(1), F.lit(12)), part(size - 15, F.lit(16)), part(F.lit(13), size - 28))
+
+    # A lambda's variable holds one encryption; a repeated expression would draw a nonce each time.
+    return F.get(F.transform(F.array(F.aes_encrypt(text, key, F.lit("GCM"))), packed), F.lit(0))
 
 
 def opened(text: Column, key: Column) -> Column:
