@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm import _graph, _text
+from assayer.llm import _text
 
 MOST = 64
 _FIRST = (2, 4, 8, 16, 32)
@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-_PAIR = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_PAIR = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def _compare(doc_id: int | None, text: str, mark: str, after: str, next_mark: str) -> tuple:
@@ -146,59 +146,69 @@ def _compare(doc_id: int | None, text: str, mark: str, after: str, next_mark: st
     return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, changed, likeness(mark, changed), likeness(mark, next_mark)
 
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bounds(ids: DataFrame, parts: int) -> list[int]:
+    """The least id and about ``parts`` - 1 others that cut the ids in equal shares; a null id counts as the least."""
+    row = ids.agg(F.min("key"), F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()
+    return sorted({row[0], *(row[1] or [])}) if row[0] is not None else []
+
+
+def _part(key: Column, bounds: list[int]) -> Column:
+    """The number of the last bound not above the key, by way of every so many-th bound."""
+    step = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    long = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    group = F.size(F.filter(long([g[0] for g in groups]), lambda b: b <= key)) - 1
+    inner = F.size(F.filter(F.get(F.array(*[long(g) for g in groups]), group), lambda b: b <= key)) - 1
+    return group * step + inner
+
+
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Every text beside its edit: its last half replaced by as many of the next document's first characters.
 
-    The documents are parted by ranges of ids and sorted once; each task walks its range, holding
-    two documents.  The last of each range meets the first of the next in a small second step, which
-    sees two rows for each range.
+    Quantiles of the ids cut the documents in ranges; each document goes to its range once and
+    the first of each range to the range before it too, so each task walks whole ranges in
+    order, holds two documents at a time, and needs nothing of other tasks.
     """
     spark = docs.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("mark", pa.string())] + [(c.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]]) for c in _PAIR.split(", ")])
+    given = given.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    bounds = _bounds(given.select("key"), parts)
+    if not bounds:
+        return spark.createDataFrame(spark.sparkContext.emptyRDD(), _SPARK_PAIR)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        held = None
-        rows: list[tuple] = []
+        held, rows = None, []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PAIR)], schema=_PAIR)
             rows.clear()
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
+            for doc_id, text, part, guest in zip(*(batch.column(i) for i in range(4))):
+                doc_id, text, part, guest = doc_id.as_py(), text.as_py(), part.as_py(), guest.as_py()
+                if guest and held is None:
+                    continue
                 mark = fingerprint(text)
-                if held is None:
-                    rows.append((part, "first", text, mark, *[None] * 7))
-                else:
-                    rows.append((part, "pair", None, None, *_compare(*held, text, mark)))
-                held = doc_id, text, mark
-                if len(rows) >= 500:
+                if held is not None:
+                    rows.append(_compare(*held[:3], text, mark))
+                held = None if guest else (doc_id, text, mark)
+                if len(rows) >= 200:
                     yield out()
-        if held is not None:
-            rows.append((part, "last", held[1], held[2], held[0], *[None] * 6))
+        if rows:
             yield out()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_compare(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(list(schema)[4:])], schema=pa.schema(list(schema)[4:]))
-
-    walked = given.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, f"part int, kind string, text string, mark string, {_PAIR}")
-    walked = _graph.saved(walked)
-    pair = [c.split()[0] for c in _PAIR.split(", ")]
-    firsts = walked.where("kind = 'first'").select("part", F.col("text").alias("after"), F.col("mark").alias("next_mark"))
-    lasts = walked.where("kind = 'last'").select("part", "doc_id", "text", "mark")
-    # One row for each range of the shuffle, so this order over all of them is short.
-    turn = Window.orderBy("part")
-    numbers = firsts.select("part").withColumn("next", F.lead("part").over(turn))
-    least = firsts.agg(F.min("part").alias("least"))
-    numbers = numbers.join(least, F.lit(True)).select("part", F.coalesce("next", "least").alias("next"))
-    ends = lasts.join(numbers, "part").join(firsts.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "mark", "after", "next_mark")
-    return walked.where("kind = 'pair'").select(*pair).union(ends.mapInArrow(meet, _PAIR))
+    part = _part(F.col("key"), bounds)
+    given = given.withColumn("part", part)
+    given = given.withColumn("first", F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("part") + 1) == F.col("key"))
+    before = F.pmod(F.col("part") - 1, F.lit(len(bounds)))
+    host = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
+    copies = F.when(F.col("first"), F.array(host, F.struct(before.alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(host))
+    dealt = given.select("doc_id", "text", "key", F.explode(copies).alias("c")).select("doc_id", "text", "key", "c.part", "c.guest")
+    order = [F.col("part"), F.col("guest"), F.col("key"), F.xxhash64("text")]
+    walked = dealt.repartitionByRange("part").sortWithinPartitions(*order).select("doc_id", "text", "part", "guest")
+    return walked.mapInArrow(walk, _SPARK_PAIR)
+
+
+_SPARK_PAIR = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
