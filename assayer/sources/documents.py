@@ -76,3 +76,12 @@ TAXONOMY: dict[str, Any] = {
         {"type": "shouting", "severity": 1, "criteria": [{"id": "marks", "pattern": r"[a-z]+!! [a-z]+!! [a-z]+!!", "unless": []}]},
     ],
 }
+
+
+def read_signed(spark: SparkSession, path: str, signature_path: str, pinned_key_path: str) -> tuple[dict[str, Any], bool]:
+    """A document and whether its detached signature verifies with the pinned key (never with one inside it)."""
+    from assayer.functions import ed25519
+
+    raw = bytes(spark.read.format("binaryFile").load(path).first()["content"])
+    signature, pem = read_text(spark, signature_path).strip(), read_text(spark, pinned_key_path)
+    return json.loads(raw, object_pairs_hook=unique_members), ed25519.verify(ed25519.key_of(pem), raw, ed25519.signature_bytes(signature))

@@ -95,3 +95,35 @@ def test_only_one_record_of_the_version(spark):
     assert one(spark, wire.select_txt(rec(["v=b1; ", "e=x"], ["spf"]), "b1"))["entry_id"] == "x"
     assert one(spark, wire.select_txt(rec(["v=b1;e=x"], ["v=b1;e=y"]), "b1"))["reason"] == "more than one record of the version"
     assert one(spark, wire.select_txt(rec(["other"]), "b1"))["ok"] is False
+
+
+#: Test 2 of RFC 8032, section 7.1; fixed values.
+KEY = "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c"
+MESSAGE = "72"
+SIGNATURE = "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"
+
+
+def test_signatures(spark, tmp_path):
+    import base64
+
+    from assayer.functions import ed25519
+    from assayer.sources import documents
+
+    key, message, signature = map(bytes.fromhex, (KEY, MESSAGE, SIGNATURE))
+    assert ed25519.verify(key, message, signature)
+    assert not ed25519.verify(key, b"s", signature) and not ed25519.verify(key, message, signature[:63] + b"\x10") and not ed25519.verify(b"", message, signature)
+    pem = "-----BEGIN PUBLIC KEY-----\n" + base64.b64encode(ed25519._SPKI + key).decode() + "\n-----END PUBLIC KEY-----\n"
+    text = base64.urlsafe_b64encode(signature).decode().rstrip("=")
+    rows = spark.createDataFrame([(pem, "r", text), (pem, "x", text), ("no key", "r", text), (None, "r", text)], "pem string, m string, s string")
+    assert [r[0] for r in rows.select(ed25519.signature_valid(F.col("pem"), F.col("m"), F.col("s"))).collect()] == [True, False, False, False]
+    for name, body in (("d", '{"a": 1}'), ("s", text), ("k", pem)):
+        (tmp_path / name).write_text(body)
+    assert documents.read_signed(spark, str(tmp_path / "d"), str(tmp_path / "s"), str(tmp_path / "k")) == ({"a": 1}, False)
+
+
+def test_scripted_deltas_read_back(spark):
+    from assayer.operators import views
+
+    rows = spark.createDataFrame([("x", ' one\n"two"  é')], "exchange_id string, text string")
+    got = wire.accumulated(wire.whole_chunks(views.scripted_deltas(rows)), "chat-delta").first()
+    assert got["sealed_content"] == ' one\n"two"  é' and got["terminal_seal"] is None
