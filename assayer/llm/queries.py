@@ -29,7 +29,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80).drop("class_id")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, toxicity.grades_of(_table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("toxic"))
 
 
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,18 @@ SELECT doc_id, item_id, n_item, n_shared FROM x JOIN n USING (item_id) WHERE 100
 """
 
 
+OP3 = f"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+     l AS (SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * c >= 80 * (a.n + b.n - c)),
+     e AS (SELECT i, j FROM l UNION SELECT j, i FROM l),
+     r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.j, r.c FROM r JOIN e ON e.i = r.doc_id WHERE r.c < e.j),
+     m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
 OP7 = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
      e AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM l),
@@ -121,4 +133,9 @@ FROM n GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op7_line_dedup": OP7, "op9_benchmark_decontamination": OP9}
+    return {
+        "op1_chat_formatting": OP1,
+        "op3_minhash_dedup": OP3,
+        "op7_line_dedup": OP7,
+        "op9_benchmark_decontamination": OP9,
+    }
