@@ -11,7 +11,7 @@ whole shingle sets decide.
 Texts with equal sets form a class and only its least document is compared.  In a
 bucket of a band the least member is compared with the others; members that are
 still in another component than some member of the same bucket go on to the next
-round, with four times as many hubs, until no bucket holds two components.  So no
+round, with eight times as many hubs, until no bucket holds two components.  So no
 pair that shares a band is left unsettled, and members that are already connected
 are never compared with each other.
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from assayer.llm import _graph, _text
 
 BANDS, BAND_ROWS = 24, 4
+PARITY = 16
 
 
 def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
@@ -51,6 +52,18 @@ def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """Parities of the numbers of shingles that fall in each of ``words`` (a power of two) * 64 bits.
+
+    Two sets' parities differ in at most as many bits as the sets differ in shingles, so they bound
+    the similarity from above without error.
+    """
+    out = np.zeros(words, np.uint64)
+    at = _text.mix(shingles, 4)
+    np.bitwise_xor.at(out, (at >> np.uint64(6) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band; keys of different bands differ."""
     with np.errstate(over="ignore"):
@@ -61,20 +74,21 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys): size and 128-bit digest of the shingle set, band keys."""
+    """(doc_id, n_shingles, set_a, set_b, odd, keys): size, 128-bit digest and parities of the shingle set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, keys = [], [], [], []
+            n, a, b, odd, keys = [], [], [], [], []
             for _, own in _text.shingle_sets(batch.column(1), k):
                 n.append(len(own))
                 a.append(int(_text.mix(own, 1).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(_text.mix(own, 2).sum(dtype=np.uint64).view(np.int64)))
+                odd.append(parity(own))
                 keys.append(band_keys(sketch(own, bands * rows), bands, rows) if len(own) else own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _text.lists(keys, pa.int64())], ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _text.lists(odd, pa.int64()), _text.lists(keys, pa.int64())], ["doc_id", "n_shingles", "set_a", "set_b", "odd", "keys"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return given.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, odd array<long>, keys array<long>")
 
 
 def shingle_table(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +112,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both.cast("long") >= percent * all_.cast("long")).select("a", "b").distinct()
 
 
-def _candidates(held: DataFrame, done: int, hubs: int, percent: int) -> DataFrame:
+def _candidates(held: DataFrame, done: int, hubs: int, percent: int, words: int) -> DataFrame:
     """Pairs of the hubs numbered ``done`` + 1 to ``hubs`` of each bucket with its later members.
 
     The rank filter is applied before the shuffle too, so a bucket of any size sends few rows to
@@ -106,11 +120,38 @@ def _candidates(held: DataFrame, done: int, hubs: int, percent: int) -> DataFram
     """
     order = Window.partitionBy("key").orderBy("class_id", "n_shingles")
     hub = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs).where(F.col("rank") > done)
-    hub = hub.select("key", F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("component_a"))
-    near = (F.col("n_a") * percent <= F.col("n_shingles") * 100) & (F.col("n_shingles") * percent <= F.col("n_a") * 100)
+    hub = hub.select("key", F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("component_a"), F.col("odd").alias("odd_a"))
+    apart = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("odd_a", F.lit(i)))) for i in range(words)), F.lit(0))
+    # Similar sets differ in few shingles, so their parities in few bits: an exact bound that spares most comparisons.
+    near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_shingles")) * (100 - percent)
+    near &= (F.col("n_a") * percent <= F.col("n_shingles") * 100) & (F.col("n_shingles") * percent <= F.col("n_a") * 100)
     return held.join(hub, "key").where(near & (F.col("class_id") > F.col("a")) & (F.col("component") != F.col("component_a"))).select("a", F.col("class_id").alias("b")).distinct()
 
 
+def connect(member: DataFrame, sets: DataFrame, percent: int, words: int = PARITY) -> DataFrame | None:
+    """Components over verified links of the members of shared buckets, as ``_graph.components`` gives them.
+
+    ``member`` (key, class_id, n_shingles, odd, size) has the buckets of more than one member and their sizes, ``sets``
+    (doc_id, shingles) the whole set of each class_id.  None if no two members are linked.
+    """
+    links, group, done, hubs = None, None, 0, 1
+    while True:
+        held = member.withColumn("component", F.col("class_id"))
+        if group is not None:
+            held = member.join(group, member.class_id == group.node, "left").withColumn("component", F.coalesce("component", "class_id"))
+        unsettled = held.where(F.col("size") > done + 1).groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        unsettled = _graph.checkpoint(unsettled)
+        if _graph.is_empty(unsettled):
+            break
+        pairs = _graph.checkpoint(_candidates(held.join(unsettled, "key"), done, hubs, percent, words))
+        found = _graph.checkpoint(verified(pairs, sets, percent))
+        if not _graph.is_empty(found):
+            links = found if group is None else group.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)
+            group = _graph.components(links)
+        done, hubs = hubs, hubs * 8
+    return group
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) of every row of ``docs``.
 
@@ -121,30 +162,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     same = ["set_a", "set_b", "n_shingles"]
     base = _graph.saved(sketches(docs, k, bands, rows, id_col, text_col))
     known = base.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"))
+    classes = known.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.first("odd").alias("odd"), F.first("keys").alias("keys"))
     classes = _graph.saved(classes)
     member = classes.select("class_id", "n_shingles", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    member = _graph.saved(member.join(shared, "key"))
+    member = member.join(shared, "key").join(classes.select("class_id", "n_shingles", "odd"), ["class_id", "n_shingles"])
+    member = _graph.saved(member)
 
     inside = _graph.saved(member.select(F.col("class_id").alias("doc_id")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = _graph.saved(shingle_table(texts.join(_graph.small(inside), "doc_id", "left_semi"), k).where(F.size("shingles") > 0).distinct())
 
-    links, group, done, hubs = None, None, 0, 1
-    while True:
-        held = member.withColumn("component", F.col("class_id"))
-        if group is not None:
-            held = member.join(group, member.class_id == group.node, "left").withColumn("component", F.coalesce("component", "class_id"))
-        unsettled = held.where(F.col("size") > done + 1).groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-        unsettled = _graph.checkpoint(unsettled)
-        if _graph.is_empty(unsettled):
-            break
-        pairs = _graph.checkpoint(_candidates(held.join(unsettled, "key"), done, hubs, percent))
-        found = verified(pairs, sets, percent)
-        links = _graph.checkpoint(found if links is None else links.union(found))
-        group = _graph.components(links)
-        done, hubs = hubs, hubs * 4
+    group = connect(member, sets, percent)
 
     out = base.join(classes.select(*same, "class_id"), same, "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id")))
@@ -153,7 +182,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     repeated = known.groupBy("doc_id").agg(F.min("set_a").alias("one"), F.max("set_a").alias("other")).where("one <> other")
     if not _graph.is_empty(repeated):
         own = out.where("doc_id is not null").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-        group = _graph.components(links.union(own))
+        group = _graph.components(group.select(F.col("component").alias("a"), F.col("node").alias("b")).union(own))
     out = out.join(group, out.class_id == group.node, "left")
     component = F.coalesce("component", "class_id")
     return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -34,6 +34,7 @@ LEAST = 20
 RUN = 15
 REACH = 5
 SHORTEST = 6
+PARITY = 8
 
 
 def tuned_bands(percent: int, miss: float = 1e-4) -> int:
@@ -113,7 +114,7 @@ def units(docs: DataFrame, bands: int, id_col: str = "doc_id", text_col: str = "
 
 
 def _paragraph_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, shingles): the whole shingle set of each wanted paragraph (doc, mark, first, size, class_id)."""
+    """(doc_id, odd, shingles): parities and whole shingle set of each wanted paragraph (doc, mark, first, size, class_id)."""
     lists = wanted.groupBy(F.col("doc").alias("d"), F.col("mark").alias("m")).agg(F.collect_list(F.struct("first", "size", "class_id")).alias("wanted"))
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     given = given.join(_graph.small(_graph.saved(lists), 200_000), F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("text", "wanted")
@@ -130,9 +131,10 @@ def _paragraph_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
                         at = rows[r] + w["first"]
                         ids.append(w["class_id"])
                         sets.append(np.unique(_text.shingle_hashes(words[at : at + w["size"]], np.array([0, w["size"]]), SHINGLE)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _text.lists(sets, pa.int64())], ["doc_id", "shingles"])
+            odd = [minhash.parity(own, PARITY) for own in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _text.lists(odd, pa.int64()), _text.lists(sets, pa.int64())], ["doc_id", "odd", "shingles"])
 
-    return given.mapInArrow(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    return given.mapInArrow(run, "doc_id long, odd array<long>, shingles array<long>").dropDuplicates(["doc_id"])
 
 
 def occurrences(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,9 +158,9 @@ def occurrences(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     wanted = paragraphs.select("doc", "mark", "first", "size", place.alias("place"), F.col("one").alias("class_id")).join(inside, ["class_id", "place"])
     sets = _graph.saved(_paragraph_sets(docs, wanted, id_col, text_col))
     # The number of shingles as a set, for the comparison of sizes.
-    sizes = sets.select(F.col("doc_id").alias("class_id"), F.size("shingles").cast("long").alias("n_shingles"))
+    sizes = sets.select(F.col("doc_id").alias("class_id"), F.size("shingles").cast("long").alias("n_shingles"), "odd")
     member = _graph.saved(member.select("key", "class_id", "size").join(sizes, "class_id"))
-    group = minhash.connect(member, sets, percent)
+    group = minhash.connect(member, sets, percent, PARITY)
 
     all_ = classes.select("one", "two", F.col("one").alias("cluster"))
     if group is not None:
