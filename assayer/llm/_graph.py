@@ -39,6 +39,10 @@ def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+#: Edges of two numbers each (some 6 MB in all) that one task takes without any shuffle.
+ONE_TASK = 200_000
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
@@ -48,22 +52,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: every step replaces links by links
     to a least neighbour, so the table never grows beyond the number of links, and a
-    group of any size is spread by its members, never gathered in one task.
+    group of any size is spread by its members.  Only a table of ``ONE_TASK`` links at most is left to one task,
+    as the files of a shuffle would be larger than it is.
     """
 
     def star(edges: DataFrame, pick: Column) -> DataFrame:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = together(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         new = both.where(pick).join(least, "a").select(F.col("m").alias("a"), "b")
         own = least.where("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        return new.union(own).where("a <> b").distinct()
+        return together(new.union(own)).where("a <> b").distinct()
 
     def settled(edges: DataFrame) -> bool:
         """Whether every node is either the least of its component or linked to that alone."""
-        nodes = edges.select("b").union(edges.select("a").distinct())
+        nodes = together(edges.select("b").union(together(edges.select("a")).distinct()))
         return is_empty(nodes.groupBy("b").count().where("count > 1"))
 
     edges = checkpoint(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    few = edges.count() <= ONE_TASK
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
     for _ in range(rounds):
         if settled(edges):
             break

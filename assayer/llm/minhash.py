@@ -11,7 +11,7 @@ whole shingle sets decide.
 Texts with equal sets form a class and only its least document is compared.  In a
 bucket of a band the least member is compared with the others; members that are
 still in another component than some member of the same bucket go on to the next
-round, with eight times as many hubs, until no bucket holds two components.  So no
+round, with ``STEP`` times as many hubs, until no bucket holds two components.  So no
 pair that shares a band is left unsettled, and members that are already connected
 are never compared with each other.
 
@@ -34,6 +34,7 @@ from assayer.llm import _graph, _text
 
 BANDS, BAND_ROWS = 24, 4
 PARITY = 16
+STEP = 32
 
 
 def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
@@ -105,11 +106,13 @@ def shingle_table(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough."""
+    """The pairs (a, b) of a saved table whose whole shingle sets are similar enough."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    # Of the sets, only those of some pair move.
+    right = right.join(_graph.small(pairs.select("b").distinct()), "b", "left_semi")
     both = F.size(F.array_intersect("of_a", "of_b"))
     all_ = F.size("of_a") + F.size("of_b") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both.cast("long") >= percent * all_.cast("long")).select("a", "b").distinct()
+    return left.join(_graph.small(pairs), "a").join(right, "b").where(100 * both.cast("long") >= percent * all_.cast("long")).select("a", "b").distinct()
 
 
 def _candidates(held: DataFrame, done: int, hubs: int, percent: int, words: int) -> DataFrame:
@@ -134,7 +137,7 @@ def connect(member: DataFrame, sets: DataFrame, percent: int, words: int = PARIT
     ``member`` (key, class_id, n_shingles, odd, size) has the buckets of more than one member and their sizes, ``sets``
     (doc_id, shingles) the whole set of each class_id.  None if no two members are linked.
     """
-    links, group, done, hubs = None, None, 0, 1
+    group, done, hubs = None, 0, 1
     while True:
         held = member.withColumn("component", F.col("class_id"))
         if group is not None:
@@ -144,11 +147,11 @@ def connect(member: DataFrame, sets: DataFrame, percent: int, words: int = PARIT
         if _graph.is_empty(unsettled):
             break
         pairs = _graph.checkpoint(_candidates(held.join(unsettled, "key"), done, hubs, percent, words))
-        found = _graph.checkpoint(verified(pairs, sets, percent))
+        found = pairs if _graph.is_empty(pairs) else _graph.checkpoint(verified(pairs, sets, percent))
         if not _graph.is_empty(found):
             links = found if group is None else group.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)
             group = _graph.components(links)
-        done, hubs = hubs, hubs * 8
+        done, hubs = hubs, hubs * STEP
     return group
 
 
