@@ -82,6 +82,41 @@ def test_pii_terms(spark):
     assert got[1000]["sanitised"] == "[TERM] likes [EMAIL] common words"
 
 
+def test_pii_terms_of_unique_entities(spark):
+    """On whole tables, where nearly every entity stands in one text, the smoothed shares are replayed."""
+    tables = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    entities, kinds, words = defaultdict(set), defaultdict(set), {}
+    for t in set(tables["text"]):
+        words[t] = set(re.findall(r"[^\W\d_]{3,}", re.sub(pii.PLAIN["email"], " ", t.lower())))
+        for kind, s, e in (x.split(":") for x in base(t)):
+            value = t[int(s) : int(e)]
+            entities[kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()].add(t)
+            kinds[kind].add(t)
+    stands = defaultdict(int)
+    for w in words.values():
+        for x in w:
+            stands[x] += 1
+    want = defaultdict(set)
+    for (kind, _), at in entities.items():
+        if len(at) == 1:
+            (t,) = at
+            for w in words[t]:
+                backed = sum(w in words[o] for o in kinds[kind] - at) / max(1, len(kinds[kind] - at))
+                p = (1 + pii.BACKING * backed) / (1 + pii.BACKING)
+                if stands[w] <= 20 and math.log(len(words) * p / stands[w]) / math.log(len(words)) >= pii.DISCLOSURE:
+                    want[t].add(w)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    found = defaultdict(set)
+    for i, t in zip(tables["doc_id"], tables["text"]):
+        for kind, s, e in (x.split(":") for x in got[i].split(",") if x):
+            if kind == "term":
+                found[t].add(t[int(s) : int(e)].lower())
+    assert len(want) > 20 and all(want[t] <= found[t] for t in want) and set(found) <= {t for at in kinds.values() for t in at}
+    shared = {t for at in entities.values() if len(at) > 1 for t in at}
+    assert all(found[t] == want[t] for t in want if t not in shared)
+
+
 def test_bpe_is_the_library(spark, texts):
     enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     got = {r["doc_id"]: r for r in queries.op4_byte_bpe(spark, DATA).collect()}
