@@ -6,7 +6,9 @@ four); a document of a part is sketched by one permutation whose number of bins
 eight times its size, and every item is sketched once for each part with that part's bins.
 A shared shingle that is the least of its bin on both sides is a hit; with this load a
 shared shingle survives on the document's side with a chance of about four in five, so an
-item of 11 shingles escapes in fewer than one of 10^5 cases.  Pairs with a hit are verified
+item of 12 shingles escapes in fewer than one of 10^5 cases.  An item of fewer than ``SHORT``
+shingles is not sketched: each of its shingles is a key, and so is each shingle of a document that
+may be such an item's, so none escapes.  Pairs with a hit are verified
 by exact containment of the item's shingle set in the document's whole set.
 
 A fixed-size bitmap of the item sketches (at most 2^27 bits, whatever the number of items)
@@ -31,6 +33,8 @@ from assayer.llm import _graph, _text
 
 PARTS = range(0, 26, 2)
 LEAST_BITS, MOST_BITS = 20, 27
+#: Items of fewer shingles are looked for by each of them; the seed of these keys is no part's.
+SHORT, WHOLE = 12, 99
 
 
 def _part(n: np.ndarray) -> np.ndarray:
@@ -48,19 +52,22 @@ def _least_of_bins(shingles: np.ndarray, bins: np.ndarray, bases: np.ndarray, to
 
 
 def item_table(items: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, shingles, keys): the item's shingle set and its sketch values for all parts."""
+    """(item_id, shingles, keys): the item's shingle set and its keys (of a long item: its sketch values for all parts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, keys = [], []
             for _, own in _text.shingle_sets(batch.column(1), k):
                 sets.append(own)
+                if len(own) < SHORT:
+                    keys.append(_text.mix(own, WHOLE))
+                    continue
                 found = []
                 for p in PARTS:
                     bins = np.full(len(own), 2 << p, np.int64)
                     least = _least_of_bins(own, bins, np.zeros(len(own), np.int64), 2 << p) if 4 * len(own) > 1 << p else np.ones(len(own), bool)
                     found.append(_text.mix(own[least], 100 + p))
-                keys.append(np.concatenate(found) if len(own) else own)
+                keys.append(np.concatenate(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), _text.lists(sets, pa.int64()), _text.lists(keys, pa.int64())], ["item_id", "shingles", "keys"])
 
     given = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
@@ -84,7 +91,7 @@ def _in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _hits(docs: DataFrame, k: int, sketch_map, set_map) -> DataFrame:
-    """(doc_id, keys, shingles): sketch values and shingles that may be an item's, of documents with any such sketch value."""
+    """(doc_id, keys, shingles): keys and shingles that may be an item's, of documents with any such key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_sketch, of_set = sketch_map.value, set_map.value
@@ -106,11 +113,14 @@ def _hits(docs: DataFrame, k: int, sketch_map, set_map) -> DataFrame:
                 least = _least_of_bins(shingles, bins[doc], first[doc], int(bins.sum()))
                 keys = _text.mix_parts(shingles[least], 100 + part[doc[least]])
                 hit = _in(of_sketch, keys)
-                if not hit.any():
-                    continue
                 keys, at = keys[hit], doc[least][hit]
                 maybe = _in(of_set, shingles)
                 shingles, doc = shingles[maybe], doc[maybe]
+                whole = _text.mix(shingles, WHOLE)
+                short = _in(of_sketch, whole)
+                keys, at = np.concatenate((keys, whole[short])), np.concatenate((at, doc[short]))
+                if not len(keys):
+                    continue
                 found = np.unique(at)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a).take(pa.array(found)), _text.lists([np.unique(keys[at == d]) for d in found], pa.int64()), _text.lists([np.unique(shingles[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]) for d in found], pa.int64())],

@@ -168,6 +168,14 @@ def test_decontam(spark):
     assert decontam.drop_contaminated(odd(spark), items).columns == odd(spark).columns and decontam.drop_contaminated(docs, items).count() == 3
 
 
+def test_short_items_are_all_found(spark):
+    """Items of 5 to 16 words (1 to 12 shingles), each in a long document of its own."""
+    short = [(n * 1000 + i, " ".join(f"s{n}x{i}x{j}" for j in range(n))) for n in (5, 6, 7, 8, 15, 16) for i in range(60)]
+    items = spark.createDataFrame(short, "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"f{i}x{j}" for j in range(40 + i % 97)) + f" {t} " + " ".join(f"g{i}x{j}" for j in range(30))) for i, t in short], "doc_id long, text string")
+    assert sorted(map(tuple, decontam.contained_items(docs, items).collect())) == [(i, i, i // 1000 - 4, i // 1000 - 4) for i, _ in short]
+
+
 def test_merkle(spark):
     got = merkle.edited_pairs(odd(spark), parts=3).collect()
     assert len(got) == 11
