@@ -1,7 +1,7 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model (operator 8).
 
 The model is one of characters, five in a row: its n-grams cover any script and word form and
-stay few beside the text.  All trusted documents but those held out for the thresholds are
+stay few beside the text.  All trusted documents are
 counted, each task adding up its own n-grams before the shuffle.  Lower orders count the
 different left neighbours of an n-gram; three discounts for each order come from the numbers of
 n-grams seen once to four times; probabilities and back-off weights are joins of the count
@@ -12,11 +12,12 @@ rows (12 bytes each) it goes to all tasks; a larger one stays sharded: documents
 dealt to blocks, each block asks for its distinct n-grams by one join and gets the answers
 back beside its texts.
 
-A document is kept if its perplexity is at most the ``quantile`` of the held-out trusted documents of
-its language (of all of them, where its language has fewer than ``FEWEST``).
+A document is kept if its perplexity is at most the ``quantile`` of the trusted documents of its language
+(of all of them, where its language has fewer than 1 / (1 - ``quantile``), of which that quantile is the
+greatest).  For this the trusted documents are parted in ``FOLDS`` and each part is scored by a model of the others.
 
 Rows: a null or empty text has no perplexity and isn't kept; a null language is one of its own; labels
-without a document and null ids are not used; without held-out trusted documents nothing is judged and all but
+without a document and null ids are not used; without trusted documents in two parts nothing is judged and all but
 empty texts are kept; repeated rows are scored each and counted each.  Other columns are not looked at.
 """
 
@@ -33,8 +34,7 @@ from assayer.llm import _graph, _text
 
 ORDER = 5
 MOST = 8_000_000
-FEWEST = 20
-HELD_OUT = 10
+FOLDS = 2
 _START = 2
 _FLUSH = 500_000
 _BLOCK = 1 << 24
@@ -259,14 +259,22 @@ def score(docs: DataFrame, model: DataFrame, most: int = MOST, id_col: str = "do
 def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, most: int = MOST) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every row; ``trusted`` has the ids of trusted documents."""
     ids = _graph.saved(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    fitting = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_graph.small(_graph.saved(ids.where(~held))), "doc_id", "left_semi")
-    model = _graph.saved(build(count_ngrams(fitting)))
-    scored = _graph.saved(score(docs, model, most))
-    known = scored.join(_graph.small(_graph.saved(ids.where(held))), "doc_id", "left_semi").where("perplexity is not null")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
+
+    def of(part: DataFrame) -> DataFrame:
+        return given.join(_graph.small(_graph.saved(part)), "doc_id", "left_semi")
+
+    scored = _graph.saved(score(docs, _graph.saved(build(count_ngrams(of(ids)))), most))
+    known = scored.limit(0)
+    for i in range(FOLDS):
+        if not _graph.is_empty(ids.where(fold == i)) and not _graph.is_empty(ids.where(fold != i)):
+            model = _graph.saved(build(count_ngrams(of(ids.where(fold != i)))))
+            known = known.union(score(of(ids.where(fold == i)), model, most))
+    known = _graph.saved(known.where("perplexity is not null"))
     at = F.percentile_approx("perplexity", quantile, 10_000)
     general = known.agg(at.alias("general"))
-    own = known.groupBy(F.col("lang").alias("language")).agg(at.alias("own"), F.count("*").alias("n")).where(F.col("n") >= FEWEST)
+    own = known.groupBy(F.col("lang").alias("language")).agg(at.alias("own"), F.count("*").alias("n")).where(F.col("n") * (1 - quantile) >= 1 - 1e-9)
     out = scored.join(F.broadcast(general), F.lit(True)).join(own, F.col("lang").eqNullSafe(F.col("language")), "left")
     threshold = F.coalesce("own", "general")
     kept = F.when(F.col("perplexity").isNull(), False).otherwise(F.coalesce(F.col("perplexity") <= threshold, F.lit(True)))
