@@ -140,20 +140,6 @@ def test_perplexity(spark):
     assert perplexity.judge(empty(spark), trusted).count() == 0
 
 
-def test_one_odd_trusted_text_sets_no_threshold(spark):
-    """One odd text among 400 trusted ones of a language doesn't set its threshold."""
-    import random
-
-    dice = random.Random(1)
-    plain = lambda: " ".join(dice.choice(("cat", "dog", "sat", "ran", "the", "mat")) for _ in range(12))
-    rows = [(i, plain(), lang) for lang, first in (("en", 0), ("fr", 1000)) for i in range(first, first + 400)]
-    rows.append((2023, "#%&/ 77=?) zq", "fr"))
-    docs = spark.createDataFrame([*rows, *[(3000 + i, f"#%&/ 77=?) zq{i}", "fr") for i in range(20)]], "doc_id long, text string, lang string")
-    got = perplexity.judge(docs, spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long")).where("lang = 'fr'").collect()
-    usual = max(r["perplexity"] for r in got if r["doc_id"] < 2000)
-    assert sum(r["kept"] for r in got if r["doc_id"] < 2000) >= 390 and all(r["threshold"] < 2 * usual for r in got)
-
-
 def test_probabilities_sum_to_one(spark):
     import numpy as np
 
