@@ -8,15 +8,15 @@ A shared shingle that is the least of its bin on both sides is a hit; with this
 shared shingle survives on the document's side with a chance of about four in five, so an
 item of 12 shingles escapes in fewer than one of 10^5 cases.  An item of fewer than ``SHORT``
 shingles is not sketched: each of its shingles is a key, and so is each shingle of a document that
-may be such an item's, so none escapes.  Pairs with a hit are verified
+may be such an item's, so none escapes.  An item of fewer words than a shingle has is its whole sequence of
+words, looked for in every document of as many words or more.  Pairs with a hit are verified
 by exact containment of the item's shingle set in the document's whole set.
 
 A fixed-size bitmap of the item sketches (at most 2^27 bits, whatever the number of items)
 goes to all executors, so only sketch values that may be an item's leave the scan, and with
 them the document's shingles that may be an item's.
 
-Rows: null and blank texts, texts or items of fewer words than a shingle has and rows
-without an id are never reported; rows that share an id count as texts of one document
+Rows: null and blank texts and rows without an id are never reported; rows that share an id count as texts of one document
 (or item) and the best one counts.  Other columns are not looked at.
 """
 
@@ -52,7 +52,8 @@ def _least_of_bins(shingles: np.ndarray, bins: np.ndarray, bases: np.ndarray, to
 
 
 def item_table(items: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, shingles, keys): the item's shingle set and its keys (of a long item: its sketch values for all parts)."""
+    """(item_id, n_words, shingles, keys): the item's shingle set and its keys (of a long item: its sketch values for all parts);
+    n_words counts to ``k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,11 +69,12 @@ def item_table(items: DataFrame, k: int, id_col: str = "item_id", text_col: str
                     least = _least_of_bins(own, bins, np.zeros(len(own), np.int64), 2 << p) if 4 * len(own) > 1 << p else np.ones(len(own), bool)
                     found.append(_text.mix(own[least], 100 + p))
                 keys.append(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _text.lists(sets, pa.int64()), _text.lists(keys, pa.int64())], ["item_id", "shingles", "keys"])
+            raw, offsets = _text.buffer_of(batch.column(1))
+            n_words = np.minimum(np.diff(_text.word_bounds(raw, offsets)[2]), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), _text.lists(sets, pa.int64()), _text.lists(keys, pa.int64())], ["item_id", "n_words", "shingles", "keys"])
 
     given = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
-    words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
-    return given.where(words >= k).mapInArrow(run, "item_id long, shingles array<long>, keys array<long>")
+    return given.mapInArrow(run, "item_id long, n_words long, shingles array<long>, keys array<long>").where("n_words > 0")
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -90,8 +92,9 @@ def _in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _hits(docs: DataFrame, k: int, sketch_map, set_map) -> DataFrame:
-    """(doc_id, keys, shingles): keys and shingles that may be an item's, of documents with any such key."""
+def _hits(docs: DataFrame, k: int, sketch_map, set_map, fewer: list[int]) -> DataFrame:
+    """(doc_id, keys, shingles): keys and shingles that may be an item's, of documents with any such key;
+    ``fewer`` has the lengths of the items of less than ``k`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_sketch, of_set = sketch_map.value, set_map.value
@@ -101,7 +104,8 @@ def _hits(docs: DataFrame, k: int, sketch_map, set_map) -> DataFrame:
                 raw, offsets = _text.buffer_of(texts.slice(a, b - a))
                 starts, ends, rows = _text.word_bounds(raw, offsets)
                 long_enough = np.diff(rows) >= k
-                shingles, begins = _text.shingle_hashes(_text.word_hashes(raw, starts, ends), rows, k)
+                words = _text.word_hashes(raw, starts, ends)
+                shingles, begins = _text.shingle_hashes(words, rows, k)
                 n = np.where(long_enough, np.diff(begins), 0)
                 part = _part(n)
                 bins = np.where(n > 0, 2 << part, 0)
@@ -119,6 +123,15 @@ def _hits(docs: DataFrame, k: int, sketch_map, set_map) -> DataFrame:
                 whole = _text.mix(shingles, WHOLE)
                 short = _in(of_sketch, whole)
                 keys, at = np.concatenate((keys, whole[short])), np.concatenate((at, doc[short]))
+                for length in fewer:
+                    runs, begins = _text.shingle_hashes(words, rows, length)
+                    owner = np.repeat(np.arange(b - a), np.diff(begins))
+                    held = _in(of_set, runs) & (np.diff(rows)[owner] >= length)
+                    runs, owner = runs[held], owner[held]
+                    shingles, doc = np.concatenate((shingles, runs)), np.concatenate((doc, owner))
+                    keys, at = np.concatenate((keys, _text.mix(runs, WHOLE))), np.concatenate((at, owner))
+                order = np.argsort(doc, kind="stable")
+                shingles, doc = shingles[order], doc[order]
                 if not len(keys):
                     continue
                 found = np.unique(at)
@@ -132,7 +145,7 @@ def _hits(docs: DataFrame, k: int, sketch_map, set_map) -> DataFrame:
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item, n_shared) of every item of which at least ``percent`` per cent
-    of the ``k``-word shingles are in the document."""
+    of the ``k``-word shingles are in the document; an item of fewer words has one, itself."""
     spark = docs.sparkSession
     table = _graph.saved(item_table(items, k, item_col, item_text_col))
     keys = table.select("item_id", F.explode("keys").alias("key")).distinct()
@@ -141,7 +154,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     sketch_map = spark.sparkContext.broadcast(bitmap(keys.select("key"), bits))
     set_map = spark.sparkContext.broadcast(bitmap(table.select(F.explode("shingles").alias("h")), bits))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    hits = _graph.saved(_hits(given, k, sketch_map, set_map))
+    fewer = sorted(r["n_words"] for r in table.where(F.col("n_words") < k).select("n_words").distinct().collect())
+    hits = _graph.saved(_hits(given, k, sketch_map, set_map, fewer))
     pairs = hits.select("doc_id", F.explode("keys").alias("key")).join(keys, "key").select("doc_id", "item_id").distinct()
     both = pairs.join(table.select("item_id", F.col("shingles").alias("of_item")), "item_id").join(hits.select("doc_id", "shingles"), "doc_id")
     shared = F.size(F.array_intersect("of_item", "shingles")).cast("long")

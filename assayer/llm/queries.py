@@ -43,7 +43,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(_table(spark, sf_dir, "documents")).drop("mark")
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"), run=15).drop("mark")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,11 @@ WORDS = r"list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRST
 OP9 = f"""
 WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
      b AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-     ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d),
-     bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b),
+     k AS (SELECT DISTINCT least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+     ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM d, k),
+     bs AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i+least(5, len(w))-1], ' '))) AS s FROM b WHERE len(w) > 0),
      n AS (SELECT item_id, CAST(count(*) AS BIGINT) AS n_item FROM bs GROUP BY item_id),
-     x AS (SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+     x AS (SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_item, n_shared FROM x JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
 
