@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file (operator 4).
 
-Long texts are cut before encoding at places where a blank or newline follows a letter or
-digit: every alternative of the splitting pattern ends there, so the pieces encode to the
-same ids as the whole.  A text without such a place is encoded whole.  Ids are decoded to
-bytes, never through a character decoder, so token boundaries inside a character do no harm.
+Long texts are cut before encoding where white space follows another character: every
+alternative of the splitting pattern ends there, so the pieces encode to the same ids as the whole.
+A long run of white space is one match but for its last character (or whole, at the end of a text); the library's
+pattern engine would run out of stack on it, so it is found here and goes to the library as one match.
+Ids are decoded to bytes, never through a character decoder, so token boundaries inside a character do no harm.
 
 Rows: a null text is an empty one (no ids, no bytes); every row gives a row, repeated ids
 and null ids as well.  Other columns are not looked at.
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from assayer.llm import _text
 
 PIECE = 1 << 16
-_NEXT_BREAK = re.compile(r"[ \n]")
+#: White space as the splitting pattern has it (the Unicode property), a fixed value.
+_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_NEXT_BREAK = re.compile(f"(?<=[^{_BLANK}])[{_BLANK}]")
+_LONG_BLANK = re.compile(f"[{_BLANK}]{{1000,}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -40,24 +44,28 @@ def _decimals(size: int) -> list[str]:
     return [str(i) for i in range(size)]
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """``text`` in pieces of about ``size`` characters, cut only where the pattern cuts too."""
+def pieces(text: str, size: int = PIECE) -> Iterator[tuple[str, bool]]:
+    """``text`` in pieces of about ``size`` characters, cut only where the pattern cuts too, and whether each is one match."""
     begin = 0
-    while len(text) - begin > size:
-        at = begin + size
-        while (found := _NEXT_BREAK.search(text, at)) and not text[found.start() - 1].isalnum():
-            at = found.start() + 1
-        if not found:
-            break
-        yield text[begin : found.start()]
+    for blank in _LONG_BLANK.finditer(text):
+        yield from _parts(text[begin : blank.start()], size)
+        begin = blank.end() if blank.end() == len(text) else blank.end() - 1
+        yield text[blank.start() : begin], True
+    yield from _parts(text[begin:], size)
+
+
+def _parts(text: str, size: int) -> Iterator[tuple[str, bool]]:
+    begin = 0
+    while len(text) - begin > size and (found := _NEXT_BREAK.search(text, begin + size)):
+        yield text[begin : found.start()], False
         begin = found.start()
-    yield text[begin:]
+    yield text[begin:], False
 
 
 def encode_text(enc: tiktoken.Encoding, text: str, size: int = PIECE) -> list[int]:
-    if len(text) <= size:
+    if len(text) < 1000:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
+    return [i for piece, one in pieces(text, size) for i in (enc._encode_single_piece(piece) if one else enc.encode_ordinary(piece))]
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
