@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,13 +9,20 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir or set on the Spark context.
+
+    Without one an error is raised: a folder of the driver's machine would be another one on each executor.
+    """
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or (known.get() if known.isDefined() else None)
     if not folder:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="assayer-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # Driver and executor are one process here: the warehouse is as good as shared.
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_assayer"
+    if not known.isDefined():
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -30,7 +36,16 @@ def saved(df: DataFrame) -> DataFrame:
     """Writes a large table as Parquet (compressed, read by column) to the shared folder."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes saved tables whose readers have all been saved themselves."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._saved_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -39,6 +54,12 @@ def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def small_lists(rows: DataFrame, lists: str, most: int = 2_000_000) -> DataFrame:
+    """A saved table with a column of lists, marked for broadcast if it has at most ``most`` values in all (some 16 MB)."""
+    values = rows.agg(F.coalesce(F.sum(F.size(lists) + 4), F.lit(0))).first()[0]
+    return F.broadcast(rows) if values <= most else rows
+
+
 #: Edges of two numbers each (some 6 MB in all) that one task takes without any shuffle.
 ONE_TASK = 200_000
 

@@ -9,9 +9,9 @@ like that of ``t`` independent minima.  Bands of coordinates propose pairs and t
 whole shingle sets decide.
 
 Texts with equal sets form a class and only its least document is compared.  In a
-bucket of a band the least member is compared with the others; members that are
-still in another component than some member of the same bucket go on to the next
-round, with ``STEP`` times as many hubs, until no bucket holds two components.  So no
+bucket of a band the least member is compared with the others; buckets that still hold
+two components go on to the next round, with ``STEP`` times as many hubs, picked by a hash and
+so without ranking a bucket in one task, until no bucket is left or all members were hubs.  So no
 pair that shares a band is left unsettled, and members that are already connected
 are never compared with each other.
 
@@ -109,26 +109,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of a saved table whose whole shingle sets are similar enough."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     # Of the sets, only those of some pair move.
-    right = right.join(_graph.small(pairs.select("b").distinct()), "b", "left_semi")
+    right = right.join(_graph.small(_graph.checkpoint(pairs.select("b").distinct())), "b", "left_semi")
     both = F.size(F.array_intersect("of_a", "of_b"))
     all_ = F.size("of_a") + F.size("of_b") - both
     return left.join(_graph.small(pairs), "a").join(right, "b").where(100 * both.cast("long") >= percent * all_.cast("long")).select("a", "b").distinct()
 
 
+#: Members of a bucket that one task compares with the hubs.
+SHARE = 2000
+
+
 def _candidates(held: DataFrame, done: int, hubs: int, percent: int, words: int) -> DataFrame:
-    """Pairs of the hubs numbered ``done`` + 1 to ``hubs`` of each bucket with its later members.
+    """Pairs of the hubs of each bucket with its other members, of another component.
 
-    The rank filter is applied before the shuffle too, so a bucket of any size sends few rows to
-    the task that ranks its hubs.
+    The first hub (``done`` = 0) is the least member, found by an aggregate; later ones are dealt by a hash, some ``hubs``
+    of each bucket, so nothing is ranked.  A large bucket is cut in shares of ``SHARE`` members, each with a copy of the hubs.
     """
-    order = Window.partitionBy("key").orderBy("class_id", "n_shingles")
-    hub = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs).where(F.col("rank") > done)
-    hub = hub.select("key", F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("component_a"), F.col("odd").alias("odd_a"))
+    if not done:
+        hub = held.groupBy("key", "size").agg(F.min(F.struct("class_id", "n_shingles", "component", "odd")).alias("h")).select("key", "size", "h.*")
+    else:
+        turn = F.pmod(F.xxhash64("class_id", F.lit(3)), F.lit(1 << 40)) / float(1 << 40) * F.col("size")
+        hub = held.where((turn < hubs) & (turn >= (0 if done == 1 else done)))
+    shares = F.ceil(F.col("size") / SHARE)
+    hub = hub.select("key", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("component_a"), F.col("odd").alias("odd_a"))
+    held = held.withColumn("share", F.pmod(F.xxhash64("class_id", F.lit(5)), shares))
     apart = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("odd_a", F.lit(i)))) for i in range(words)), F.lit(0))
     # Similar sets differ in few shingles, so their parities in few bits: an exact bound that spares most comparisons.
     near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_shingles")) * (100 - percent)
     near &= (F.col("n_a") * percent <= F.col("n_shingles") * 100) & (F.col("n_shingles") * percent <= F.col("n_a") * 100)
-    return held.join(hub, "key").where(near & (F.col("class_id") > F.col("a")) & (F.col("component") != F.col("component_a"))).select("a", F.col("class_id").alias("b")).distinct()
+    both = held.join(hub, ["key", "share"]).where(near & (F.col("component") != F.col("component_a")))
+    return both.select(F.least("a", "class_id").alias("a"), F.greatest("a", "class_id").alias("b")).distinct()
 
 
 def connect(member: DataFrame, sets: DataFrame, percent: int, words: int = PARITY) -> DataFrame | None:
@@ -142,7 +152,8 @@ def connect(member: DataFrame, sets: DataFrame, percent: int, words: int = PARIT
         held = member.withColumn("component", F.col("class_id"))
         if group is not None:
             held = member.join(group, member.class_id == group.node, "left").withColumn("component", F.coalesce("component", "class_id"))
-        unsettled = held.where(F.col("size") > done + 1).groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        # After the first round a bucket of two is done, later on one whose members were all hubs.
+        unsettled = held.where(F.col("size") > (2 if done == 1 else max(done, 1))).groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
         unsettled = _graph.checkpoint(unsettled)
         if _graph.is_empty(unsettled):
             break
@@ -177,15 +188,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = _graph.saved(shingle_table(texts.join(_graph.small(inside), "doc_id", "left_semi"), k).where(F.size("shingles") > 0).distinct())
 
     group = connect(member, sets, percent)
+    _graph.free(member, inside, sets)
 
     out = base.join(classes.select(*same, "class_id"), same, "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id")))
+    # Texts of one id are one node, whether or not any near link was found.
+    repeated = base.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_a").alias("one"), F.max("set_a").alias("other")).where("one <> other")
+    repeated = _graph.saved(repeated.select("doc_id"))
+    if not _graph.is_empty(repeated):
+        own = out.join(_graph.small(repeated), "doc_id", "left_semi").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+        group = _graph.components(own if group is None else group.select(F.col("component").alias("a"), F.col("node").alias("b")).union(own))
     if group is None:
         return out.select("doc_id", "n_shingles", "class_id", F.col("class_id").alias("component_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
-    repeated = known.groupBy("doc_id").agg(F.min("set_a").alias("one"), F.max("set_a").alias("other")).where("one <> other")
-    if not _graph.is_empty(repeated):
-        own = out.where("doc_id is not null").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-        group = _graph.components(group.select(F.col("component").alias("a"), F.col("node").alias("b")).union(own))
     out = out.join(group, out.class_id == group.node, "left")
     component = F.coalesce("component", "class_id")
     return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
