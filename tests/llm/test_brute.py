@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import random
 import re
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 
-from assayer.llm import bpe, merkle, pii, queries
+from assayer.llm import bpe, merkle, pii, queries, substring, toxicity
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -126,6 +127,57 @@ def test_bpe_is_the_library(spark, texts):
         assert bpe.encode_text(enc, t, 100) == ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n"])
+@pytest.mark.parametrize("around", [("", ""), ("some text", ""), ("", "text"), ("a.", " b c"), ("x ", "\ty")])
+def test_bpe_long_blanks(blank, around):
+    """A run of white space is one match but for its last character; the library cannot take two million itself."""
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = around[0] + blank * 3000 + around[1]
+    assert bpe.encode_text(enc, text, 100) == enc.encode_ordinary(text)
+    text = around[0] + blank * 2_000_000 + around[1]
+    ids = bpe.encode_text(enc, text)
+    assert enc.decode_bytes(ids) == text.encode()
+    # Whatever the run's tokens are, they take it up to its last character.
+    tail = bpe.encode_text(enc, blank * 2 + around[1])
+    assert len(ids) > 100_000 and (not around[1] or ids[-2:] == tail[-2:])
+
+
+def test_toxicity_scores(spark, texts):
+    """Cumulative-link scores of every document, word by word, from the fitted numbers."""
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    buckets, weights, cuts = toxicity.train(docs, toxicity.grades_of(labels))
+    weight = dict(zip(buckets.tolist(), weights.tolist()))
+    worth = {}
+    got = {r["doc_id"]: r for r in queries.op5_toxicity(spark, DATA).collect()}
+    assert got.keys() == texts.keys() and (weights > 0).any() and (weights < 0).any() and list(cuts) == sorted(cuts)
+    for i, t in texts.items():
+        counts = defaultdict(int)
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower()):
+            counts[w] += 1
+        eta = 0.0
+        for w, n in counts.items():
+            if w not in worth:
+                own = toxicity._distinct_words(pa.array([w.decode("latin-1").encode("latin-1").decode()]))[2][0]
+                worth[w] = sum(weight.get(int(b), 0.0) for b in own)
+            eta += worth[w] * math.log2(1 + n)
+        p = [1 / (1 + math.exp(-max(-40, min(40, eta - c)))) for c in cuts] if t else [0.0]
+        assert abs(got[i]["severity"] - sum(p)) < 1e-4 and abs(got[i]["p_toxic"] - p[0]) < 1e-4 and got[i]["toxic"] == (got[i]["p_toxic"] >= toxicity.REJECT)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    from pyspark.sql import functions as F
+
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
+    model = toxicity.train(docs, toxicity.grades_of(labels.where(~held)))
+    scored = toxicity.score(docs, model).join(labels.where(held), "doc_id").withColumn("hit", (F.col("p_toxic") >= toxicity.REJECT).cast("int"))
+    rate = {r["toxic"]: r["rate"] for r in scored.groupBy("toxic").agg(F.avg("hit").alias("rate")).collect()}
+    assert rate[1] >= 0.9 and rate[0] <= 0.01
+
+
 def test_merkle_pairs(spark, texts):
     got = {r["doc_id"]: r for r in queries.op10_merkle_fingerprint(spark, DATA).collect()}
     ids = list(texts)
@@ -137,24 +189,85 @@ def test_merkle_pairs(spark, texts):
         assert t == n or got[i]["near_edited"] > got[i]["near_next"]
 
 
-def test_passages_of_fifty_words_are_found(spark, texts):
-    places = defaultdict(set)
+def covered(rows, removed):
+    out = defaultdict(set)
+    for r in rows:
+        if r["removed"] == removed:
+            out[r["doc_id"]] |= set(range(r["first_word"], r["first_word"] + r["n_words"]))
+    return out
+
+
+def test_repeated_passages(spark, texts):
+    """Paragraph classes, exact Jaccard and components, and equal runs of 15 and 50 words, all by plain loops."""
+    got = substring.repeated_passages(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
+    removed, stays = covered(got, True), covered(got, False)
+    paragraphs, words = [], {}
     for i, t in texts.items():
-        w = t.lower().split()
-        for k in range(len(w) - 49):
-            places[tuple(w[k : k + 50])].add(i)
-    later = set().union(*(v - {min(v)} for v in places.values() if len(v) > 1))
-    got = queries.op6_passage_dedup(spark, DATA).collect()
-    assert later and later <= {r["doc_id"] for r in got if r["removed"]}
-    # Whatever is reported stands somewhere else too: its inner words do.
-    grams = defaultdict(int)
-    for t in texts.values():
-        w = t.lower().split()
-        for k in range(len(w) - 5):
-            grams[tuple(w[k : k + 6])] += 1
-    for r in got:
-        w = texts[r["doc_id"]].lower().split()[r["first_word"] : r["first_word"] + r["n_words"]]
-        assert max(grams[tuple(w[k : k + 6])] for k in range(len(w) - 5)) > 1
+        words[i] = t.lower().split()
+        at = 0
+        for line in t.lower().split("\n"):
+            w = tuple(line.split())
+            if w:
+                paragraphs.append((i, at, w))
+            at += len(w)
+    classes = sorted({w for _, _, w in paragraphs})
+    sets = {w: {w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in classes}
+    root = {w: w for w in classes}
+
+    def find(w):
+        while root[w] != w:
+            w = root[w]
+        return w
+
+    holds = defaultdict(list)
+    for w in classes:
+        for g in sets[w]:
+            holds[g].append(w)
+    for w in classes:
+        for v in {v for g in sets[w] for v in holds[g]}:
+            if v != w and 100 * len(sets[w] & sets[v]) >= 80 * len(sets[w] | sets[v]):
+                root[find(v)] = find(w)
+    clusters = defaultdict(list)
+    for i, at, w in paragraphs:
+        clusters[find(w)].append((i, at, len(w)))
+    near = defaultdict(set)
+    for places in clusters.values():
+        if len(places) > 1:
+            first, *later = sorted(places)
+            assert set(range(first[1], first[1] + first[2])) <= stays[first[0]] | removed[first[0]]
+            for i, at, n in later:
+                near[i] |= set(range(at, at + n))
+                assert near[i] <= removed[i]
+    runs = {n: defaultdict(list) for n in (15, 50)}
+    for i, w in words.items():
+        for n in runs:
+            for k in range(len(w) - n + 1):
+                runs[n][tuple(w[k : k + n])].append((i, k))
+    repeated = {n: defaultdict(set) for n in runs}
+    for n in runs:
+        for places in runs[n].values():
+            first, *later = sorted(places)
+            for i, k in later:
+                # A text that repeats itself word by word keeps its begin, however long one takes that to be.
+                if n == 15 or i != first[0] or k >= first[1] + n:
+                    repeated[n][i] |= set(range(k, k + n))
+    for i in words:
+        assert repeated[50][i] <= removed[i] and removed[i] <= near[i] | repeated[15][i] | {k for k in range(len(words[i])) if texts[i] in (texts[j] for j in words if j < i)}
+    assert sum(map(len, repeated[50].values())) > 1000
+
+
+def test_pasted_passages_are_covered(spark):
+    """Passages of 51 to 60 words at any place of a paragraph are reported word for word."""
+    rnd, rows, want = random.Random(5), [], {}
+    for i in range(150):
+        n = rnd.randint(51, 60)
+        passage = " ".join(f"p{i}x{k}" for k in range(n))
+        for side in (0, 1):
+            before, after = rnd.randint(0, 70), rnd.randint(0, 70)
+            rows.append((2 * i + side, " ".join([*(f"a{i}x{side}x{k}" for k in range(before)), passage, *(f"b{i}x{side}x{k}" for k in range(after))])))
+            want[2 * i + side] = (before, n, side == 1)
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), run=15).collect()
+    assert {r["doc_id"]: (r["first_word"], r["n_words"], r["removed"]) for r in got} == want and len(got) == len(want)
 
 
 def test_quality_follows_the_labels(spark):

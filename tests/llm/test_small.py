@@ -65,6 +65,11 @@ def test_minhash(spark):
     assert [r["kept"] for r in by[4]] == [True, True] and by[None][0]["kept"] and by[None][0]["component_id"] is None
     assert {r["component_id"] for r in by[5]} == {5} and by[9][0]["n_shingles"] == 1
     assert minhash.near_duplicates(empty(spark)).count() == 0
+    words = {c: " ".join(f"{c}{i}" for i in range(9)) for c in "abc"}
+    rows = [(3, "a"), (5, "a"), (5, "b"), (9, "b"), (10, "c")]
+    for more in ([], [(11, "c")]):
+        both = minhash.near_duplicates(spark.createDataFrame([(i, words[c]) for i, c in rows + more] + [(5, "")], "doc_id long, text string"), k=4).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in both} == {(3, 3), (5, 3), (9, 3), (10, 10)} | {(i, 10) for i, _ in more}
     assert minhash.keep_one(odd(spark)).columns == odd(spark).columns
 
 
@@ -110,11 +115,16 @@ def test_substring(spark):
     fill = lambda n, k: " ".join(f"{k}{i}" for i in range(n))
     docs = spark.createDataFrame([(1, f"{fill(30, 'a')} {passage} {fill(9, 'b')}"), (2, f"{fill(3, 'c')} {passage} {fill(40, 'd')}\n{fill(8, 'e')}"), (3, fill(90, "f")), (None, fill(60, "g")), (4, None), (5, "")], "doc_id long, text string")
     got = substring.repeated_passages(docs).collect()
-    assert {(r["doc_id"], r["removed"]) for r in got} == {(1, False), (2, True)} and all(15 <= r["n_words"] <= 55 for r in got)
+    assert sorted((r["doc_id"], r["first_word"], r["n_words"], r["removed"]) for r in got) == [(1, 30, 55, False), (2, 3, 55, True)]
     out = {r["doc_id"]: r["text"] for r in substring.remove_passages(docs).collect()}
-    assert out[3] == fill(90, "f") and out[4] is None and len(out[2].split()) < 3 + 55 + 48 and out[2].startswith("c0 c1 c2")
+    assert out[3] == fill(90, "f") and out[4] is None and out[2].split() == [*fill(3, "c").split(), *fill(40, "d").split(), *fill(8, "e").split()]
     assert substring.repeated_passages(empty(spark)).count() == 0
-    assert substring.repeated_passages(odd(spark)).where("removed").count() == 0 or True
+    copies = {(r["doc_id"], r["n_words"], r["removed"]) for r in substring.repeated_passages(odd(spark)).collect()}
+    assert {c for c in copies if c[0] != 7} == {(None, 8, False), (5, 8, True)} and all(c[0] == 7 for c in copies - {(None, 8, False), (5, 8, True)})
+    assert substring.remove_passages(odd(spark)).columns == odd(spark).columns and substring.remove_passages(odd(spark)).count() == 11
+    short = [(1, fill(8, "p")), (2, "x y z\n" + fill(8, "p")), (3, fill(18, "q")), (4, fill(18, "q").replace("q17", "other")), (5, fill(4, "r")), (6, fill(4, "r") + " s")]
+    found = substring.repeated_passages(spark.createDataFrame(short, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["first_word"], r["n_words"], r["removed"]) for r in found) == [(1, 0, 8, False), (2, 3, 8, True), (3, 0, 18, False), (4, 0, 18, True)]
     near = " ".join(f"n{i}" for i in range(100))
     pair = spark.createDataFrame([(1, near), (2, near.replace("n50 ", "other "))], "doc_id long, text string")
     assert {r["doc_id"] for r in substring.repeated_passages(pair).where("removed and n_words = 100").collect()} == {2}
@@ -161,19 +171,19 @@ def test_probabilities_sum_to_one(spark):
 
 def test_decontam(spark):
     item = " ".join(f"q{i}" for i in range(30))
-    items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "too short"), (None, item), (4, "")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, LONG + " " + item.upper() + "\n" + LONG), (2, item), (2, "x"), (3, item[: len(item) // 2]), (None, item), (4, None)], "doc_id long, text string")
-    assert sorted(map(tuple, decontam.contained_items(docs, items).collect())) == [(1, 1, 26, 26), (2, 1, 26, 26)]
+    items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "Held Whole"), (None, item), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, LONG + " " + item.upper() + "\n" + LONG), (2, item), (2, "x"), (3, item[: len(item) // 2]), (None, item), (4, None), (5, "it is held whole"), (6, "held whole"), (7, "held the whole held"), (8, "whole held")], "doc_id long, text string")
+    assert sorted(map(tuple, decontam.contained_items(docs, items).collect())) == [(1, 1, 26, 26), (2, 1, 26, 26), (5, 3, 1, 1), (6, 3, 1, 1)]
     assert decontam.contained_items(empty(spark), items).count() == 0 and decontam.contained_items(docs, items.limit(0)).count() == 0
-    assert decontam.drop_contaminated(odd(spark), items).columns == odd(spark).columns and decontam.drop_contaminated(docs, items).count() == 3
+    assert decontam.drop_contaminated(odd(spark), items).columns == odd(spark).columns and decontam.drop_contaminated(docs, items).count() == 5
 
 
 def test_short_items_are_all_found(spark):
-    """Items of 5 to 16 words (1 to 12 shingles), each in a long document of its own."""
-    short = [(n * 1000 + i, " ".join(f"s{n}x{i}x{j}" for j in range(n))) for n in (5, 6, 7, 8, 15, 16) for i in range(60)]
+    """Items of 1 to 16 words (1 to 12 shingles), each in a long document of its own."""
+    short = [(n * 1000 + i, " ".join(f"s{n}x{i}x{j}" for j in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 15, 16) for i in range(60)]
     items = spark.createDataFrame(short, "item_id long, text string")
     docs = spark.createDataFrame([(i, " ".join(f"f{i}x{j}" for j in range(40 + i % 97)) + f" {t} " + " ".join(f"g{i}x{j}" for j in range(30))) for i, t in short], "doc_id long, text string")
-    assert sorted(map(tuple, decontam.contained_items(docs, items).collect())) == [(i, i, i // 1000 - 4, i // 1000 - 4) for i, _ in short]
+    assert sorted(map(tuple, decontam.contained_items(docs, items).collect())) == [(i, i, max(1, i // 1000 - 4), max(1, i // 1000 - 4)) for i, _ in short]
 
 
 def test_merkle(spark):
