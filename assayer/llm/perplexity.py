@@ -7,10 +7,11 @@ different left neighbours of an n-gram; three discounts for each order come from
 n-grams seen once to four times; probabilities and back-off weights are joins of the count
 tables, sharded by n-gram, from order to order.
 
-Scoring looks every position of every whole document up.  While the model has at most ``MOST``
-rows (12 bytes each) it goes to all tasks; a larger one stays sharded: documents are
-dealt to blocks, each block asks for its distinct n-grams by one join and gets the answers
-back beside its texts.
+Scoring looks every position of every whole document up, and the model stays sharded whatever its size.  Documents are dealt
+to blocks of some ``BLOCK`` characters; the different n-grams of each block are looked for.  Those of all blocks
+are resolved once each, order by order from the lowest, by joins with the count tables: an
+n-gram that was seen has its own probability, another one that of its last characters times the weight of its context.  The answers
+go back to the blocks that asked, beside their texts, so a task holds the n-grams of one block at most.
 
 A document is kept if its perplexity is at most the ``quantile`` of the held-out trusted documents of
 its language (of all of them, where its language has fewer than ``FEWEST``).
@@ -22,6 +23,7 @@ empty texts are kept; repeated rows are scored each and counted each.  Other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +34,18 @@ from pyspark.sql import functions as F
 from assayer.llm import _graph, _text
 
 ORDER = 5
-MOST = 8_000_000
-FEWEST = 20
-HELD_OUT = 10
-_START = 2
+BLOCK = 1 << 24
+QUANTILE = 0.98
+#: So many held-out texts at least set a threshold: with fewer the quantile is their maximum.
+FEWEST = 50
+HELD_OUT = 5
 _FLUSH = 500_000
-_BLOCK = 1 << 24
 
 
 def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each after ``ORDER - 1`` start marks, and where each text begins."""
     parts = [np.frombuffer(("\x02" * (ORDER - 1) + (t or "")).encode("utf-32-le"), np.uint32) for t in texts.to_pylist()]
-    codes = np.concatenate(parts).astype(np.uint64)
+    codes = np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.uint64)
     begins = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
     real = np.ones(len(codes), bool)
     for j in range(ORDER - 1):
@@ -70,8 +72,7 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
         keys, grams, counts = np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            names = np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().tolist()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(_names(grams), pa.string()), pa.array(counts, pa.int64())], ["gram", "n"])
 
         for batch in batches:
             for a, b in _text.runs(batch.column(0)):
@@ -99,13 +100,21 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i - 0.05 if i > 1 else 0.95) for i, d in zip((1, 2, 3), raw))
 
 
-def build(counts: DataFrame) -> DataFrame:
-    """(gram, kind, value): kind ``p`` is the logarithm of an n-gram's probability, kind ``g`` that of the
-    weight of what follows a context in the order below."""
+class Model:
+    """By order k: ``p[k]`` (gram, p) the logarithm of an n-gram's probability, ``g[k]`` (context, g) that of the weight of what
+    follows the context in the order below; ``none`` that of a character that was never seen."""
+
+    def __init__(self) -> None:
+        self.p: dict[int, DataFrame] = {}
+        self.g: dict[int, DataFrame] = {}
+        self.none = 0.0
+
+
+def build(counts: DataFrame) -> Model:
     orders = {ORDER: _graph.saved(counts)}
     for k in range(ORDER - 1, 0, -1):
         orders[k] = _graph.saved(orders[k + 1].groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count("*").alias("n")))
-    tables, below = [], None
+    model = Model()
     for k in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(orders[k])
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
@@ -116,153 +125,122 @@ def build(counts: DataFrame) -> DataFrame:
             # What no character has: shared by all seen ones and one for all others.
             size = orders[1].count() + 1
             lower: Column = F.lit(1.0 / size)
+            whole = contexts.first()
+            model.none = math.log(whole["taken"] / whole["total"] / size) if whole and whole["taken"] > 0 else -math.log(size)
         else:
-            own = own.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), F.expr(f"substring(gram, 2, {k - 1})") == F.col("suffix"))
+            own = own.join(model.p[k - 1].select(F.col("gram").alias("suffix"), F.exp("p").alias("lower")), F.expr(f"substring(gram, 2, {k - 1})") == F.col("suffix"))
             lower = F.col("lower")
-        below = _graph.saved(own.select("gram", ((F.col("n") - F.col("d") + F.col("taken") * lower) / F.col("total")).alias("p")))
-        tables.append(below.select("gram", F.lit("p").alias("kind"), F.log("p").alias("value")))
-        weight = F.log(F.col("taken") / F.col("total"))
-        tables.append(contexts.select(F.col("context").alias("gram"), F.lit("g").alias("kind"), (weight - F.log(F.lit(float(size))) if k == 1 else weight).alias("value")))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return _hashed(out)
+            model.g[k] = _graph.saved(contexts.select("context", F.log(F.col("taken") / F.col("total")).alias("g")))
+        model.p[k] = _graph.saved(own.select("gram", F.log((F.col("n") - F.col("d") + F.col("taken") * lower) / F.col("total")).alias("p")))
+    _graph.free(*orders.values())
+    return model
+
+
+def resolved(grams: DataFrame, model: Model) -> DataFrame:
+    """(gram, p): the logarithm of the probability of the last character of each of the distinct ``grams`` of ``ORDER``
+    characters after the others."""
+    asked = {ORDER: grams.select("gram")}
+    for k in range(ORDER - 1, 0, -1):
+        asked[k] = _graph.saved(asked[k + 1].select(F.expr(f"substring(gram, 2, {k})").alias("gram")).distinct())
+    below = None
+    for k in range(1, ORDER + 1):
+        own = asked[k].join(model.p[k], "gram", "left")
+        if below is None:
+            out = own.select("gram", F.coalesce("p", F.lit(model.none)).alias("p"))
+        else:
+            own = own.withColumn("context", F.expr(f"substring(gram, 1, {k - 1})")).withColumn("suffix", F.expr(f"substring(gram, 2, {k - 1})"))
+            own = own.join(model.g[k], "context", "left").join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+            out = own.select("gram", F.coalesce("p", F.coalesce("g", F.lit(0.0)) + F.col("lower")).alias("p"))
+        below = _graph.saved(out)
+    return below
 
 
-def _hashed(model: DataFrame) -> DataFrame:
-    """(key, value) of the model; contexts have keys of their own."""
+def _distinct(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams of ``ORDER`` characters (one row each), the number of each position's, and the positions by text."""
+    own = np.concatenate([np.arange(s + ORDER - 1, e) for s, e in zip(begins[:-1], begins[1:])]) if len(begins) > 1 else np.zeros(0, np.int64)
+    _, first, number = np.unique(_keys(codes, ORDER)[-1][own], return_index=True, return_inverse=True)
+    at = own[first]
+    return np.stack([codes[at - ORDER + 1 + j] for j in range(ORDER)], 1).astype(np.uint32), number, np.diff(begins) - (ORDER - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column(0).to_pylist()
-            context = np.array([k == "g" for k in batch.column(1).to_pylist()], bool)
-            keys = np.zeros(len(grams), np.uint64)
-            size = np.array([len(g) for g in grams], np.int64)
-            for k in range(1, ORDER + 1):
-                own = np.flatnonzero(size == k)
-                if len(own):
-                    codes = np.frombuffer("".join(grams[i] for i in own).encode("utf-32-le"), np.uint32).astype(np.uint64)
-                    keys[own] = _keys(codes, k)[-1][k - 1 :: k]
-            keys[context] = _context(keys[context])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), pa.array(np.asarray(batch.column(2)), pa.float32())], ["key", "value"])
-
-    return model.select("gram", "kind", F.col("value").cast("double")).mapInArrow(run, "key long, value float")
-
-
-def _context(keys: np.ndarray) -> np.ndarray:
-    return _text.mix(keys, 50)
-
-
-class _Table:
-    """Values by 64-bit key: open addressing in two arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        size = 1 << max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
-        self.mask = np.uint64(size - 1)
-        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, bool)
-        at = (keys & self.mask).astype(np.int64)
-        left = np.arange(len(keys))
-        while len(left):
-            free = left[~self.used[at[left]]]
-            _, first = np.unique(at[free], return_index=True)
-            put = free[first]
-            self.keys[at[put]], self.values[at[put]], self.used[at[put]] = keys[put], values[put], True
-            left = np.setdiff1d(left, put, assume_unique=True)
-            at[left] = (at[left] + 1) & int(self.mask)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key; not a number where it has none."""
-        at = (keys & self.mask).astype(np.int64)
-        out = np.where(self.keys[at] == keys, self.values[at], np.float32(np.nan))
-        left = np.flatnonzero((self.keys[at] != keys) & self.used[at])
-        while len(left):
-            at[left] = (at[left] + 1) & int(self.mask)
-            here = at[left]
-            same = self.keys[here] == keys[left]
-            out[left[same]] = self.values[here[same]]
-            left = left[~same & self.used[here]]
-        return out
-
-
-def _log_likelihoods(texts: pa.Array, table: _Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the logarithms of the probabilities of the characters, and their number, for each text."""
-    codes, begins = _codes(texts)
-    keys = _keys(codes, ORDER)
-    at = np.concatenate([np.arange(s + ORDER - 1, e) for s, e in zip(begins[:-1], begins[1:])])
-    n = np.diff(begins) - (ORDER - 1)
-    total = np.zeros(len(at))
-    left = np.arange(len(at))
-    for k in range(ORDER, 0, -1):
-        here = at[left]
-        p = table.get(keys[k - 1][here])
-        seen = ~np.isnan(p)
-        total[left[seen]] += p[seen]
-        left, here = left[~seen], here[~seen]
-        if not len(left):
-            break
-        context = np.zeros(len(here), np.uint64) if k == 1 else keys[k - 2][here - 1]
-        weight = table.get(_context(context))
-        total[left] += np.where(np.isnan(weight), 0, weight)
-    return np.bincount(np.repeat(np.arange(len(texts)), n), total, len(texts)), n
-
-
-def _scores(ids: list[pa.Array], texts: pa.Array, table: _Table) -> pa.RecordBatch:
-    sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
-    for a, b in _text.runs(texts):
-        s, n = _log_likelihoods(texts.slice(a, b - a), table)
-        sums.append(s)
-        sizes.append(n)
-    s, n = np.concatenate(sums), np.concatenate(sizes)
-    return pa.RecordBatch.from_arrays([*ids, pa.array(np.exp(-s / np.maximum(n, 1)), mask=n == 0)], ["doc_id", "lang", "perplexity"])
+
+def _names(grams: np.ndarray) -> list[str]:
+    return np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().tolist()
 
 
 _SCORED = "doc_id long, lang string, perplexity double"
 
 
-def score(docs: DataFrame, model: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """(doc_id, lang, perplexity) of every row."""
-    spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if model.count() <= most:
-        table = model.toArrow()
-        sent = spark.sparkContext.broadcast((table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()))
+    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    # Small tables are dealt more finely, to keep all cores busy.
+    blocks = 1 + max(chars // block, min(docs.sparkSession.sparkContext.defaultParallelism, 8 * chars // block))
+    # A hash of id and text deals the documents; both readers below share this one shuffle.
+    given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _Table(*sent.value)
-            for batch in batches:
-                yield _scores(batch.columns[:2], batch.column(2), known)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blocks that share a task ask together for each of them.
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        return given.mapInArrow(run, _SCORED)
+        def merge(block: int) -> None:
+            grams, parts = held[block]
+            if parts:
+                every = np.concatenate([grams, *parts])
+                keys = _keys_of(every)
+                held[block] = every[np.unique(keys, return_index=True)[1]], []
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in set(batch.column(0).to_pylist()):
                 texts = batch.filter(pa.compute.equal(batch.column(0), block)).column(1)
                 for a, b in _text.runs(texts):
-                    keys = _keys(_codes(texts.slice(a, b - a))[0], ORDER)
-                    wanted = np.unique(np.concatenate([*keys, *[_context(k) for k in keys[:-1]], _context(np.zeros(1, np.uint64))]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wanted), block), pa.int32()), pa.array(wanted.view(np.int64), pa.int64())], ["block", "key"])
+                    grams, parts = held.setdefault(block, (np.zeros((0, ORDER), np.uint32), []))
+                    parts.append(_distinct(*_codes(texts.slice(a, b - a)))[0])
+                    if sum(map(len, parts)) > len(grams) + _FLUSH:
+                        merge(block)
+        for block in held:
+            merge(block)
+            grams = held[block][0]
+            for at in range(0, len(grams), _FLUSH):
+                part = grams[at : at + _FLUSH]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block), pa.int32()), pa.array(_names(part), pa.string())], ["block", "gram"])
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known = _Table(answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy())
-        whole = texts.combine_chunks()
-        return pa.Table.from_batches([_scores([b.column("doc_id"), b.column("lang")], b.column("text"), known) for b in whole.to_batches()])
-
-    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(64, chars // _BLOCK)
-    given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = given.select("block", "text").mapInArrow(ask, "block int, key long").distinct()
-    answers = asked.join(model, "key").select("block", "key", "value")
+        # A block of empty texts has asked for nothing.
+        grams = np.frombuffer("".join(answers.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER) if len(answers) else np.zeros((0, ORDER), np.uint32)
+        keys = _keys_of(grams)
+        order = np.argsort(keys)
+        keys, values = keys[order], answers.column("p").to_numpy()[order]
+        out = []
+        for batch in texts.to_batches():
+            for a, b in _text.runs(batch.column("text")):
+                part = batch.slice(a, b - a)
+                grams, number, n = _distinct(*_codes(part.column("text")))
+                found = values[np.searchsorted(keys, _keys_of(grams))] if len(grams) else np.zeros(0)
+                sums = np.bincount(np.repeat(np.arange(len(n)), n), found[number], len(n))
+                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(np.exp(-sums / np.maximum(n, 1)), mask=n == 0)], ["doc_id", "lang", "perplexity"]))
+        return pa.Table.from_batches(out)
+
+    asked = _graph.saved(given.select("block", "text").mapInArrow(ask, "block int, gram string"))
+    answers = asked.join(resolved(_graph.saved(asked.select("gram").distinct()), model), "gram").select("block", "gram", "p")
     return given.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell, _SCORED)
 
 
-def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, most: int = MOST) -> DataFrame:
+def _keys_of(grams: np.ndarray) -> np.ndarray:
+    """The keys that ``_keys`` gives to whole n-grams."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(grams), np.uint64)
+        for j in range(ORDER):
+            total += grams[:, ORDER - 1 - j].astype(np.uint64) * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64))
+        return _text.mix(total, ORDER - 1)
+
+
+def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, block: int = BLOCK) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every row; ``trusted`` has the ids of trusted documents."""
     ids = _graph.saved(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     fitting = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_graph.small(_graph.saved(ids.where(~held))), "doc_id", "left_semi")
-    model = _graph.saved(build(count_ngrams(fitting)))
-    scored = _graph.saved(score(docs, model, most))
+    scored = _graph.saved(score(docs, build(count_ngrams(fitting)), block=block))
     known = scored.join(_graph.small(_graph.saved(ids.where(held))), "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000)
     general = known.agg(at.alias("general"))
