@@ -32,7 +32,7 @@ LEAST_SCORE = 3.0
 BUCKETS = 1 << 20
 REJECT = 0.2
 PREFIXES = (4, 6, 8, 10)
-_RUN = 1 << 22
+_RUN = 1 << 20
 
 
 def _word_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -55,16 +55,15 @@ def _distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _sparse(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Feature buckets and values of each text."""
-    for a, b in _text.runs(texts, _RUN):
-        row, number, features = _distinct_words(texts.slice(a, b - a))
-        words = max(len(features), 1)
-        pair, times = np.unique(row * words + number, return_counts=True)
-        row, number, weight = pair // words, pair % words, np.log2(1 + times)
-        bounds = np.searchsorted(row, np.arange(b - a + 1))
-        for r in range(b - a):
-            own = slice(bounds[r], bounds[r + 1])
-            found, at = np.unique(features[number[own]].ravel(), return_inverse=True)
-            yield found, np.bincount(at, np.repeat(weight[own], features.shape[1]), len(found))
+    row, number, features = _distinct_words(texts)
+    words = max(len(features), 1)
+    pair, times = np.unique(row * words + number, return_counts=True)
+    row, number, weight = pair // words, pair % words, np.log2(1 + times)
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    for r in range(len(texts)):
+        own = slice(bounds[r], bounds[r + 1])
+        found, at = np.unique(features[number[own]].ravel(), return_inverse=True)
+        yield found, np.bincount(at, np.repeat(weight[own], features.shape[1]), len(found))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -109,9 +108,10 @@ def featured(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_sparse(batch.column(2)))
-            buckets = _text.lists([b.astype(np.int32) for b, _ in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], buckets, _text.lists([v.astype(np.float32) for _, v in found], pa.float32())], ["doc_id", "grade", "buckets", "values"])
+            for a, b in _text.runs(batch.column(2), _RUN):
+                found = list(_sparse(batch.column(2).slice(a, b - a)))
+                buckets = _text.lists([x.astype(np.int32) for x, _ in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), buckets, _text.lists([v.astype(np.float32) for _, v in found], pa.float32())], ["doc_id", "grade", "buckets", "values"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(best), "doc_id")
     # Of several texts of one id the one with the least hash is used.
