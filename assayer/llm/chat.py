@@ -94,11 +94,16 @@ def best_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     return found
 
 
-def format_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
-    """(tree, leaf, path_score, formatted, loss): each chosen path as one conversation."""
-    one = F.max(F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score"))
-    given = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("")).alias("tree"), "node", "parent", "score", "role", "text")
-    given = given.groupBy("tree", "node").agg(one.alias("m")).select("tree", "node", "m.*")
+def format_paths(messages: DataFrame, paths_per_tree: int = 1, unique: bool = False) -> DataFrame:
+    """(tree, leaf, path_score, formatted, loss): each chosen path as one conversation.
+
+    ``unique`` says that no two messages share tree and node, which spares the texts a shuffle.
+    """
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    given = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("")).alias("tree"), "node", "parent", "score", *text)
+    if not unique:
+        one = F.max(F.struct("parent", "role", "text", "score"))
+        given = given.groupBy("tree", "node").agg(one.alias("m")).select("tree", "node", "m.*")
     turns = best_paths(given, paths_per_tree).join(given.select("tree", "node", "role", "text"), ["tree", "node"])
     turn = F.struct((-F.col("back")).alias("at"), "role", "text")
     whole = turns.groupBy("tree", "leaf", "path_score").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
@@ -130,8 +135,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def chains(conversations: DataFrame) -> DataFrame:
-    """Conversations (conv_id, turn, role, text) as reply trees of one branch, in the order of turn, role and text."""
-    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """Conversations (conv_id, turn, role, text) as reply trees of one branch, in the order of turn, role and hash of the text."""
+    own = Window.partitionBy("conv_id").orderBy("turn", "role", "mark")
     node = F.row_number().over(own).cast("long")
-    given = conversations.select("conv_id", "turn", "role", "text").withColumn("node", node)
+    # Where only ids are read, only the hash of the text goes through the shuffle.
+    given = conversations.select("conv_id", "turn", "role", "text", F.xxhash64("text").alias("mark")).withColumn("node", node)
     return given.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")

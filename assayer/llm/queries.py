@@ -19,13 +19,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    read = chat.read_back(chat.format_paths(chat.chains(given)))
+    read = chat.read_back(chat.format_paths(chat.chains(given), unique=True))
     return read.select(F.when(F.col("tree") != "", F.col("tree").cast("long")).alias("conv_id"), *read.columns[1:])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    counts = ["n_email", "n_ip", "n_card", "n_phone", "n_term"]
+    return found.select("doc_id", *counts, (F.col("spans") != "").alias("personal"), F.sha2("base", 256).alias("base_sha256"), "spans", F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,29 +144,19 @@ def test_perplexity(spark):
     trusted = spark.createDataFrame([(i,) for i in range(60)] + [(None,)], "doc_id long")
     a = {(r["doc_id"], r["lang"]): r for r in perplexity.judge(docs, trusted).collect()}
     assert not a[100, "en"]["kept"] and a[101, "en"]["perplexity"] is None and not a[101, "en"]["kept"] and sum(r["kept"] for r in a.values()) >= 58
-    b = {(r["doc_id"], r["lang"]): r for r in perplexity.judge(docs, trusted, most=0).collect()}
+    b = {(r["doc_id"], r["lang"]): r for r in perplexity.judge(docs, trusted, block=100).collect()}
     assert a.keys() == b.keys() and all(a[k]["perplexity"] is None or abs(a[k]["perplexity"] - b[k]["perplexity"]) < 1e-9 for k in a)
     assert perplexity.judge(docs, trusted.limit(0)).where("kept").count() == 62
     assert perplexity.judge(empty(spark), trusted).count() == 0
 
 
 def test_probabilities_sum_to_one(spark):
-    import numpy as np
-
     docs = spark.createDataFrame([("abracadabra alakazam",), ("abc abd acd",)], "text string")
-    rows = perplexity.build(perplexity.count_ngrams(docs)).toArrow()
-    t = perplexity._Table(rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy())
-    import pyarrow as pa
-
-    chars = sorted(set("abracadabra alakazamabc abd acd"))
+    model = perplexity.build(perplexity.count_ngrams(docs))
+    chars = sorted(set("abracadabra alakazamabc abd acd")) + ["Ω"]
     for context in ("abra", " aba", "zzzz"):
-        total = 0.0
-        for c in chars:
-            whole, _ = perplexity._log_likelihoods(pa.array([context + c]), t)
-            start, _ = perplexity._log_likelihoods(pa.array([context]), t)
-            total += np.exp(whole[0] - start[0])
-        other = np.exp(perplexity._log_likelihoods(pa.array([context + "Ω"]), t)[0][0] - start[0])
-        assert abs(total + other - 1) < 1e-4
+        grams = spark.createDataFrame([(context + c,) for c in chars], "gram string")
+        assert abs(perplexity.resolved(grams, model).agg(F.sum(F.exp("p"))).first()[0] - 1) < 1e-9
 
 
 def test_decontam(spark):
