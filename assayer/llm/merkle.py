@@ -6,11 +6,11 @@ of the last eight bytes says so, after 64 bytes at most, and after 2, 4, 8, 16 a
 text; the blocks give a likeness even to texts of one paragraph or of a few characters.
 
 The fingerprint is ``root/section;section...`` where a section is ``digest:paragraph,paragraph...``
-and a paragraph ``digest.blocks``: 16 hexadecimal digits of SHA-256 for the root (of the section
-digests) and 8 for a section (of its paragraph digests) and a paragraph (of its bytes), 6 for each
-block.  Equal texts have equal fingerprints; equal roots mean equal texts but for hash collisions.
+and a paragraph ``digest.blocks``.  Every node is the SHA-256 of the whole digests below it (a paragraph of its bytes); shown are
+32 hexadecimal digits of the root and 16 of sections and paragraphs, and 6 for each block.
+Equal texts have equal fingerprints; equal roots mean equal texts but for collisions of 128 bits.
 ``likeness`` is the share of common blocks, 2 * common / (blocks of one + blocks of the other);
-``differences`` follows the branches that differ.
+``differences`` follows the branches that differ; ``edits`` does so for a table of pairs.
 
 Rows: a null text is an empty one; its tree has no section.  In ``edited_pairs`` the next document is
 the one with the next id; rows that share an id follow each other in the order of their texts' hashes,
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm import _text
 
@@ -35,14 +36,13 @@ _FIRST = (2, 4, 8, 16, 32)
 _GEAR = [np.uint64(pow(0x5851F42D4C957F2D, j + 1, 1 << 64)) for j in range(8)]
 
 
-def _hash(data: bytes, digits: int) -> str:
-    return hashlib.sha256(data).hexdigest()[:digits]
+ROOT, NODE = 32, 16
 
 
 def fingerprint(text: str) -> str:
     raw = text.encode()
     if not raw:
-        return _hash(b"", 16) + "/"
+        return hashlib.sha256().hexdigest()[:ROOT] + "/"
     data = np.frombuffer(raw, np.uint8)
     values = data.astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -69,25 +69,25 @@ def fingerprint(text: str) -> str:
     names = ["%06x" % b for b in blocks]
     sections: list[str] = []
     own: list[str] = []
-    digests: list[str] = []
-    heads: list[str] = []
+    digests: list[bytes] = []
+    heads: list[bytes] = []
     begin = first = 0
     last = len(upto) - 1
     for i, (end, until) in enumerate(zip(lines.tolist(), upto)):
-        digest = _hash(raw[begin:end], 8)
-        own.append(digest + "." + "".join(names[first:until]))
+        digest = hashlib.sha256(raw[begin:end]).digest()
+        own.append(digest.hex()[:NODE] + "." + "".join(names[first:until]))
         digests.append(digest)
         begin, first = end, until
-        if i == last or int(digest, 16) % 8 == 0:
-            heads.append(_hash("".join(digests).encode(), 8))
-            sections.append(heads[-1] + ":" + ",".join(own))
+        if i == last or digest[0] % 8 == 0:
+            heads.append(hashlib.sha256(b"".join(digests)).digest())
+            sections.append(heads[-1].hex()[:NODE] + ":" + ",".join(own))
             own, digests = [], []
-    return _hash("".join(heads).encode(), 16) + "/" + ";".join(sections)
+    return hashlib.sha256(b"".join(heads)).hexdigest()[:ROOT] + "/" + ";".join(sections)
 
 
 def _tree(mark: str) -> list[tuple[str, list[tuple[str, str]]]]:
     body = mark.partition("/")[2]
-    return [(s[:8], [(p[:8], p[9:]) for p in s[9:].split(",")]) for s in body.split(";")] if body else []
+    return [(s[:NODE], [(p[:NODE], p[NODE + 1 :]) for p in s[NODE + 1 :].split(",")]) for s in body.split(";")] if body else []
 
 
 def _blocks(mark: str) -> list[str]:
@@ -136,14 +136,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-_PAIR = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+def edits(pairs: DataFrame, one: str = "fingerprint", other: str = "edited_fingerprint", out: str = "changed") -> DataFrame:
+    """``pairs`` with the numbers of the paragraphs of ``one`` that ``other`` lacks as last column; a null fingerprint gives null."""
+    kept = [c for c in pairs.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(one).to_pylist(), batch.column(other).to_pylist())
+            found = [None if a is None or b is None else differences(a, b) for a, b in both]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*kept, out])
+
+    return pairs.select(*kept).mapInArrow(run, T.StructType([*(pairs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.LongType()))]))
+
+
+_PAIR = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("changed", pa.list_(pa.int64()))])
 
 
 def _compare(doc_id: int | None, text: str, mark: str, after: str, next_mark: str) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     changed = fingerprint(edited)
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, changed, likeness(mark, changed), likeness(mark, next_mark)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, changed, likeness(mark, changed), likeness(mark, next_mark), differences(changed, mark)
 
 
 def _bounds(ids: DataFrame, parts: int) -> list[int]:
@@ -163,15 +176,19 @@ def _part(key: Column, bounds: list[int]) -> Column:
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Every text beside its edit: its last half replaced by as many of the next document's first characters.
+    """Every text beside its edit: its last half replaced by as many of the next document's first characters; ``changed`` has
+    the numbers of the edited text's paragraphs that the text lacks, found by the branches that differ.
 
     Quantiles of the ids cut the documents in ranges; each document goes to its range once and
     the first of each range to the range before it too, so each task walks whole ranges in
     order, holds two documents at a time, and needs nothing of other tasks.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not parts:
+        # Ranges of some 64 MB however large the table is.
+        chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars >> 26)
     given = given.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     bounds = _bounds(given.select("key"), parts)
     if not bounds:
@@ -211,4 +228,4 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return walked.mapInArrow(walk, _SPARK_PAIR)
 
 
-_SPARK_PAIR = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SPARK_PAIR = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, changed array<long>"

@@ -7,7 +7,7 @@ import math
 import os
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -186,6 +186,11 @@ def test_toxicity_on_held_out_labels(spark):
     assert rate[1] >= 0.9 and rate[0] <= 0.01
 
 
+def lines_of(text):
+    parts = re.split("(?<=\n)", text)
+    return parts if parts[-1] else parts[:-1]
+
+
 def test_merkle_pairs(spark, texts):
     got = {r["doc_id"]: r for r in queries.op10_merkle_fingerprint(spark, DATA).collect()}
     ids = list(texts)
@@ -193,7 +198,15 @@ def test_merkle_pairs(spark, texts):
         t, n = texts[i], texts[after]
         edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         a, b, c = merkle.fingerprint(t), merkle.fingerprint(edited), merkle.fingerprint(n)
-        assert tuple(got[i])[1:] == (len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, merkle.likeness(a, b), merkle.likeness(a, c))
+        assert tuple(got[i])[1:] == (len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, merkle.likeness(a, b), merkle.likeness(a, c), got[i]["changed"])
+        # Paragraphs of the edited text that the text lacks, each of the text's used once.
+        left, lacks = Counter(lines_of(t)), []
+        for k, line in enumerate(lines_of(edited)):
+            if left[line] > 0:
+                left[line] -= 1
+            else:
+                lacks.append(k)
+        assert len(got[i]["changed"]) == len(lacks)
         assert t == n or got[i]["near_edited"] > got[i]["near_next"]
 
 
@@ -280,8 +293,6 @@ def test_pasted_passages_are_covered(spark):
 
 def test_perplexity_is_kneser_ney(spark, texts):
     """Modified Kneser-Ney counts, discounts, back-off and perplexity of every document by plain dictionaries."""
-    from collections import Counter
-
     from pyspark.sql import functions as F
 
     labels = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id").distinct()

@@ -190,6 +190,8 @@ def test_merkle(spark):
     assert merkle.edited_pairs(empty(spark)).count() == 0
     assert merkle.edited_pairs(odd(spark).where("doc_id = 8")).count() == 1
     assert merkle.fingerprints(odd(spark)).count() == 11
+    pairs = spark.createDataFrame([(merkle.fingerprint("a\nb"), merkle.fingerprint("a\nc"), 1), (None, "x", 2), (merkle.fingerprint(""), merkle.fingerprint(""), 3)], "fingerprint string, edited_fingerprint string, changed int")
+    assert [r["changed"] for r in merkle.edits(pairs).collect()] == [[1], None, []]
 
 
 def test_merkle_tree_finds_the_edit():
