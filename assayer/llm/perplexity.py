@@ -8,7 +8,8 @@ n-grams seen once to four times; probabilities and back-off weights are joins of
 tables, sharded by n-gram, from order to order.
 
 Scoring looks every position of every whole document up, and the model stays sharded whatever its size.  Documents are dealt
-to blocks of some ``BLOCK`` characters; the different n-grams of each block are looked for.  Those of all blocks
+to blocks of some ``BLOCK`` characters and kept, compressed, in a table bucketed by block, so they are never shuffled; the different n-grams of
+each block are looked for.  Those of all blocks
 are resolved once each, order by order from the lowest, by joins with the count tables: an
 n-gram that was seen has its own probability, another one that of its last characters times the weight of its context.  The answers
 go back to the blocks that asked, beside their texts, so a task holds the n-grams of one block at most.
@@ -24,9 +25,11 @@ empty texts are kept; repeated rows are scored each and counted each.  Other col
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +57,25 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, begins
 
 
-def _keys(codes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each position, the keys of the 1 to ``order`` characters that end there."""
-    out = []
+_FACTORS = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(ORDER)]
+
+
+def _last_keys(codes: np.ndarray) -> np.ndarray:
+    """For each position, the key of the ``ORDER`` characters that end there."""
     with np.errstate(over="ignore"):
         total = np.zeros(len(codes), np.uint64)
-        for j in range(order):
-            total[j:] += codes[: len(codes) - j] * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64))
-            out.append(_text.mix(total, j))
-    return out
+        for j, factor in enumerate(_FACTORS):
+            total[j:] += codes[: len(codes) - j] * factor
+        return _text.mix(total)
+
+
+def _keys_of(grams: np.ndarray) -> np.ndarray:
+    """The same keys, of n-grams in rows."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(grams), np.uint64)
+        for j, factor in enumerate(_FACTORS):
+            total += grams[:, ORDER - 1 - j].astype(np.uint64) * factor
+        return _text.mix(total)
 
 
 def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,12 +89,9 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for a, b in _text.runs(batch.column(0)):
-                codes, begins = _codes(batch.column(0).slice(a, b - a))
-                own = np.concatenate([np.arange(s + ORDER - 1, e) for s, e in zip(begins[:-1], begins[1:])]) if b > a else np.zeros(0, np.int64)
-                found, first, n = np.unique(_keys(codes, ORDER)[-1][own], return_index=True, return_counts=True)
-                at = own[first]
-                rows = np.stack([codes[at - ORDER + 1 + j] for j in range(ORDER)], 1).astype(np.uint32)
-                merged, first, number = np.unique(np.concatenate((keys, found)), return_index=True, return_inverse=True)
+                rows, number, _ = _distinct(*_codes(batch.column(0).slice(a, b - a)))
+                n = np.bincount(number, minlength=len(rows))
+                merged, first, number = np.unique(np.concatenate((keys, _keys_of(rows))), return_index=True, return_inverse=True)
                 counts = np.bincount(number, np.concatenate((counts, n)), len(merged)).astype(np.int64)
                 grams, keys = np.concatenate((grams, rows))[first], merged
                 if len(keys) > _FLUSH:
@@ -157,10 +167,14 @@ def resolved(grams: DataFrame, model: Model) -> DataFrame:
 
 def _distinct(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different n-grams of ``ORDER`` characters (one row each), the number of each position's, and the positions by text."""
-    own = np.concatenate([np.arange(s + ORDER - 1, e) for s, e in zip(begins[:-1], begins[1:])]) if len(begins) > 1 else np.zeros(0, np.int64)
-    _, first, number = np.unique(_keys(codes, ORDER)[-1][own], return_index=True, return_inverse=True)
-    at = own[first]
-    return np.stack([codes[at - ORDER + 1 + j] for j in range(ORDER)], 1).astype(np.uint32), number, np.diff(begins) - (ORDER - 1)
+    own = np.ones(len(codes), bool)
+    for j in range(ORDER - 1):
+        own[begins[:-1] + j] = False
+    own = np.flatnonzero(own)
+    number, keys = pd.factorize(_last_keys(codes)[own])
+    first = np.empty(len(keys), np.int64)
+    first[number[::-1]] = own[::-1]
+    return np.stack([codes[first - ORDER + 1 + j] for j in range(ORDER)], 1).astype(np.uint32), number, np.diff(begins) - (ORDER - 1)
 
 
 def _names(grams: np.ndarray) -> list[str]:
@@ -170,40 +184,61 @@ def _names(grams: np.ndarray) -> list[str]:
 _SCORED = "doc_id long, lang string, perplexity double"
 
 
+def _packed(given: DataFrame, blocks: int) -> DataFrame:
+    """(block, texts): runs of rows as compressed Arrow streams, dealt to blocks; a table bucketed by block, so that
+    both its readers find a block's texts in one task without a shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.large_string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _text.runs(batch.column(2)):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(pa.RecordBatch.from_arrays([c.slice(a, b - a).cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema))
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["texts"])
+
+    name = f"assayer_{uuid.uuid4().hex}"
+    rows = given.mapInArrow(run, "texts binary").select(F.pmod(F.xxhash64("texts"), F.lit(blocks)).cast("int").alias("block"), "texts")
+    rows.write.bucketBy(blocks, "block").format("parquet").option("compression", "uncompressed").saveAsTable(name)
+    table = given.sparkSession.table(name)
+    table._named = name
+    return table
+
+
+def _opened(texts: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for packed in texts:
+        with pa.ipc.open_stream(packed.as_buffer()) as stream:
+            yield from stream
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """(doc_id, lang, perplexity) of every row."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
     # Small tables are dealt more finely, to keep all cores busy.
     blocks = 1 + max(chars // block, min(docs.sparkSession.sparkContext.defaultParallelism, 8 * chars // block))
-    # A hash of id and text deals the documents; both readers below share this one shuffle.
-    given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    packed = _packed(given, blocks)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Blocks that share a task ask together for each of them.
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
 
-        def merge(block: int) -> None:
-            grams, parts = held[block]
-            if parts:
-                every = np.concatenate([grams, *parts])
-                keys = _keys_of(every)
-                held[block] = every[np.unique(keys, return_index=True)[1]], []
+        def merged(number: int) -> np.ndarray:
+            every = np.concatenate([held[number][0], *held[number][1]])
+            return every[~pd.Series(_keys_of(every)).duplicated().to_numpy()]
 
         for batch in batches:
-            for block in set(batch.column(0).to_pylist()):
-                texts = batch.filter(pa.compute.equal(batch.column(0), block)).column(1)
-                for a, b in _text.runs(texts):
-                    grams, parts = held.setdefault(block, (np.zeros((0, ORDER), np.uint32), []))
-                    parts.append(_distinct(*_codes(texts.slice(a, b - a)))[0])
+            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for part in _opened([texts]):
+                    grams, parts = held.setdefault(number, (np.zeros((0, ORDER), np.uint32), []))
+                    parts.append(_distinct(*_codes(part.column(2)))[0])
                     if sum(map(len, parts)) > len(grams) + _FLUSH:
-                        merge(block)
-        for block in held:
-            merge(block)
-            grams = held[block][0]
+                        held[number] = merged(number), []
+        for number in list(held):
+            grams = merged(number)
             for at in range(0, len(grams), _FLUSH):
                 part = grams[at : at + _FLUSH]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block), pa.int32()), pa.array(_names(part), pa.string())], ["block", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number), pa.int32()), pa.array(_names(part), pa.string())], ["block", "gram"])
+            del held[number]
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
         # A block of empty texts has asked for nothing.
@@ -212,27 +247,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         order = np.argsort(keys)
         keys, values = keys[order], answers.column("p").to_numpy()[order]
         out = []
-        for batch in texts.to_batches():
-            for a, b in _text.runs(batch.column("text")):
-                part = batch.slice(a, b - a)
-                grams, number, n = _distinct(*_codes(part.column("text")))
-                found = values[np.searchsorted(keys, _keys_of(grams))] if len(grams) else np.zeros(0)
-                sums = np.bincount(np.repeat(np.arange(len(n)), n), found[number], len(n))
-                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(np.exp(-sums / np.maximum(n, 1)), mask=n == 0)], ["doc_id", "lang", "perplexity"]))
+        for part in _opened(texts.column("texts")):
+            grams, number, n = _distinct(*_codes(part.column(2)))
+            found = values[np.searchsorted(keys, _keys_of(grams))] if len(grams) else np.zeros(0)
+            sums = np.bincount(np.repeat(np.arange(len(n)), n), found[number], len(n))
+            out.append(pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.exp(-sums / np.maximum(n, 1)), mask=n == 0)], ["doc_id", "lang", "perplexity"]))
         return pa.Table.from_batches(out)
 
-    asked = _graph.saved(given.select("block", "text").mapInArrow(ask, "block int, gram string"))
-    answers = asked.join(resolved(_graph.saved(asked.select("gram").distinct()), model), "gram").select("block", "gram", "p")
-    return given.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell, _SCORED)
-
-
-def _keys_of(grams: np.ndarray) -> np.ndarray:
-    """The keys that ``_keys`` gives to whole n-grams."""
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(grams), np.uint64)
-        for j in range(ORDER):
-            total += grams[:, ORDER - 1 - j].astype(np.uint64) * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64))
-        return _text.mix(total, ORDER - 1)
+    asked = _graph.saved(packed.mapInArrow(ask, "block int, gram string"))
+    distinct = _graph.saved(asked.select("gram").distinct())
+    answers = asked.join(resolved(distinct, model), "gram").select("block", "gram", "p")
+    scored = _graph.saved(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell, _SCORED))
+    _graph.free(asked, distinct)
+    docs.sparkSession.sql(f"DROP TABLE {packed._named}")
+    return scored
 
 
 def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, block: int = BLOCK) -> DataFrame:
@@ -240,7 +268,7 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, block
     ids = _graph.saved(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     fitting = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_graph.small(_graph.saved(ids.where(~held))), "doc_id", "left_semi")
-    scored = _graph.saved(score(docs, build(count_ngrams(fitting)), block=block))
+    scored = score(docs, build(count_ngrams(fitting)), block=block)
     known = scored.join(_graph.small(_graph.saved(ids.where(held))), "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000)
     general = known.agg(at.alias("general"))
