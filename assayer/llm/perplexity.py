@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from assayer.llm import _graph, _text
 
 ORDER = 5
-BLOCK = 1 << 24
+BLOCK = 1 << 25
 QUANTILE = 0.98
 #: So many held-out texts at least set a threshold: with fewer the quantile is their maximum.
 FEWEST = 50
@@ -193,7 +193,7 @@ def _packed(given: DataFrame, blocks: int) -> DataFrame:
         for batch in batches:
             for a, b in _text.runs(batch.column(2)):
                 out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as stream:
                     stream.write_batch(pa.RecordBatch.from_arrays([c.slice(a, b - a).cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema))
                 yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["texts"])
 
@@ -219,33 +219,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     blocks = 1 + max(chars // block, min(docs.sparkSession.sparkContext.defaultParallelism, 8 * chars // block))
     packed = _packed(given, blocks)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+    def ask(texts: pa.Table) -> pa.Table:
+        grams, parts = np.zeros((0, ORDER), np.uint32), []
 
-        def merged(number: int) -> np.ndarray:
-            every = np.concatenate([held[number][0], *held[number][1]])
+        def merged() -> np.ndarray:
+            every = np.concatenate([grams, *parts])
             return every[~pd.Series(_keys_of(every)).duplicated().to_numpy()]
 
-        for batch in batches:
-            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for part in _opened([texts]):
-                    grams, parts = held.setdefault(number, (np.zeros((0, ORDER), np.uint32), []))
-                    parts.append(_distinct(*_codes(part.column(2)))[0])
-                    if sum(map(len, parts)) > len(grams) + _FLUSH:
-                        held[number] = merged(number), []
-        for number in list(held):
-            grams = merged(number)
-            for at in range(0, len(grams), _FLUSH):
-                part = grams[at : at + _FLUSH]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number), pa.int32()), pa.array(_names(part), pa.string())], ["block", "gram"])
-            del held[number]
+        for part in _opened(texts.column("texts")):
+            parts.append(_distinct(*_codes(part.column(2)))[0])
+            if sum(map(len, parts)) > len(grams) + _FLUSH:
+                grams, parts = merged(), []
+        grams = merged()
+        number = texts.column("block")[0].as_py()
+        return pa.table([pa.array(np.full(len(grams), number), pa.int32()), pa.array(_names(grams), pa.string())], ["block", "gram"])
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
         # A block of empty texts has asked for nothing.
         grams = np.frombuffer("".join(answers.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER) if len(answers) else np.zeros((0, ORDER), np.uint32)
         keys = _keys_of(grams)
         order = np.argsort(keys)
-        keys, values = keys[order], answers.column("p").to_numpy()[order]
+        keys, values = keys[order], answers.column("p").to_numpy()[order].astype(np.float64)
         out = []
         for part in _opened(texts.column("texts")):
             grams, number, n = _distinct(*_codes(part.column(2)))
@@ -254,9 +248,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out.append(pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.exp(-sums / np.maximum(n, 1)), mask=n == 0)], ["doc_id", "lang", "perplexity"]))
         return pa.Table.from_batches(out)
 
-    asked = _graph.saved(packed.mapInArrow(ask, "block int, gram string"))
+    asked = _graph.saved(packed.groupBy("block").applyInArrow(ask, "block int, gram string"))
     distinct = _graph.saved(asked.select("gram").distinct())
-    answers = asked.join(resolved(distinct, model), "gram").select("block", "gram", "p")
+    answers = asked.join(resolved(distinct, model), "gram").select("block", "gram", F.col("p").cast("float").alias("p"))
     scored = _graph.saved(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell, _SCORED))
     _graph.free(asked, distinct)
     docs.sparkSession.sql(f"DROP TABLE {packed._named}")
