@@ -66,5 +66,30 @@ def with_authority(decided: DataFrame, flags: Column, policy: dict[str, Any], fo
     return decided.withColumn("release_authority", F.when(F.col("outcome") == "withhold", rules.worst_authority(flags, policy, found)))
 
 
-def rationale(number: Column, window: Column, instant: Column, seed: Column) -> Column:
-    return F.array(F.concat(F.lit("score "), number.cast("string"), F.lit(" = window "), window.cast("string"), F.lit(" + this response "), instant.cast("string"), F.lit(" + standing seed "), seed.cast("string")))
+def reasons(standing: Column, passed: Column, sealed: Column, mandatory: Column, mode: Column, refuse_excluded: bool, unsealed: str, score: Column, warn: Column, block: Column) -> Column:
+    """Codes of what decided, in the order of the checks; the last one names the branch that made the outcome."""
+    noticed = F.when(~sealed & F.lit(unsealed == "notice"), F.array(F.lit("unsealed_notice"))).otherwise(F.array().cast("array<string>"))
+    last = (
+        F.when(mandatory.isNotNull(), F.concat(F.lit("mandatory:"), mandatory))
+        .when(mode == "observe", "observe_mode")
+        .when((score >= block) & (mode == "annotate"), "block_line_annotated")
+        .when(score >= block, "block_line")
+        .when(score >= warn, "warn_line")
+        .otherwise("below_lines")
+    )
+    return (
+        F.when((standing == "excluded") & F.lit(refuse_excluded), F.array(F.lit("standing_excluded")))
+        .when(~passed, F.array(F.lit("deterministic_refusal")))
+        .when(~sealed & F.lit(unsealed == "refuse"), F.array(F.lit("unsealed_refused")))
+        .otherwise(F.concat(noticed, F.array(last)))
+    )
+
+
+def notices(reason: Column, outcome: Column) -> Column:
+    """Codes of the notices that go with an outcome: a provenance notice stays whatever the score decides."""
+    return F.concat(F.filter(reason, lambda r: r == "unsealed_notice"), F.when((outcome == "deliver_with_notice") & (F.get(F.reverse(reason), F.lit(0)) == "warn_line"), F.array(F.lit("warn_band"))).otherwise(F.array().cast("array<string>")))
+
+
+def parts(number: Column, window: Column, instant: Column, seed: Column) -> Column:
+    """The score beside what it adds up."""
+    return F.struct(number.alias("score"), window.alias("window"), instant.alias("instant"), seed.alias("seed"))

@@ -82,7 +82,7 @@ def _forbidden() -> str:
 
 
 def _txt() -> str:
-    rows = ["(0, true, NULL, 'one', NULL, 'abc')", "(1, false, 'first tag must be the version', NULL, NULL, NULL)", "(2, false, 'missing e tag', NULL, NULL, NULL)", "(3, false, 'duplicated tag', NULL, NULL, NULL)", "(4, false, 'r must be https', NULL, NULL, NULL)", "(5, false, 'r points at a forbidden address', NULL, NULL, NULL)", "(6, true, NULL, 'a', 'https://x.example/reg', NULL)", "(7, false, 'malformed tag', NULL, NULL, NULL)", "(8, false, 'empty TXT', NULL, NULL, NULL)", "(9, false, 'r tag is not a valid URL', NULL, NULL, NULL)"]
+    rows = ["(0, true, NULL, 'one', NULL, 'abc')", "(1, false, 'version_not_first', NULL, NULL, NULL)", "(2, false, 'no_entry', NULL, NULL, NULL)", "(3, false, 'repeated_tag', NULL, NULL, NULL)", "(4, false, 'not_https', NULL, NULL, NULL)", "(5, false, 'forbidden_host', NULL, NULL, NULL)", "(6, true, NULL, 'a', 'https://x.example/reg', NULL)", "(7, false, 'bad_tag', NULL, NULL, NULL)", "(8, false, 'empty', NULL, NULL, NULL)", "(9, false, 'bad_url', NULL, NULL, NULL)"]
     return f"SELECT s_suppkey, ok, reason, entry_id, register_url, key_set_digest FROM supplier JOIN (VALUES {', '.join(rows)}) AS v(i, ok, reason, entry_id, register_url, key_set_digest) ON s_suppkey % 10 = i"
 
 
@@ -151,9 +151,9 @@ def oracle_sql() -> dict[str, str]:
         "open_blocks": f"{BLOCKS} SELECT provider_id, response_id, authority, epoch_us(raised_at) AS raised_us FROM b WHERE released_at IS NULL",
         "release_decision": f"""{BLOCKS}, q AS (SELECT DISTINCT 'u' || user_id AS provider_id, 'b' || i AS response_id, CASE WHEN user_id % 2 = 0 THEN 'self' ELSE 'custodian' END AS actor, user_id % 3 > 0 AS adult FROM events, range(5) t(i)),
             o AS (SELECT provider_id, response_id, authority FROM b WHERE released_at IS NULL),
-            x AS (SELECT q.*, CASE WHEN authority IS NULL THEN 'no open block for that response' WHEN authority = 'non_releasable' THEN 'this classification has no local override'
-                WHEN authority = 'custodial_release' AND actor <> 'custodian' THEN 'release requires the supervising party'
-                WHEN authority = 'self_release' AND actor = 'self' AND NOT adult THEN 'self release requires a verified adult attribute attestation' END AS reason FROM q LEFT JOIN o USING (provider_id, response_id))
+            x AS (SELECT q.*, CASE WHEN authority IS NULL THEN 'no_open_block' WHEN authority = 'non_releasable' THEN 'no_override'
+                WHEN authority = 'custodial_release' AND actor <> 'custodian' THEN 'custodian_only'
+                WHEN authority = 'self_release' AND actor = 'self' AND NOT adult THEN 'adult_only' END AS reason FROM q LEFT JOIN o USING (provider_id, response_id))
             SELECT provider_id, response_id, reason IS NULL AS released, reason FROM x""",
         "monitor_state": f"""{BLOCKS}, top AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY seq DESC) <= 10),
             w AS (SELECT provider_id, CAST(sum(instant_score) AS BIGINT) AS window_score, count(*) AS window_size, count(type) AS window_flags FROM top GROUP BY ALL),
@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
         "key_status_asof": f"WITH {SEALED}, x AS (SELECT *, ['current', 'rotating', 'retired', 'compromised', 'lost'][n % 5 + 1] AS status FROM s) SELECT n AS event_id, status, CASE WHEN status = 'compromised' THEN 'seal_key_compromised' WHEN status = 'retired' AND {RETIRED} THEN 'seal_key_retired' WHEN status = 'lost' THEN 'seal_key_unknown' END AS finding FROM x",
         "verdict_findings": VERDICT,
         "key_set_digest": "WITH k AS (SELECT s_nationkey, string_agg(s_name || chr(10) || to_base64(encode(s_name)) || chr(10), '' ORDER BY s_name) AS m FROM supplier GROUP BY ALL) SELECT s_nationkey, rtrim(translate(to_base64(unhex(sha256(m))), '+/', '-_'), '=') AS digest FROM k",
-        "request_digests": "SELECT conv_id, 'sha-256=' || rtrim(translate(to_base64(unhex(sha256(text))), '+/', '-_'), '=') AS digest FROM conversations WHERE turn = 0",
+        "request_digests": "SELECT conv_id, turn, 'sha-256=' || rtrim(translate(to_base64(unhex(sha256(text))), '+/', '-_'), '=') AS digest FROM conversations",
         "txt_bindings": _txt(),
         "transcript_session": "SELECT conv_id AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_no, role, CAST(length(text) AS BIGINT) AS n_chars FROM conversations",
         "residency_counts": "SELECT count(*) AS n_rows, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars FROM conversations",
@@ -188,4 +188,29 @@ def oracle_sql() -> dict[str, str]:
                       CAST(CASE WHEN NOT refused AND s.score >= CASE WHEN g.clean_remaining > 0 THEN 6 ELSE 8 END THEN 5 WHEN clean THEN greatest(g.clean_remaining - 1, 0) ELSE g.clean_remaining END AS BIGINT)
                   FROM g JOIN s ON s.provider_id = g.provider_id AND s.seq = g.seq + 1)
             SELECT * FROM g WHERE seq > 0""",
+        "refusal_without_send": f"""WITH RECURSIVE {LEDGER}, s AS (SELECT provider_id, seq, CAST(instant_score + coalesce(sum(instant_score) OVER w, 0) AS BIGINT) AS score, type IS NULL AS clean, value > 250 AS refused FROM l {W10}),
+            g AS (SELECT provider_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS score, '' AS outcome, CAST(4 AS BIGINT) AS effective_warn, CAST(8 AS BIGINT) AS effective_block, CAST(0 AS BIGINT) AS clean_remaining FROM s WHERE seq = 1
+                  UNION ALL SELECT s.provider_id, s.seq, s.score,
+                      CASE WHEN refused THEN 'refuse' WHEN s.score >= CASE WHEN g.clean_remaining > 0 THEN 6 ELSE 8 END THEN 'withhold' WHEN s.score >= CASE WHEN g.clean_remaining > 0 THEN 3 ELSE 4 END THEN 'deliver_with_notice' ELSE 'deliver' END,
+                      CAST(CASE WHEN g.clean_remaining > 0 THEN 3 ELSE 4 END AS BIGINT), CAST(CASE WHEN g.clean_remaining > 0 THEN 6 ELSE 8 END AS BIGINT),
+                      CAST(CASE WHEN NOT refused AND s.score >= CASE WHEN g.clean_remaining > 0 THEN 6 ELSE 8 END THEN 5 WHEN refused THEN g.clean_remaining WHEN clean THEN greatest(g.clean_remaining - 1, 0) ELSE g.clean_remaining END AS BIGINT)
+                  FROM g JOIN s ON s.provider_id = g.provider_id AND s.seq = g.seq + 1)
+            SELECT provider_id, seq, outcome, clean_remaining FROM g WHERE seq > 0""",
+        "gate_reasons": f"""WITH {LEDGER}, s AS (SELECT event_id, CAST(instant_score + coalesce(sum(instant_score) OVER w, 0) AS BIGINT) AS score, event_type = 'error' AND value > 200 AS mandatory, ['enforce', 'annotate', 'observe'][event_id % 3 + 1] AS mode FROM l {W10}),
+            o AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'standing_excluded' WHEN event_id % 13 = 0 THEN 'deterministic_refusal' END AS early, CASE WHEN event_id % 4 = 0 THEN 'unsealed_notice' END AS noticed,
+                  CASE WHEN mandatory THEN 'mandatory:service_error' WHEN mode = 'observe' THEN 'observe_mode' WHEN score >= 8 THEN CASE mode WHEN 'annotate' THEN 'block_line_annotated' ELSE 'block_line' END WHEN score >= 4 THEN 'warn_line' ELSE 'below_lines' END AS why FROM s)
+            SELECT event_id, CASE WHEN early IS NOT NULL OR mandatory THEN 'refuse' WHEN why = 'block_line' THEN 'withhold' WHEN why IN ('warn_line', 'block_line_annotated') THEN 'deliver_with_notice' ELSE 'deliver' END AS outcome,
+                   coalesce(early, concat_ws(',', noticed, why)) AS reasons, CASE WHEN early IS NULL THEN concat_ws(',', noticed, CASE WHEN why = 'warn_line' THEN 'warn_band' END) ELSE '' END AS notices FROM o""",
+        "settings_latest": "SELECT 'u' || user_id AS key, props AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+        "setting_lookup": "SELECT 'u1' AS key, props AS value FROM events WHERE user_id = 1 ORDER BY ts DESC, event_id DESC LIMIT 1",
+        "setting_keys": "SELECT DISTINCT 'u' || user_id AS key FROM events",
+        "ledger_providers": "SELECT DISTINCT 'u' || user_id AS provider_id FROM events",
+        "evidence_join": f"WITH {LEDGER} SELECT provider_id, seq, type, 'ev' || l.event_id AS ref, props AS spans FROM l JOIN events ON l.event_id = events.event_id WHERE type IS NOT NULL",
+        "residency": "SELECT 'transcripts' AS kind, count(*) AS n_rows, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars FROM conversations UNION ALL SELECT 'evidence', count(*), CAST(coalesce(sum(length(to_json({'props': props}))), 0) AS BIGINT) FROM events",
+        "keys_gone": "SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0",
+        "sealed_roundtrip": "SELECT conv_id, turn, sha256(text) AS opened_sha256, true AS refused FROM conversations",
+        "strict_json": "SELECT event_id, ['ok', 'duplicate', 'malformed'][event_id % 3 + 1] AS code FROM events",
+        "pinned_notices": "SELECT event_type || '-' || user_id % 7 AS id, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY ALL",
+        "self_audit": "WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS origin FROM pages) SELECT page_id, origin AS evaluator FROM p WHERE origin = (SELECT min(origin) FROM p)",
+        "released_content": f"WITH {LEDGER} SELECT provider_id, 'r' || l.event_id AS response_id, props AS content FROM l JOIN events ON l.event_id = events.event_id WHERE l.event_type = 'error' AND l.value > 100",
     }

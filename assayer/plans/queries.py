@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayer import api
 from assayer.functions import digests, flags, urls, wire
 from assayer.operators import gate, ledger, notices, policy, scoring, verdict
 from assayer.sources import tables
@@ -361,7 +362,7 @@ def key_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def request_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", digests.request_digest(F.col("text")).alias("digest"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", digests.request_digest(F.col("text")).alias("digest"))
 
 
 @query
@@ -433,3 +434,121 @@ def gate_carryover(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = rows.withColumns({"score": F.col("window_score") + F.col("instant_score"), "warn": F.lit(WARN), "block": F.lit(BLOCK), "mode": F.lit("enforce"), "fixed": fixed, "n_flags": F.size("flags"), "sent": F.lit(True)})
     out = gate.decisions(given, DEFAULT_POLICY)
     return out.select("provider_id", "seq", F.col("score").cast("long").alias("score"), "outcome", F.col("effective_warn").cast("long").alias("effective_warn"), F.col("effective_block").cast("long").alias("effective_block"), F.col("clean_remaining").cast("long").alias("clean_remaining"))
+
+
+@query
+def refusal_without_send(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An excluded provider's response is never sent: it is refused with no effect on the carryover."""
+    rows = scoring.count_window(scoring.with_instant(events_ledger(spark, sf_dir)), LAST)
+    excluded = F.col("value") > 250
+    fixed = gate.fixed_outcome(F.when(excluded, "excluded").otherwise("good"), F.lit(True), F.lit(True), F.lit(None), F.lit("enforce"), True, "ignore")
+    given = rows.withColumns({"score": F.col("window_score") + F.col("instant_score"), "warn": F.lit(WARN), "block": F.lit(BLOCK), "mode": F.lit("enforce"), "fixed": fixed, "n_flags": F.size("flags"), "sent": ~excluded})
+    out = gate.decisions(given, DEFAULT_POLICY)
+    return out.select("provider_id", "seq", "outcome", F.col("clean_remaining").cast("long").alias("clean_remaining"))
+
+
+@query
+def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every branch of the gate but the carryover, with its reasons and notices."""
+    rows = scoring.count_window(scoring.with_instant(events_ledger(spark, sf_dir)), LAST)
+    n = F.col("event_id")
+    standing = F.when(n % 11 == 0, "excluded").otherwise("good")
+    passed, sealed = n % 13 != 0, n % 4 != 0
+    mandatory = F.when((F.col("event_type") == "error") & (F.col("value") > 200), "service_error")
+    mode = F.element_at(F.array(F.lit("enforce"), F.lit("annotate"), F.lit("observe")), (n % 3 + 1).cast("int"))
+    score, warn, block = F.col("window_score") + F.col("instant_score"), F.lit(WARN), F.lit(BLOCK)
+    why = gate.reasons(standing, passed, sealed, mandatory, mode, True, "notice", score, warn, block)
+    fixed = gate.fixed_outcome(standing, passed, sealed, mandatory, mode, True, "notice")
+    late = F.when(score >= block, F.when(mode == "annotate", "deliver_with_notice").otherwise("withhold")).when(score >= warn, "deliver_with_notice").otherwise("deliver")
+    out = rows.select("event_id", F.coalesce(fixed, late).alias("outcome"), why.alias("why"))
+    return out.select("event_id", "outcome", F.array_join("why", ",").alias("reasons"), F.array_join(gate.notices(F.col("why"), F.col("outcome")), ",").alias("notices"))
+
+
+# Stores
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"), F.struct("ts", "event_id").alias("at"))
+
+
+@query
+def settings_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.latest(_settings(spark, sf_dir), "key", "at").select("key", "value")
+
+
+@query
+def setting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.setting(_settings(spark, sf_dir), "u1").select("key", "value")
+
+
+@query
+def setting_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.setting_keys(_settings(spark, sf_dir))
+
+
+@query
+def ledger_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.providers(events_ledger(spark, sf_dir))
+
+
+@query
+def evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "events").select(F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("ref"), F.col("props").alias("spans"))
+    return tables.evidence_of(events_ledger(spark, sf_dir), held).select("provider_id", "seq", "type", "ref", "spans")
+
+
+@query
+def residency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("text").alias("content"))
+    held = table(spark, sf_dir, "events").select(F.struct("props").alias("spans"))
+    return tables.residency(c, held)
+
+
+@query
+def keys_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot reload: suppliers that a fresh document no longer has."""
+    current = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return tables.replace_if_changed(current, current.where("s_suppkey % 3 <> 0"), "s_suppkey")[1]
+
+
+@query
+def sealed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AES-GCM and back for every text; another key opens nothing."""
+    key, other = F.lit(bytes(range(32))), F.lit(bytes(32))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", digests.sealed(F.col("text"), key).alias("sealed"))
+    return c.select("conv_id", "turn", F.sha2(digests.opened(F.col("sealed"), key), 256).alias("opened_sha256"), digests.opened(F.col("sealed"), other).isNull().alias("refused"))
+
+
+@query
+def strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound documents, a repeated member and trailing content."""
+    n = F.col("event_id")
+    text = F.when(n % 3 == 0, F.col("props")).when(n % 3 == 1, F.concat(F.lit('{"a": '), F.col("props"), F.lit(', "a": 1}'))).otherwise(F.concat("props", F.lit("x")))
+    return table(spark, sf_dir, "events").select("event_id", wire.json_code(text).alias("code"))
+
+
+# The host's answers
+
+
+@query
+def pinned_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 7).cast("string")).alias("id"), F.struct("ts", "event_id").alias("raised_at"))
+    return api.pinned(e).select("id", F.col("raised_at.event_id").alias("first_event"))
+
+
+@query
+def self_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the evaluator's own origin."""
+    pages = table(spark, sf_dir, "pages")
+    origin = urls.origin(F.col("url"))
+    least = pages.agg(F.min(origin).alias("evaluator"))
+    return policy.origin_conflicts(F.col("evaluator"), pages.join(F.broadcast(least), F.lit(True)), origin).select("page_id", "evaluator")
+
+
+@query
+def released_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Withheld responses that were released, with their text."""
+    rows = events_ledger(spark, sf_dir)
+    released = rows.where("value > 100").select("provider_id", "response_id")
+    texts = table(spark, sf_dir, "events").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id"), F.col("props").alias("content"))
+    return api.withheld_content(rows, released, texts).select("provider_id", "response_id", "content")

@@ -93,7 +93,7 @@ def test_bindings_take_strings_only(spark):
 def test_only_one_record_of_the_version(spark):
     rec = lambda *r: F.array(*[F.array(*[F.lit(x) for x in p]) for p in r])
     assert one(spark, wire.select_txt(rec(["v=b1; ", "e=x"], ["spf"]), "b1"))["entry_id"] == "x"
-    assert one(spark, wire.select_txt(rec(["v=b1;e=x"], ["v=b1;e=y"]), "b1"))["reason"] == "more than one record of the version"
+    assert one(spark, wire.select_txt(rec(["v=b1;e=x"], ["v=b1;e=y"]), "b1"))["reason"] == "several_records"
     assert one(spark, wire.select_txt(rec(["other"]), "b1"))["ok"] is False
 
 
