@@ -84,7 +84,9 @@ def best_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
             break
         jumps.append(climbing)
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
-        state = _graph.saved(state.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")))
+        # Only messages below a root's reach are joined again; every parent is there.  Merged at any size: the pointers grow with the table.
+        higher = state.where("up is not null").join(above.hint("merge"), ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
+        state = _graph.saved(state.where("up is null").unionByName(higher))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
     ends = state.where("up is null").join(leaves, ["tree", "node"], "left_semi").withColumn("rank", rank).where(F.col("rank") <= paths_per_tree)
     found = ends.select("tree", F.col("node").alias("leaf"), F.col("total").alias("path_score"), "node", F.lit(0).alias("back"))
