@@ -101,6 +101,14 @@ def test_toxicity(spark):
     assert kept.columns == odd(spark).columns and kept.count() == 11
 
 
+def test_one_text_of_an_id_is_fitted(spark):
+    """Of several texts of one id always the same one is used, in whatever order they come."""
+    docs = spark.createDataFrame([(i, f"text {i} {'nasty' if i % 2 else 'calm'} version {v}") for i in range(12) for v in range(3)], "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, grade long")
+    one, other = (sorted(map(repr, toxicity.featured(d, grades).collect())) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(5)))
+    assert one == other and len(one) == 12
+
+
 def test_grades_are_ordered(spark):
     """Held-out expected severity rises with the grade."""
     words = ["calm quiet", "rude calm", "rude vile"]
