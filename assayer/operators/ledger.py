@@ -16,8 +16,14 @@ from assayer.plans import ordered
 DOMAIN = "assayer-ledger/v1"
 
 
-def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
-    """Sequence numbers from 1 for each provider, in the given order."""
+#: Rows of a provider that one task orders.
+PART_ROWS = 1_000_000
+
+
+def numbered(rows: DataFrame, *order: str | Column, part: Column | None = None) -> DataFrame:
+    """Sequence numbers from 1 for each provider, in the given order; with ``part``, which must not fall along it, by parts of a provider."""
+    if part is not None:
+        return ordered.numbered(rows, "provider_id", list(order), part, "seq")
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("provider_id").orderBy(*order)).cast("long"))
 
 
@@ -40,14 +46,13 @@ def appended(rows: DataFrame, heads: DataFrame | None = None, domain: str = DOMA
     return ordered.fold(old.select(*names, "head"), "provider_id", ["seq"], lambda: None, step, schemas.LEDGER)
 
 
-def verify(ledger: DataFrame, domain: str = DOMAIN) -> DataFrame:
+def verify(ledger: DataFrame, domain: str = DOMAIN, part_rows: int = PART_ROWS) -> DataFrame:
     """(provider_id, rows, first_break): the first seq that doesn't follow the stored row before it; null if none.
 
-    Row against row, so it is parallel within a provider but for the sort.
+    Row against row, so it is parallel within a provider too, by parts of ``part_rows`` numbers.
     """
-    by = Window.partitionBy("provider_id").orderBy("seq")
-    before = F.coalesce(F.lag("hash").over(by), F.lit(digests.GENESIS))
-    checked = ledger.withColumn("before", before)
+    before = lambda w: {"before": F.coalesce(F.lag("hash").over(w), F.lit(digests.GENESIS))}
+    checked = ordered.rolling(ledger, "provider_id", "seq", F.floor(F.col("seq") / part_rows), 1, before)
     broken = (F.col("prev_hash") != F.col("before")) | (digests.entry_hash(domain, F.col("prev_hash")) != F.col("hash"))
     return checked.groupBy("provider_id").agg(F.count("*").alias("rows"), F.min(F.when(F.coalesce(broken, F.lit(True)), F.col("seq"))).alias("first_break"))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from assayer.functions.flags import instant_score
+from assayer.operators.ledger import PART_ROWS
+from assayer.plans import ordered
 from assayer.sources.tables import holds_no_content
 
 #: A response scored now may see rows up to a second later.
@@ -18,24 +20,46 @@ def with_instant(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("instant_score", instant_score(F.col("flags")))
 
 
-def count_window(ledger: DataFrame, n: int = 10, session_start: Column | None = None) -> DataFrame:
-    """window_score and window_size over the ``n`` rows before each; a session's start cuts them after the last ``n`` are taken."""
-    w = Window.partitionBy("provider_id").orderBy("seq").rowsBetween(-n, -1)
-    if session_start is None:
-        return ledger.withColumn("window_score", F.coalesce(F.sum("instant_score").over(w), F.lit(0))).withColumn("window_size", F.count("*").over(w))
-    prior = F.filter(F.collect_list(F.struct("at", "instant_score")).over(w), lambda r: r["at"] >= session_start)
-    return ledger.withColumn("window_score", F.aggregate(prior, F.lit(0).cast("long"), lambda a, r: a + r["instant_score"])).withColumn("window_size", F.size(prior).cast("long"))
+def count_window(ledger: DataFrame, n: int = 10, session_start: Column | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """window_score and window_size over the ``n`` rows before each; a session's start cuts them after the last ``n`` are taken.
+
+    A provider's rows are split in parts of ``part_rows`` numbers, so a hot one is many tasks.
+    """
+
+    def measures(w: WindowSpec) -> dict[str, Column]:
+        w = w.rowsBetween(-n, -1)
+        if session_start is None:
+            return {"window_score": F.coalesce(F.sum("instant_score").over(w), F.lit(0)), "window_size": F.count("*").over(w)}
+        prior = F.filter(F.collect_list(F.struct("at", "instant_score")).over(w), lambda r: r["at"] >= session_start)
+        return {"window_score": F.aggregate(prior, F.lit(0).cast("long"), lambda a, r: a + r["instant_score"]), "window_size": F.size(prior).cast("long")}
+
+    return ordered.rolling(ledger, "provider_id", "seq", F.floor(F.col("seq") / part_rows), n, measures)
 
 
 def time_window(ledger: DataFrame, hours: int = 24, session: Column | None = None) -> DataFrame:
-    """window_score and window_size over ``[at - hours, at + 1 s)`` without the row itself, within the session if there is one."""
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    """window_score and window_size over ``[at - hours, at + 1 s)`` without the row itself, within the session if there is one.
+
+    A provider's rows are split in parts as long as the window; time and score of a row go to each part that can see it.  A sum
+    is the difference of two running sums, which read each row once however many rows a window holds.
+    """
+    span = hours * 3_600_000_000
     keys = ["provider_id"] if session is None else ["provider_id", "session_"]
-    own = ledger.withColumn("us_", micros)
+    own = ledger.withColumn("us_", F.unix_micros(F.col("at").cast("timestamp")))
     own = own if session is None else own.withColumn("session_", session)
-    w = Window.partitionBy(*keys).orderBy("us_").rangeBetween(-hours * 3_600_000_000, AHEAD_US - 1)
-    out = own.withColumn("window_score", F.sum("instant_score").over(w) - F.col("instant_score")).withColumn("window_size", F.count("*").over(w) - 1)
-    return out.drop("us_", "session_")
+    part = lambda us: F.floor(us / span).cast("long")
+    sent = own.withColumn("own_", part(F.col("us_"))).withColumn("part_", F.explode_outer(F.sequence(part(F.col("us_") - (AHEAD_US - 1)), part(F.col("us_") + span))))
+    mine = F.col("own_").eqNullSafe(F.col("part_"))
+    kept = {*keys, "us_", "own_", "part_", "instant_score"}
+    sent = sent.select(*[F.col(c) if c in kept else F.when(mine, F.col(c)).alias(c) for c in sent.columns])
+    within = Window.partitionBy(*keys, "part_").orderBy("us_")
+    until, before = within.rangeBetween(Window.unboundedPreceding, AHEAD_US - 1), within.rangeBetween(Window.unboundedPreceding, -span - 1)
+    # Rows without a time see one another and nothing else.
+    early = lambda c: F.coalesce(F.when(F.col("us_").isNotNull(), c.over(before)), F.lit(0))
+    out = sent.withColumns({
+        "window_score": F.sum("instant_score").over(until) - early(F.sum("instant_score")) - F.col("instant_score"),
+        "window_size": F.count("*").over(until) - early(F.count("*")) - 1,
+    })
+    return out.where(mine).drop("us_", "session_", "own_", "part_")
 
 
 def seed(standing: Column, elevated: int = 2, unknown: int = 0) -> Column:

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -34,3 +35,29 @@ def fold(df: DataFrame, key: str, order: list[str | Column], init: Callable[[],
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(len(names))], names)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def numbered(df: DataFrame, key: str, order: list[str | Column], part: Column, name: str) -> DataFrame:
+    """Row numbers from 1 within each key, where no task holds a key: rows are numbered within (key, part) and each part
+    goes on from the sizes of the parts before it.  ``part`` must not fall along the order (a day of the time, a thousand ids).
+    """
+    own = df.withColumn("part_", F.struct(F.col(key).alias("k"), part.alias("p")))
+    sizes = own.groupBy("part_").agg(F.count("*").alias("size_"))
+    before = Window.partitionBy("part_.k").orderBy("part_.p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("start_"))
+    # Structs are equal where both hold null, so a null key or part finds its start.
+    inside = own.withColumn("place_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
+    return inside.join(starts, "part_").withColumn(name, F.col("start_") + F.col("place_")).drop("part_", "place_", "start_")
+
+
+def rolling(df: DataFrame, key: str, order: str, part: Column, n: int, measures: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """Columns over a window that reads at most ``n`` rows before each row, where no task holds a key.
+
+    A window within (key, part) is right for all but the first ``n`` rows of a part; these are read again in a window over the
+    first and last ``n`` rows of each part, which hold all they need.  ``part`` must not fall along the order.
+    """
+    inside, across = Window.partitionBy(key, "part_").orderBy(order), Window.partitionBy(key).orderBy(order)
+    places = {"place_": F.row_number().over(inside), "last_": F.lead(F.lit(True), n).over(inside).isNull()}
+    done = df.withColumn("part_", part).withColumns(places | measures(inside))
+    edges = done.where((F.col("place_") <= n) | F.col("last_")).withColumns(measures(across))
+    return done.where(F.col("place_") > n).unionByName(edges.where(F.col("place_") <= n)).drop("part_", "place_", "last_")

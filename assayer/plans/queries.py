@@ -49,8 +49,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as ledger rows (provider_id, seq, response_id, at, at_iso, outcome, score, flags, versions)."""
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as rows of a ledger before they are numbered (provider_id, response_id, at, at_iso, outcome, score, flags, versions)."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
     error = F.col("event_type") == "error"
     slow = (F.col("event_type") == "view") & (F.col("value") > 60)
@@ -59,14 +59,18 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.concat(F.lit("ev"), F.col("event_id").cast("string"))
     none = F.array().cast("array<struct<type: string, severity: int, evidence_ref: string>>")
     found = F.when(kind.isNotNull(), F.array(F.struct(kind.alias("type"), severity.cast("int").alias("severity"), ref.alias("evidence_ref")))).otherwise(none)
-    rows = e.select(
+    return e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("provider_id"),
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("response_id"),
         "event_id", "at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at_iso"),
         F.when(error, "withhold").otherwise("deliver").alias("outcome"), F.coalesce(severity, F.lit(0)).cast("decimal(18,4)").alias("score"),
         found.alias("flags"), F.lit("e1").alias("evaluator_version"), F.lit("t1").alias("taxonomy_version"), "event_type", "value",
     )
-    return ledger.numbered(rows, "at", "event_id")
+
+
+def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with seq, a provider's rows split by day while they are numbered."""
+    return ledger.numbered(event_rows(spark, sf_dir), "at", "event_id", part=F.to_date("at"))
 
 
 def _flagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +145,7 @@ def session_scope_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def band_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses to flags, rolling score and band: the flagship."""
-    rows = ledger.numbered(scoring.with_instant(_flagged_documents(spark, sf_dir)), "doc_id")
+    rows = ledger.numbered(scoring.with_instant(_flagged_documents(spark, sf_dir)), "doc_id", part=F.floor(F.col("doc_id") / ledger.PART_ROWS))
     out = scoring.count_window(rows, LAST).withColumn("score", F.col("window_score") + F.col("instant_score"))
     return out.select("provider_id", "seq", "doc_id", "score", scoring.band(F.col("score"), F.lit(WARN), F.lit(BLOCK)).alias("band"), scoring.meter_scale(F.col("score"), F.lit(BLOCK).cast("long")).alias("meter"))
 
@@ -149,14 +153,14 @@ def band_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rates_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     since, until = F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")
-    out = scoring.rates(events_ledger(spark, sf_dir).select("provider_id", "at", "flags"), since, until, 20)
+    out = scoring.rates(event_rows(spark, sf_dir).select("provider_id", "at", "flags"), since, until, 20)
     counts = F.array_join(F.transform(F.map_entries("flag_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return out.withColumn("flag_counts", counts)
 
 
 @query
 def export_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = events_ledger(spark, sf_dir).select("provider_id", "at", "flags")
+    own = event_rows(spark, sf_dir).select("provider_id", "at", "flags")
     rated = scoring.rates(own, F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), 20)
     return scoring.export_view(rated.withColumn("incident_rate", F.lit(None).cast("double")), own)
 
@@ -182,7 +186,7 @@ def ledger_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.counts(events_ledger(spark, sf_dir))
+    return ledger.counts(event_rows(spark, sf_dir))
 
 
 @query

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayer.operators import gate, ledger, notices, policy, scoring, verdict
@@ -109,3 +110,48 @@ def test_tables_and_documents(spark, tmp_path):
     with pytest.raises(ValueError):
         documents.read_document(spark, str(doc), strict=True)
     assert documents.discovered(None, "NO_SUCH_VARIABLE_X", "default") == "default"
+
+
+def _hot_ledger(spark):
+    """One provider of nearly all rows, numbers and times with gaps, rows without a time, a row without a provider."""
+    rows = spark.range(600).select(
+        F.when(F.col("id") == 77, None).when(F.col("id") % 40 == 3, "cold").otherwise("hot").alias("provider_id"),
+        (F.col("id") * 3 + F.when(F.col("id") > 200, 1000).otherwise(0)).alias("seq"),
+        F.when(F.col("id") % 97 == 5, None).otherwise(F.timestamp_micros(F.col("id") * F.col("id") * 700_000_000 - F.col("id") % 7 * 400_000)).alias("at"),
+        (F.col("id") * 7919 % 5).alias("instant_score"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("hash"), F.lit("x").alias("us"),
+    )
+    return rows
+
+
+def _same(one, other):
+    names = sorted(one.columns)
+    assert names == sorted(other.columns)
+    got, want = (sorted(map(repr, df.select(*names).collect())) for df in (one, other))
+    assert got == want and got
+
+
+@pytest.mark.parametrize("part_rows", [1, 17, 40, 10**6])
+def test_split_count_windows_are_whole(spark, part_rows):
+    rows, w = _hot_ledger(spark), Window.partitionBy("provider_id").orderBy("seq").rowsBetween(-10, -1)
+    want = rows.withColumn("window_score", F.coalesce(F.sum("instant_score").over(w), F.lit(0))).withColumn("window_size", F.count("*").over(w))
+    _same(scoring.count_window(rows, 10, part_rows=part_rows), want)
+    start = F.date_trunc("day", F.col("at"))
+    prior = rows.withColumn("p", F.filter(F.collect_list(F.struct("at", "instant_score")).over(w), lambda r: r["at"] >= start))
+    want = prior.withColumn("window_score", F.aggregate("p", F.lit(0).cast("long"), lambda a, r: a + r["instant_score"])).withColumn("window_size", F.size("p").cast("long")).drop("p")
+    _same(scoring.count_window(rows, 10, start, part_rows), want)
+
+
+@pytest.mark.parametrize("sessions", [0, 3])
+def test_split_time_windows_are_whole(spark, sessions):
+    session = F.col("seq") % sessions if sessions else None
+    rows = _hot_ledger(spark).withColumn("s", F.lit(0) if session is None else session)
+    w = Window.partitionBy("provider_id", "s").orderBy(F.unix_micros("at")).rangeBetween(-24 * 3_600_000_000, 999_999)
+    want = rows.withColumn("window_score", F.sum("instant_score").over(w) - F.col("instant_score")).withColumn("window_size", F.count("*").over(w) - 1)
+    _same(scoring.time_window(rows, 24, session), want)
+
+
+def test_split_numbers_go_on(spark):
+    rows = _hot_ledger(spark).drop("seq")
+    want = rows.withColumn("seq", F.row_number().over(Window.partitionBy("provider_id").orderBy("at", "hash")).cast("long"))
+    _same(ledger.numbered(rows, "at", "hash", part=F.to_date("at")), want)
+    assert ledger.numbered(rows.limit(0), "at", part=F.to_date("at")).count() == 0
