@@ -107,24 +107,26 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0)))
 
 
-def _revealing_once(given: DataFrame, held: DataFrame, disclosure: float) -> DataFrame:
+def _counts(given: DataFrame, copies: DataFrame) -> DataFrame:
+    """(term, n_t, m_t): documents with the term, and different texts with it, counted in one pass over the texts."""
+    # Each copy of a text counts as its share of one text.
+    repeated = _graph.small(_graph.saved(copies.where("copies > 1")))
+    weight = F.lit(1.0) / F.coalesce("copies", F.lit(1))
+    spread = given.join(repeated, "mark", "left").select(F.explode(_terms(F.col("text"))).alias("term"), weight.alias("weight"))
+    return _graph.saved(spread.groupBy("term").agg(F.count("*").alias("n_t"), F.round(F.sum("weight")).cast("long").alias("m_t")))
+
+
+def _revealing_once(given: DataFrame, held: DataFrame, counts: DataFrame, texts: int, disclosure: float) -> DataFrame:
     """(doc, mark, term, share): terms that reveal an entity of one text; ``held`` has (doc, mark, kind, entity)."""
-    copies = _graph.saved(given.groupBy("mark").agg(F.count("*").alias("copies")))
-    texts = copies.count()
     single = held.groupBy("entity").agg(F.min("mark").alias("mark"), F.max("mark").alias("other"), F.min("kind").alias("kind")).where("mark = other")
     single = _graph.saved(single.select("mark", "kind").distinct())
     kinds = _graph.saved(held.select("mark", "kind").distinct())
     inside = _graph.small(_graph.saved(kinds.select("mark").distinct()))
     own = given.join(inside, "mark", "left_semi").dropDuplicates(["mark"]).select("mark", F.explode(_terms(F.col("text"))).alias("term"))
     own = _graph.saved(own)
-    # Each copy of a text counts as its share of one text.
-    repeated = _graph.small(_graph.saved(copies.where("copies > 1")))
-    weight = F.lit(1.0) / F.coalesce("copies", F.lit(1))
-    spread = given.join(repeated, "mark", "left").select(F.explode(_terms(F.col("text"))).alias("term"), weight.alias("weight"))
-    counts = spread.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("m_t"))
     share = lambda p: F.log(texts * p / F.col("m_t")) / math.log(max(texts, 2))
     # At best the entities of the kind all meet the term: terms of more texts need not be looked at.
-    own = _graph.saved(own.join(counts.where(share(F.lit(1.0)) >= disclosure - 1e-9), "term"))
+    own = _graph.saved(own.join(counts.select("term", "m_t").where(share(F.lit(1.0)) >= disclosure - 1e-9), "term"))
     met = own.join(kinds, "mark").groupBy("kind", "term").agg(F.count("*").alias("m_kt"))
     of_kind = kinds.groupBy("kind").agg(F.count("*").alias("m_k"))
     told = own.join(single, "mark").join(met, ["kind", "term"]).join(F.broadcast(of_kind), "kind")
@@ -138,20 +140,21 @@ def revealing(given: DataFrame, base: DataFrame, disclosure: float = DISCLOSURE)
     """(doc, mark, term, share): terms that reveal an entity of their document."""
     value = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value"))
     held = _graph.saved(base.select("doc", "mark", "kind", F.concat("kind", F.lit(":"), value).alias("entity")).distinct())
-    once = _revealing_once(given, held, disclosure)
+    copies = _graph.saved(given.groupBy("mark").agg(F.count("*").alias("copies")))
+    n, texts = copies.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+    counts = _counts(given, copies)
+    once = _revealing_once(given, held, counts, texts, disclosure)
     where = F.xxhash64("doc", "mark").cast("decimal(38,0)")
     stats = held.groupBy("entity").agg(F.count("*").alias("n_c"), F.sum(where).alias("places"), F.min("mark").alias("one"), F.max("mark").alias("other"))
     stats = stats.where("one < other").select("entity", "n_c", F.xxhash64("n_c", "places").alias("class"))
     held = _graph.saved(held.join(stats, "entity").select("doc", "mark", "class", "n_c").distinct())
-    n = given.count()
     inside = _graph.saved(held.select("doc", "mark").distinct())
     marked = inside.select(F.col("doc").alias("d"), F.col("mark").alias("m"))
     own = given.join(_graph.small(marked), F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_semi")
     own = _graph.saved(own.dropDuplicates(["doc", "mark"]).select("doc", "mark", F.explode(_terms(F.col("text"))).alias("term")))
     supported = own.groupBy("term").agg(F.min("mark").alias("one"), F.max("mark").alias("other")).where("one < other").select("term")
-    counts = given.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    counts = _graph.saved(supported.join(counts, "term"))
-    pairs = own.join(counts, "term").alias("o").join(held.alias("h"), F.col("o.doc").eqNullSafe(F.col("h.doc")) & (F.col("o.mark") == F.col("h.mark")))
+    supported = _graph.saved(supported.join(counts.select("term", "n_t"), "term"))
+    pairs = own.join(supported, "term").alias("o").join(held.alias("h"), F.col("o.doc").eqNullSafe(F.col("h.doc")) & (F.col("o.mark") == F.col("h.mark")))
     most = lambda met: F.log(n * met / (F.col("n_c") * F.col("n_t"))) / F.log(n / F.col("n_c"))
     # A term met n(c) times reveals most; rarer meetings only less: others need not be counted.
     pairs = pairs.where(F.col("n_c") < n).where(most(F.least("n_c", "n_t")) >= disclosure - 1e-9).select("o.doc", "o.mark", "term", "class", "n_c", "n_t")
