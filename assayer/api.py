@@ -54,6 +54,16 @@ class CapturedVerdicts:
         return responses.withColumn("flags", scanning.model_flags(F.col(self.column), content, self.taxonomy))
 
 
+def evaluator_of(config: dict[str, Any] | None, taxonomy: dict[str, Any] = TAXONOMY) -> Evaluator:
+    """The evaluator a configuration names: ``rule`` (also without one), or ``model`` with the column of its captured verdicts."""
+    kind = (config or {}).get("kind", "rule")
+    if kind == "rule":
+        return RuleEvaluator(taxonomy)
+    if kind == "model" and config.get("verdictColumn"):
+        return CapturedVerdicts(config["verdictColumn"], taxonomy)
+    raise ValueError(f"an evaluator of kind {kind!r} is unknown or names no column of verdicts")
+
+
 def flag(responses: DataFrame, evaluator: Evaluator | None = None, content: str = "content") -> DataFrame:
     return (evaluator or RuleEvaluator()).flags(responses, F.col(content))
 

@@ -62,5 +62,10 @@ def loopback(url: Column) -> Column:
     return F.coalesce(host(url).isin("localhost", "127.0.0.1", "::1", "[::1]"), F.lit(False))
 
 
+def outbound_paths(base: Column) -> Column:
+    """Origins that response content leaves for when it is evaluated at ``base``: none on the loopback interface."""
+    return F.when(loopback(base) | ~valid(base), F.array().cast("array<string>")).otherwise(F.array(origin(base)))
+
+
 def basename(name: Column) -> Column:
     return F.element_at(F.split(name, r"[/\\]"), -1)

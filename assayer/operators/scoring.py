@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -125,17 +126,33 @@ def typical_duration(durations: DataFrame, last: int = 20, fewest: int = 3) -> D
     return own.select("provider_id", "model", n.cast("long").alias("samples"), F.when(n < fewest, None).when(n % 2 == 1, middle).otherwise(even).alias("typical_ms"))
 
 
-def monitor_state(ledger: DataFrame, blocks: DataFrame, chain: DataFrame, n: int = 10) -> DataFrame:
-    """The dashboard's row of each provider: a count window with neither seed nor carryover."""
+def batch(rated: DataFrame, header: dict[str, Any]) -> DataFrame:
+    """(provider_id, payload) of a telemetry batch: the header's row, of no provider, and a row of each provider.
+
+    The parts stay rows, so that no task holds the batch as one document.
+    """
+    head = rated.sparkSession.createDataFrame([(None, json.dumps(header, separators=(",", ":"), ensure_ascii=False))], "provider_id string, payload string")
+    return head.union(provider_payload(rated))
+
+
+def monitor_state(ledger: DataFrame, blocks: DataFrame, chain: DataFrame, n: int = 10, typical: DataFrame | None = None) -> DataFrame:
+    """The dashboard's row of each provider: a count window with neither seed nor carryover, and flags by type in it.
+
+    ``typical`` (provider_id, typical_ms) has the usual duration of each provider's present model.
+    """
     rank = F.row_number().over(Window.partitionBy("provider_id").orderBy(F.desc("seq")))
     top = ledger.withColumn("rank", rank).where(F.col("rank") <= n)
     window = top.groupBy("provider_id").agg(F.sum(instant_score(F.col("flags"))).alias("window_score"), F.count("*").alias("window_size"))
-    flags = top.select("provider_id", F.explode("flags").alias("f")).groupBy("provider_id").agg(F.count("*").alias("window_flags"))
+    by_type = top.select("provider_id", F.explode("flags").alias("f")).groupBy("provider_id", F.col("f.type").alias("type")).agg(F.count("*").alias("k"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "k")))).alias("flag_counts")
+    flags = by_type.groupBy("provider_id").agg(F.sum("k").alias("window_flags"), counts)
     rows = ledger.groupBy("provider_id").agg(F.count("*").alias("n_rows"))
     open_ = blocks.where("released_at is null").groupBy("provider_id").agg(F.count("*").alias("open_blocks"))
     out = rows.join(window, "provider_id", "left").join(flags, "provider_id", "left").join(open_, "provider_id", "left").join(chain.select("provider_id", F.col("first_break").isNull().alias("chain_ok")), "provider_id", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("window_score", "window_size", "window_flags", "open_blocks")]
-    return out.select("provider_id", "n_rows", *zero, "chain_ok")
+    none = F.create_map().cast("map<string, bigint>")
+    out = out.join(typical.select("provider_id", "typical_ms"), "provider_id", "left") if typical is not None else out.withColumn("typical_ms", F.lit(None).cast("double"))
+    return out.select("provider_id", "n_rows", *zero, F.coalesce("flag_counts", none).alias("flag_counts"), "chain_ok", "typical_ms")
 
 
 def stage_times(times: DataFrame, parts: list[str], whole: str = "total_ms") -> DataFrame:

@@ -21,6 +21,41 @@ def largest_count(rated: DataFrame) -> DataFrame:
     return rated.select(F.explode_outer(F.map_values("flag_counts")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("largest"))
 
 
+#: The mark that each stage of an exchange lights, of connect, receive, verify, evaluate, decide, deliver.
+MARK_OF_STAGE = {
+    "checking_standing": 0, "awaiting_response": 1, "receiving": 1, "response_complete": 1, "verifying_seal": 2,
+    "evaluating_content": 3, "resolving_delivery": 4, "recording": 4, "delivering": 5,
+}
+MARKS, EVALUATE, DECIDE = 6, 3, 4
+
+
+def trail(stage: Column, outcome: Column, unsent: Column, unevaluated: Column) -> Column:
+    """The six marks (pending, active, done, skipped, stopped) of an exchange that has come to ``stage``.
+
+    With an ``outcome`` the exchange is over: a delivery has every mark done, anything else stops at the decision,
+    or at once where it was refused ``unsent``.  An unknown stage counts as the first.
+    """
+    active = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in MARK_OF_STAGE.items() for x in item]), stage), F.lit(0))
+    delivered = F.coalesce(outcome.isin("deliver", "deliver_with_notice"), F.lit(False))
+    halt = F.when((outcome == "refuse") & unsent, 0).when(outcome.isNotNull() & ~delivered, DECIDE)
+
+    def mark(i: Column) -> Column:
+        passed = F.when((i == EVALUATE) & unevaluated, "skipped").otherwise("done")
+        halted = F.when(i < halt, passed).when(i == halt, "stopped").otherwise("pending")
+        going = F.when(i < active, "done").when(i == active, "active").otherwise("pending")
+        return F.when(delivered, "done").when(halt.isNotNull(), halted).otherwise(going)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), mark)
+
+
+def halted(marks: Column) -> Column:
+    return F.array_contains(marks, "stopped")
+
+
+def complete(marks: Column) -> Column:
+    return F.forall(marks, lambda m: m == "done")
+
+
 def scripted_deltas(texts: DataFrame) -> DataFrame:
     """(exchange_id, chunk_no, chunk) of a scripted response (exchange_id, text): one event for each run of blanks or
     other characters, and the end marker; a fixture for the stream operators."""

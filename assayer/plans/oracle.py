@@ -157,8 +157,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT provider_id, response_id, reason IS NULL AS released, reason FROM x""",
         "monitor_state": f"""{BLOCKS}, top AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY seq DESC) <= 10),
             w AS (SELECT provider_id, CAST(sum(instant_score) AS BIGINT) AS window_score, count(*) AS window_size, count(type) AS window_flags FROM top GROUP BY ALL),
+            c AS (SELECT provider_id, string_agg(type || '=' || k, ',' ORDER BY type) AS flag_counts FROM (SELECT provider_id, type, count(*) AS k FROM top WHERE type IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+            y AS (SELECT provider_id, typical_ms FROM ({MEDIAN}) WHERE model = 'view'),
             n AS (SELECT provider_id, count(*) AS n_rows FROM l GROUP BY ALL), o AS (SELECT provider_id, count(*) AS k FROM b WHERE released_at IS NULL GROUP BY ALL)
-            SELECT provider_id, n_rows, window_score, window_size, window_flags, coalesce(k, 0) AS open_blocks, true AS chain_ok FROM n JOIN w USING (provider_id) LEFT JOIN o USING (provider_id)""",
+            SELECT provider_id, n_rows, window_score, window_size, window_flags, coalesce(k, 0) AS open_blocks, coalesce(flag_counts, '') AS flag_counts, true AS chain_ok, typical_ms
+            FROM n JOIN w USING (provider_id) LEFT JOIN o USING (provider_id) LEFT JOIN c USING (provider_id) LEFT JOIN y USING (provider_id)""",
         "endpoint_authorized": """WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?)://', 1) AS scheme, lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS host, regexp_replace(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/+$', '') AS path FROM pages)
             SELECT page_id, scheme = 'http' AND CASE WHEN page_id % 2 = 0 THEN path = '/en' OR starts_with(path, '/en/') ELSE path = '/fr' OR starts_with(path, '/fr/') END AS authorized, scheme || '://' || host AS origin, path FROM p""",
         "forbidden_host": _forbidden(),
@@ -213,4 +216,29 @@ def oracle_sql() -> dict[str, str]:
         "pinned_notices": "SELECT event_type || '-' || user_id % 7 AS id, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY ALL",
         "self_audit": "WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS origin FROM pages) SELECT page_id, origin AS evaluator FROM p WHERE origin = (SELECT min(origin) FROM p)",
         "released_content": f"WITH {LEDGER} SELECT provider_id, 'r' || l.event_id AS response_id, props AS content FROM l JOIN events ON l.event_id = events.event_id WHERE l.event_type = 'error' AND l.value > 100",
+        "telemetry_batch": f"""{RATES} SELECT NULL AS provider_id, '{{"version":"1","trafficClass":"test","windowStart":"2024-01-10","windowEnd":"2024-01-20","evaluatorVersion":"e1","taxonomyVersion":"t1"}}' AS payload
+            UNION ALL SELECT provider_id, '{{"providerId":"' || provider_id || '","evaluatedResponses":' || evaluated_responses || ',"flagCounts":{{' || coalesce(j, '') || '}},"severityWeightedIncidents":' || severity_weighted_incidents || ',"incidentRate":null,"suppressed":' || (evaluated_responses < 20) || '}}' FROM w LEFT JOIN c USING (provider_id)""",
+        "dashboard_totals": f"SELECT 'withheld' AS name, count(*) AS n FROM ({BLOCKS} SELECT 1 FROM b WHERE released_at IS NULL) UNION ALL SELECT 'largest_count', coalesce(max(n), 0) FROM ({RATES} SELECT n FROM t)",
+        "transport_choice": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'content-block-delta' WHEN s_suppkey % 3 = 0 THEN 'chat-delta' END AS transport FROM supplier",
+        "setting_precedence": "SELECT c_custkey, 'off' AS locked, CASE WHEN c_custkey % 3 = 0 THEN 'on' ELSE 'off' END AS free FROM customer",
+        "release_affordance": f"{BLOCKS} SELECT provider_id, response_id, authority = 'self_release' AS own, authority <> 'non_releasable' AS custodian FROM b WHERE released_at IS NULL",
+        "delivery_notices": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a' || event_id % 4 || ',c' || event_id % 4 ELSE '' END AS shown FROM events",
+        "notice_display": "SELECT event_id, event_id % 4 = 0 OR event_id % 3600 * 1000 < event_id % 50 * 60000 AS displayed FROM events",
+        "compose_activity": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) // 60000 AS t, CAST(CASE event_id % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.32 ELSE 0.32 * least(4, greatest(1, len(regexp_extract_all(coalesce(props, ''), '\\S+')))) END AS DOUBLE) AS bump,
+                row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 60000, event_id) AS k FROM events),
+            r AS (SELECT event_id, user_id, k, t, least(CAST(1 AS DOUBLE), bump) AS level FROM e WHERE k = 1
+                  UNION ALL SELECT e.event_id, e.user_id, e.k, e.t, least(1.0, CASE WHEN r.level * pow(0.5, (e.t - r.t) / 700.0) < 0.002 THEN 0 ELSE r.level * pow(0.5, (e.t - r.t) / 700.0) END + e.bump) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+            SELECT event_id, round(level, 6) AS level FROM r""",
+        "stage_latency": "WITH p AS (SELECT event_id, event_id % 5 + event_id % 700 + CASE WHEN event_id % 6 <> 0 THEN event_id % 40 ELSE 0 END AS parts_ms FROM events) SELECT event_id, parts_ms, event_id % 800 + 5 >= parts_ms AS covered FROM p",
+        "trail_marks": """WITH x AS (SELECT event_id, [0, 1, 1, 1, 2, 3, 4, 4, 5][event_id % 9 + 1] AS a, [NULL, 'deliver', 'deliver_with_notice', 'withhold', 'refuse'][event_id % 5 + 1] AS o, event_id % 7 = 0 AS unsent, event_id % 3 = 0 AS unread FROM events),
+            h AS (SELECT *, CASE WHEN o = 'refuse' AND unsent THEN 0 WHEN o IN ('withhold', 'refuse') THEN 4 END AS s, unnest(range(6)) AS i FROM x),
+            m AS (SELECT event_id, string_agg(CASE WHEN starts_with(o, 'deliver') THEN 'done' WHEN s IS NULL THEN CASE WHEN i < a THEN 'done' WHEN i = a THEN 'active' ELSE 'pending' END
+                WHEN i = s THEN 'stopped' WHEN i > s THEN 'pending' WHEN i = 3 AND unread THEN 'skipped' ELSE 'done' END, ',' ORDER BY i) AS marks FROM h GROUP BY ALL)
+            SELECT event_id, marks, contains(marks, 'stopped') AS halted, marks = 'done,done,done,done,done,done' AS complete FROM m""",
+        "outbound_paths": "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/]+)', 1)) ELSE '' END AS paths, regexp_extract(url, '[^/]*$') AS base_name FROM pages",
+        "seal_header": "SELECT s_suppkey, s_name AS entry, 'm>?' || s_suppkey AS model, s_suppkey % 2 = 0 AS several FROM supplier",
+        "seal_payload": "SELECT conv_id, turn, sha256(concat_ws(chr(10), 'demo-seal', role, conv_id, strlen(text)) || chr(10) || chr(10) || text) AS payload_sha256, sha256(concat_ws(chr(10), 'demo-pre-seal', role, turn)) AS pre_sha256, NOT regexp_matches(coalesce(text, ''), '[\\r\\n]') AS one_line FROM conversations",
+        "evaluator_prompt": f"SELECT doc_id, sha256(concat_ws(chr(10), 'Types:', {', '.join(_quoted('- ' + f['type'] + ' (severity ' + str(f['severity']) + ')') for f in TAXONOMY['flags'])}, 'Text:', text)) AS prompt_sha256 FROM documents",
+        "stream_roundtrip": "SELECT conv_id || '-' || turn AS exchange_id, sha256(text) AS text_sha256, true AS unsealed FROM conversations",
+        "token_counts": "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\\s+|\\S+')) AS BIGINT) AS n_tokens, true AS whole FROM conversations",
     }

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer import api
 from assayer.functions import digests, flags, urls, wire
-from assayer.operators import gate, ledger, notices, policy, scoring, verdict
+from assayer.operators import gate, ledger, notices, policy, scoring, verdict, views
 from assayer.sources import tables
 from assayer.sources.documents import DEFAULT_POLICY, TAXONOMY
 
@@ -25,6 +25,7 @@ _QUERIES: dict[str, Query] = {}
 WARN, BLOCK, LAST = 4, 8, 10
 DAY = "2024-01-15"
 
+BATCH = {"version": "1", "trafficClass": "test", "windowStart": "2024-01-10", "windowEnd": "2024-01-20", "evaluatorVersion": "e1", "taxonomyVersion": "t1"}
 OVERLAY: dict[str, Any] = {
     "id": "example",
     "categoryTreatments": {"slow_view": {"severityFloor": 2, "status": "in_force"}, "service_error": {"severityFloor": 3, "status": "pending"}},
@@ -150,12 +151,15 @@ def band_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("provider_id", "seq", "doc_id", "score", scoring.band(F.col("score"), F.lit(WARN), F.lit(BLOCK)).alias("band"), scoring.meter_scale(F.col("score"), F.lit(BLOCK).cast("long")).alias("meter"))
 
 
+def _counts_text(counts: Column) -> Column:
+    return F.array_join(F.transform(F.map_entries(counts), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+
+
 @query
 def rates_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     since, until = F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")
     out = scoring.rates(event_rows(spark, sf_dir).select("provider_id", "at", "flags"), since, until, 20)
-    counts = F.array_join(F.transform(F.map_entries("flag_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return out.withColumn("flag_counts", counts)
+    return out.withColumn("flag_counts", _counts_text(F.col("flag_counts")))
 
 
 @query
@@ -165,6 +169,21 @@ def export_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.export_view(rated.withColumn("incident_rate", F.lit(None).cast("double")), own)
 
 
+@query
+def telemetry_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header row, then each provider's payload."""
+    rated = scoring.rates(event_rows(spark, sf_dir).select("provider_id", "at", "flags"), F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), 20)
+    return scoring.batch(rated.withColumn("incident_rate", F.lit(None).cast("double")), BATCH)
+
+
+@query
+def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    open_ = policy.blocks(*_block_events(spark, sf_dir)).where("released_at is null").groupBy("provider_id").agg(F.count("*").alias("open_blocks"))
+    rated = scoring.rates(event_rows(spark, sf_dir).select("provider_id", "at", "flags"), F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), 20)
+    withheld = views.total_withheld(open_).select(F.lit("withheld").alias("name"), F.col("total_withheld").alias("n"))
+    return withheld.union(views.largest_count(rated).select(F.lit("largest_count"), "largest"))
+
+
 # Ledger scans and chain
 
 
@@ -294,7 +313,9 @@ def release_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def monitor_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events_ledger(spark, sf_dir)
-    return scoring.monitor_state(rows, policy.blocks(*_block_events(spark, sf_dir)), ledger.verify(_chained(spark, sf_dir)))
+    usual = typical_duration_median(spark, sf_dir).where("model = 'view'")
+    out = scoring.monitor_state(rows, policy.blocks(*_block_events(spark, sf_dir)), ledger.verify(_chained(spark, sf_dir)), typical=usual)
+    return out.withColumn("flag_counts", _counts_text(F.col("flag_counts")))
 
 
 # URLs, seals, verdicts
@@ -556,3 +577,113 @@ def released_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     released = rows.where("value > 100").select("provider_id", "response_id")
     texts = table(spark, sf_dir, "events").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id"), F.col("props").alias("content"))
     return api.withheld_content(rows, released, texts).select("provider_id", "response_id", "content")
+
+
+# Settings, displays and wire forms
+
+
+@query
+def transport_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    binding = F.when(k % 3 == 0, "chat-delta").when(k % 3 == 1, "strange")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", policy.transport(F.when(k % 4 != 0, F.col("s_name")), binding, list(wire.BINDINGS), "content-block-delta").alias("transport"))
+
+
+@query
+def setting_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = F.when(F.col("c_custkey") % 3 == 0, "on")
+    return table(spark, sf_dir, "customer").select("c_custkey", policy.setting("off", True, stored).alias("locked"), policy.setting("off", False, stored).alias("free"))
+
+
+@query
+def release_affordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = policy.blocks(*_block_events(spark, sf_dir)).where("released_at is null")
+    offered = lambda custodian: policy.release_offered(F.col("authority"), F.lit(custodian))
+    return b.select("provider_id", "response_id", offered(False).alias("own"), offered(True).alias("custodian"))
+
+
+@query
+def delivery_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    found = F.array(*[F.struct(F.lit(s).alias("source"), F.concat(F.lit(i), (n % 4).cast("string")).alias("id")) for s, i in (("monitor", "a"), ("policy", "b"), ("monitor", "c"))])
+    outcome = F.when(n % 3 == 0, "deliver_with_notice").when(n % 3 == 1, "deliver").otherwise("withhold")
+    shown = F.transform(views.delivery_notices(outcome, found), lambda x: x["id"])
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(shown, ",").alias("shown"))
+
+
+@query
+def notice_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, raised = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    window = F.when(n % 4 != 0, n % 50)
+    return table(spark, sf_dir, "events").select("event_id", notices.still_displayed(window, raised, raised + n % 3600 * 1000).alias("displayed"))
+
+
+@query
+def compose_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed characters, words and pastes; each minute of the real clock as a millisecond."""
+    n = F.col("event_id")
+    bump = notices.compose_bump(F.when(n % 3 == 0, "char").when(n % 3 == 1, "word").otherwise("paste"), F.col("props"))
+    at = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60000).cast("long")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream_id"), at.alias("at_ms"), n.alias("order_id"), bump.alias("bump"))
+    out = notices.arrival_levels(rows, notices.COMPOSE_HALF_LIFE_MS)
+    return out.select(F.col("order_id").alias("event_id"), F.round(notices.clamped(F.col("level")), 6).alias("level"))
+
+
+@query
+def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", (n % 5).alias("standing_ms"), (n % 700).alias("provider_ms"), F.when(n % 6 != 0, n % 40).alias("evaluate_ms"), (n % 800).alias("total_ms"))
+    return scoring.stage_times(rows, ["standing_ms", "provider_ms", "evaluate_ms"]).select("event_id", "parts_ms", "covered")
+
+
+@query
+def trail_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of exchanges at every stage, and of finished ones."""
+    n = F.col("event_id")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    marks = views.trail(pick(list(views.MARK_OF_STAGE)), pick([None, "deliver", "deliver_with_notice", "withhold", "refuse"]), n % 7 == 0, n % 3 == 0)
+    rows = table(spark, sf_dir, "events").select("event_id", marks.alias("m"))
+    return rows.select("event_id", F.array_join("m", ",").alias("marks"), views.halted(F.col("m")).alias("halted"), views.complete(F.col("m")).alias("complete"))
+
+
+@query
+def outbound_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    base = F.when(k % 3 == 0, "http://localhost:9000/x").when(k % 3 == 1, "http://[::1]/v1").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(urls.outbound_paths(base), ",").alias("paths"), urls.basename(F.col("url")).alias("base_name"))
+
+
+@query
+def seal_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seal as a header and back; two seals in one header are told apart from one."""
+    k = F.col("s_suppkey")
+    header = wire.encoded(F.struct(F.col("s_name").alias("registerEntryId"), F.lit("k1").alias("selector"), F.concat(F.lit("m>?"), k.cast("string")).alias("model")))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", header.alias("one"))
+    sent = F.when(k % 2 == 0, F.concat("one", F.lit(","), "one")).otherwise(F.col("one"))
+    return rows.select("s_suppkey", wire.decoded_seal(F.col("one"))["registerEntryId"].alias("entry"), wire.decoded_seal(F.col("one"))["model"].alias("model"), wire.several_seals(sent).alias("several"))
+
+
+@query
+def seal_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = digests.seal_payload("demo-seal", [F.col("role"), F.col("conv_id").cast("string")], F.col("text"))
+    pre = digests.pre_seal_payload("demo-pre-seal", [F.col("role"), F.col("turn").cast("string")])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(payload, 256).alias("payload_sha256"), F.sha2(pre, 256).alias("pre_sha256"), digests.one_line(F.col("text")).alias("one_line"))
+
+
+@query
+def evaluator_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(flags.prompt(TAXONOMY, F.col("text")), 256).alias("prompt_sha256"))
+
+
+@query
+def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as scripted chunks of bytes, put together and read again."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("exchange_id"), "text")
+    out = wire.accumulated(wire.whole_chunks(views.scripted_deltas(c)), "chat-delta")
+    return out.select("exchange_id", F.sha2("sealed_content", 256).alias("text_sha256"), F.col("terminal_seal").isNull().alias("unsealed"))
+
+
+@query
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = wire.tokens(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, "").eqNullSafe(F.col("text")).alias("whole"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from assayer import schemas
 
@@ -71,6 +72,17 @@ def replace_if_changed(current: DataFrame, fresh: DataFrame, key: str) -> tuple[
     return fresh, current.join(fresh, key, "left_anti").select(key)
 
 
+def reloaded(current: DataFrame, document: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Hot reload from the text of a JSON array (``document``, one row with ``value``) in the schema of ``current``.
+
+    A document that does not parse, or none at all, leaves the rows as they are and takes no key away.
+    """
+    sound = document.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", ArrayType(current.schema)).alias("rows")).where("rows is not null")
+    if not sound.limit(1).count():
+        return replace_if_changed(current, current, key)
+    return replace_if_changed(current, sound.select(F.explode("rows").alias("r")).select("r.*"), key)
+
+
 def holds_no_content(table: DataFrame) -> None:
     """Rates jobs get the ledger only: a column that could hold content is an error."""
     found = {"content", "text", "spans", "sealed"} & {c.lower() for c in table.columns}

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from assayer import api
@@ -57,3 +58,11 @@ def test_released_content_and_dns_entries(spark):
     assert {x["provider_id"]: x["register_entry_id"] for x in api.confirmed_entry(r, dns).collect()} == {"p": "named", "q": "own"}
     n = spark.sql("SELECT 'a' AS id, 2 AS raised_at, 'x' AS text UNION ALL SELECT 'a', 1, 'y'")
     assert api.pinned(n).first()["text"] == "y"
+
+
+def test_evaluator_of_a_configuration():
+    assert isinstance(api.evaluator_of(None), api.RuleEvaluator) and isinstance(api.evaluator_of({"kind": "rule"}), api.RuleEvaluator)
+    assert api.evaluator_of({"kind": "model", "verdictColumn": "v"}).column == "v"
+    for wrong in ({"kind": "model"}, {"kind": "other"}):
+        with pytest.raises(ValueError):
+            api.evaluator_of(wrong)

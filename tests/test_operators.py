@@ -155,3 +155,15 @@ def test_split_numbers_go_on(spark):
     want = rows.withColumn("seq", F.row_number().over(Window.partitionBy("provider_id").orderBy("at", "hash")).cast("long"))
     _same(ledger.numbered(rows, "at", "hash", part=F.to_date("at")), want)
     assert ledger.numbered(rows.limit(0), "at", part=F.to_date("at")).count() == 0
+
+
+def test_reload_keeps_rows_of_a_broken_document(spark):
+    current = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n long")
+    document = lambda text: spark.createDataFrame([(text,)], "value string")
+    rows, gone = tables.reloaded(current, document('[{"id": "a", "n": 7}, {"id": "c", "n": 3}]'), "id")
+    assert {tuple(r) for r in rows.collect()} == {("a", 7), ("c", 3)} and [r[0] for r in gone.collect()] == ["b"]
+    for broken in ('[{"id": "a", "n": 7}, {"id"', "", None, "no json"):
+        rows, gone = tables.reloaded(current, document(broken), "id")
+        assert {tuple(r) for r in rows.collect()} == {("a", 1), ("b", 2)} and not gone.count()
+    rows, gone = tables.reloaded(current, document("[]"), "id")
+    assert not rows.count() and {r[0] for r in gone.collect()} == {"a", "b"}
