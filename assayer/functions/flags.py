@@ -46,27 +46,33 @@ def spans(text: Column, criterion: dict[str, Any], most: int | None = None) -> C
 
 
 def _hits(text: Column, criterion: dict[str, Any]) -> Column:
-    if not criterion.get("unless"):
-        return text.rlike(_pattern(criterion))
-    out = F.regexp_extract_all(text, F.lit(_pattern(criterion)), F.lit(0))
-    return F.size(F.filter(out, lambda m: ~_exempt(m, criterion))) > 0
+    """Whether a match stands that is not exempt; ``needs`` of a criterion, if given, is in each of its matches and looked for first."""
+    if criterion.get("unless"):
+        out = F.regexp_extract_all(text, F.lit(_pattern(criterion)), F.lit(0))
+        hit = F.size(F.filter(out, lambda m: ~_exempt(m, criterion))) > 0
+    else:
+        hit = text.rlike(_pattern(criterion))
+    return text.contains(criterion["needs"]) & hit if criterion.get("needs") else hit
 
 
 def flags(text: Column, taxonomy: dict[str, Any], evidence: bool = False) -> Column:
     """At most one flag of each type, in the taxonomy's order: (type, severity, basis[, evidence])."""
     admissible(taxonomy)
-    out = []
-    for flag in taxonomy["flags"]:
-        fired = [F.when(_hits(text, c), F.lit(c["id"])) for c in flag["criteria"]]
-        basis = F.concat(F.lit(taxonomy["taxonomyVersion"] + ":"), F.concat_ws("+", *fired))
-        fields = [F.lit(flag["type"]).alias("type"), F.lit(int(flag["severity"])).alias("severity"), basis.alias("basis")]
+    version = F.lit(taxonomy["taxonomyVersion"] + ":")
+    fired = lambda flag: F.array_compact(F.array(*[F.when(_hits(text, c), F.lit(c["id"])) for c in flag["criteria"]]))
+    each = [F.struct(F.lit(f["type"]).alias("type"), F.lit(int(f["severity"])).alias("severity"), fired(f).alias("ids")) for f in taxonomy["flags"]]
+
+    def shown(f: Column) -> Column:
+        fields = [f["type"].alias("type"), f["severity"].alias("severity"), F.concat(version, F.array_join(f["ids"], "+")).alias("basis")]
         if evidence:
-            fields.append(F.slice(F.concat(*[spans(text, c, MAX_SPANS) for c in flag["criteria"]]), 1, MAX_SPANS).alias("evidence"))
-        hit = fired[0].isNotNull()
-        for f in fired[1:]:
-            hit = hit | f.isNotNull()
-        out.append(F.when(hit, F.struct(*fields)))
-    return F.array_compact(F.array(*out))
+            # Only types that fired come here.
+            none = F.array().cast("array<struct<start: int, end: int, text: string>>")
+            places = [(flag["type"], F.slice(F.concat(*[spans(text, c, MAX_SPANS) for c in flag["criteria"]]), 1, MAX_SPANS)) for flag in taxonomy["flags"]]
+            fields.append(F.coalesce(*[F.when(f["type"] == kind, found) for kind, found in places], none).alias("evidence"))
+        return F.struct(*fields)
+
+    # The criteria of a flag are tested once: both lambdas read the array.
+    return F.transform(F.filter(F.array(*each), lambda f: F.size(f["ids"]) > 0), shown)
 
 
 def instant_score(flag_array: Column) -> Column:

@@ -69,11 +69,11 @@ TAXONOMY: dict[str, Any] = {
     "taxonomyVersion": "own-1",
     "status": "current",
     "flags": [
-        {"type": "contact_detail", "severity": 2, "criteria": [{"id": "email", "pattern": r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z0-9.-]*[a-z0-9]", "unless": []}, {"id": "phone", "pattern": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "unless": ["555-00"]}]},
+        {"type": "contact_detail", "severity": 2, "criteria": [{"id": "email", "pattern": r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z0-9.-]*[a-z0-9]", "needs": "@", "unless": []}, {"id": "phone", "pattern": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "needs": "+1 (", "unless": ["555-00"]}]},
         {"type": "network_address", "severity": 1, "criteria": [{"id": "ipv4", "pattern": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "unless": [r"^127\."]}]},
-        {"type": "secret", "severity": 3, "criteria": [{"id": "assignment", "pattern": r"(?:token|password|api_key|secret) = .[a-z0-9]{8,}", "unless": []}]},
+        {"type": "secret", "severity": 3, "criteria": [{"id": "assignment", "pattern": r"(?:token|password|api_key|secret) = .[a-z0-9]{8,}", "needs": " = ", "unless": []}]},
         {"type": "licence_text", "severity": 1, "criteria": [{"id": "licence", "pattern": r"licensed under [a-z ]+", "unless": []}]},
-        {"type": "shouting", "severity": 1, "criteria": [{"id": "marks", "pattern": r"[a-z]+!! [a-z]+!! [a-z]+!!", "unless": []}]},
+        {"type": "shouting", "severity": 1, "criteria": [{"id": "marks", "pattern": r"[a-z]+!! [a-z]+!! [a-z]+!!", "needs": "!! ", "unless": []}]},
     ],
 }
 
