@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, decontam, lines, merkle, minhash, perplexity, pii, substring, toxicity
+from assayer.llm import bpe, chat, collocations, decontam, lines, merkle, minhash, perplexity, pii, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_table(spark, sf_dir, "documents"), max_n=4, least=30, covered=80, limit=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_perplexity": op8_quality_perplexity,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_merkle_fingerprint": op10_merkle_fingerprint,
+        "op12_phrase_collocations": op12_phrase_collocations,
     }
 
 
@@ -134,10 +139,31 @@ FROM n GROUP BY conv_id
 """
 
 
+OP12 = r"""
+WITH w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+         SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+     e AS (SELECT lang, p, unnest(w) AS x, unnest(range(len(w))) AS i FROM (SELECT lang, w, row_number() OVER () AS p FROM w)),
+     s AS (SELECT lang, x AS x1, lead(x, 1) OVER o AS x2, lead(x, 2) OVER o AS x3, lead(x, 3) OVER o AS x4 FROM e WINDOW o AS (PARTITION BY p ORDER BY i)),
+     g AS (SELECT lang, 1 AS k, x1 AS phrase FROM s UNION ALL SELECT lang, 2, x1 || ' ' || x2 FROM s WHERE x2 IS NOT NULL
+           UNION ALL SELECT lang, 3, x1 || ' ' || x2 || ' ' || x3 FROM s WHERE x3 IS NOT NULL UNION ALL SELECT lang, 4, x1 || ' ' || x2 || ' ' || x3 || ' ' || x4 FROM s WHERE x4 IS NOT NULL),
+     f AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS a, string_split(phrase, ' ') AS x FROM g GROUP BY ALL HAVING count(*) >= 30),
+     n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+     c AS (SELECT f.lang, f.k, f.phrase, f.a, f.x, j, p.a AS l, s.a AS r, CAST((CAST(2000000 AS HUGEINT) * f.a) // (CAST(p.a AS HUGEINT) + s.a) AS BIGINT) AS score
+           FROM f JOIN (SELECT unnest([1, 2, 3]) AS j) ON j < f.k
+           JOIN f p ON p.lang = f.lang AND p.phrase = array_to_string(f.x[1:j], ' ') JOIN f s ON s.lang = f.lang AND s.phrase = array_to_string(f.x[j+1:f.k], ' ')),
+     b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+     i AS (SELECT lang, a, k, unnest(list_transform([z for z in [[1, k - 1], [2, k], [1, k - 2], [2, k - 1], [3, k]] if z[2] - z[1] > 0], lambda z: array_to_string(x[z[1]:z[2]], ' '))) AS phrase FROM f WHERE k > 2),
+     o AS (SELECT lang, phrase, max(a) AS more FROM i GROUP BY ALL),
+     t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE o.more IS NULL OR 100 * o.more < 80 * b.a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": OP1,
         "op3_minhash_dedup": OP3,
         "op7_line_dedup": OP7,
         "op9_benchmark_decontamination": OP9,
+        "op12_phrase_collocations": OP12,
     }
