@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, collocations, decontam, lines, merkle, minhash, perplexity, pii, substring, toxicity
+from assayer.llm import bpe, chat, collocations, decontam, lines, merkle, minhash, perplexity, pii, substring, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(_table(spark, sf_dir, "conversations")).drop("a", "b")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(_table(spark, sf_dir, "documents"), max_n=4, least=30, covered=80, limit=2000)
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_perplexity": op8_quality_perplexity,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_merkle_fingerprint": op10_merkle_fingerprint,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_phrase_collocations": op12_phrase_collocations,
     }
 
@@ -139,6 +144,26 @@ FROM n GROUP BY conv_id
 """
 
 
+#: The remainders of CRC-32 are made from its polynomial; a sequence of turns is a list of digests.
+OP11 = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+     k AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS k FROM range(256) r(i)),
+     h AS (SELECT c, c % 20 = 0 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))), lambda x, y: xor(k[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) % 4 AS h
+           FROM (SELECT DISTINCT c FROM t), k),
+     n AS (SELECT c AS family, count(*) AS n FROM t GROUP BY c),
+     r AS (SELECT h.c, p AS d, role, text FROM h JOIN t ON t.c = h.c - h.c % 20 WHERE p <= h AND NOT base
+           UNION ALL SELECT t.c, CASE WHEN base THEN p ELSE p - h + least(h, coalesce(n, 0)) END, role, text FROM t JOIN h USING (c) LEFT JOIN n ON family = c - c % 20 WHERE base OR p > h),
+     a AS (SELECT c, 0 AS d, CAST([] AS VARCHAR[]) AS x, 0 AS words FROM h
+           UNION ALL SELECT c, d, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY d), len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda z: z <> '')) FROM r),
+     g AS (SELECT x, d, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM a GROUP BY x, d),
+     ch AS (SELECT x[1:d-1] AS x, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL),
+     m AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN ch ON ch.x = g.x),
+     s AS (SELECT x[1:i] AS x, sum((n_convs - 1) * words) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM m) GROUP BY ALL),
+     e AS (SELECT x, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY x)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM m JOIN s ON s.x = m.x LEFT JOIN g u ON m.d > 0 AND u.x = m.x[1:m.d-1] LEFT JOIN e ON e.x = m.x
+"""
+
 OP12 = r"""
 WITH w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
@@ -165,5 +190,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_minhash_dedup": OP3,
         "op7_line_dedup": OP7,
         "op9_benchmark_decontamination": OP9,
+        "op11_prefix_trie": OP11,
         "op12_phrase_collocations": OP12,
     }
