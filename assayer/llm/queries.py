@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, collocations, decontam, lines, merkle, minhash, perplexity, pii, substring, toxicity, trie
+from assayer.llm import bpe, chat, collocations, decontam, lines, merkle, minhash, perplexity, pii, quality_rules, substring, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(_table(spark, sf_dir, "documents"), max_n=4, least=30, covered=80, limit=2000)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_merkle_fingerprint": op10_merkle_fingerprint,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_phrase_collocations": op12_phrase_collocations,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -184,6 +189,26 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM t JOIN
 """
 
 
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, '') AS host, coalesce('t' || text, '') AS digest, coalesce(text, '') AS t FROM documents),
+     l AS (SELECT r, host, digest, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+     v AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+'), lambda z: z <> '') AS w,
+                  row_number() OVER (PARTITION BY r, x ORDER BY i) AS k FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+     p AS (SELECT r, x, i, generate_subscripts(c, 1) AS j, unnest(c) AS c FROM (SELECT r, x, i, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda z: z <> '') AS c FROM v)),
+     n AS (SELECT r, row_number() OVER o AS j, c AS x, lead(c, 1) OVER o AS y, lead(c, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY r ORDER BY i, j)),
+     q AS (SELECT r, j, z IS NOT NULL AND count(*) OVER (PARTITION BY r, x, y, z) > 1 AS again FROM n),
+     s AS (SELECT r, again OR coalesce(lag(again, 1) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS covered FROM q WINDOW o AS (PARTITION BY r ORDER BY j)),
+     rw AS (SELECT r, count(*) FILTER (covered) AS n_repeat_words FROM s GROUP BY r),
+     f AS (SELECT host, w FROM v GROUP BY ALL HAVING count(DISTINCT digest) > 10 AND 100 * count(DISTINCT digest) > 5 * max((SELECT count(DISTINCT digest) FROM d WHERE d.host = v.host))),
+     a AS (SELECT r, sum(len(v.w)) AS n_words, sum(list_sum(list_transform(v.w, lambda z: length(z)))) AS word_chars, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(len(v.w)) FILTER (f.w IS NOT NULL), 0) AS gone
+           FROM v LEFT JOIN f ON f.host = v.host AND f.w = v.w GROUP BY r),
+     o AS (SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_frequent_words FROM d LEFT JOIN a USING (r) LEFT JOIN rw USING (r)),
+     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
+SELECT *, NOT base_failed AND 100 * (n_words - n_frequent_words) >= 50 * n_words AS kept FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": OP1,
@@ -192,4 +217,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_benchmark_decontamination": OP9,
         "op11_prefix_trie": OP11,
         "op12_phrase_collocations": OP12,
+        "op13_quality_rules": OP13,
     }
