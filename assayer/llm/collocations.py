@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from assayer.llm import _graph, _text, decontam
 
 LEAST_BITS, MOST_BITS = 18, 26
+#: Rows in one Arrow batch of phrases.
+ROWS = 50_000
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _BETWEEN = _ENDS.copy()
@@ -88,7 +90,7 @@ def _counted(docs: DataFrame, sizes: list[int], known: Broadcast | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.columns
-            for a, b in _text.runs(texts, 2 * _text.CHUNK):
+            for a, b in _text.runs(texts):
                 words = _Words(texts.slice(a, b - a), langs.slice(a, b - a))
                 may = decontam._in(known.value, words.grams(known_size)) if known else None
                 for n in sizes:
@@ -99,8 +101,9 @@ def _counted(docs: DataFrame, sizes: list[int], known: Broadcast | None = None,
                     at = np.flatnonzero(held)
                     _, first, f = np.unique(hashes[at], return_index=True, return_counts=True)
                     at = at[first]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(words.lang[at])), words.phrases(at, n), pa.array(np.full(len(at), n, np.int32)), pa.array(f)], ["lang", "phrase", "size", "f"])
+                    for i in range(0, len(at), ROWS):
+                        own = at[i : i + ROWS]
+                        yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(words.lang[own])), words.phrases(own, n), pa.array(np.full(len(own), n, np.int32)), pa.array(f[i : i + ROWS])], ["lang", "phrase", "size", "f"])
 
     return docs.mapInArrow(run, GRAMS).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
 
