@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import policy as rules
-from assayer.plans import ordered
+from assayer.operators.ledger import PART_ROWS
+from assayer.plans import parts
 
 
 def fixed_outcome(standing: Column, passed: Column, sealed: Column, mandatory: Column, mode: Column, refuse_excluded: bool, unsealed: str) -> Column:
@@ -46,20 +47,39 @@ def step(remaining: int, row: dict[str, Any], carryover: dict[str, Any]) -> tupl
     return remaining, (kind, warn, block, remaining)
 
 
-def decisions(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
+def decided(row: dict[str, Column], lowered: bool, carryover: dict[str, Any]) -> tuple[Column, Column, Column]:
+    """(outcome, warn, block) in columns, with or without a carryover in force."""
+    warn, block = row["warn"], row["block"]
+    if lowered:
+        warn = F.greatest(F.lit(1.0), warn - carryover["warnDelta"])
+        block = F.greatest(warn + 1, block - carryover["blockDelta"])
+    scored = F.when(row["score"] >= block, F.when(row["mode"] == "annotate", "deliver_with_notice").otherwise("withhold")).when(row["score"] >= warn, "deliver_with_notice").otherwise("deliver")
+    return F.coalesce(row["fixed"], scored), warn, block
+
+
+def decisions(rows: DataFrame, policy: dict[str, Any], part_rows: int = PART_ROWS) -> DataFrame:
     """Outcomes of (provider_id, seq, response_id, score, warn, block, mode, fixed, n_flags, sent): one row each.
 
-    ``sent`` is false for a refusal before sending, which neither carries nor decays anything.
+    ``sent`` is false for a refusal before sending, which neither carries nor decays anything.  What a response does to the
+    clean responses still to come is a map of few states, so a provider's rows are cut in parts of ``part_rows`` numbers.
     """
     carryover = policy["carryover"]
-
-    def one(remaining: int, row: dict[str, Any]) -> tuple[int, tuple]:
-        remaining, made = step(remaining, row, carryover)
-        return remaining, (row["provider_id"], row["seq"], row["response_id"], row["score"], *made)
-
+    most = int(carryover["cleanResponses"])
     names = ["provider_id", "seq", "response_id", "score", "warn", "block", "mode", "fixed", "n_flags", "sent"]
     given = rows.select("provider_id", F.col("seq").cast("long").alias("seq"), "response_id", *[F.col(c).cast("double").alias(c) for c in ("score", "warn", "block")], *names[6:])
-    return ordered.fold(given, "provider_id", ["seq"], lambda: 0, one, "provider_id string, seq long, response_id string, score double, outcome string, effective_warn double, effective_block double, clean_remaining int")
+    row = {c: F.col(c) for c in names}
+    plain, low = (decided(row, lowered, carryover) for lowered in (False, True))
+    clean = F.col("sent") & (F.col("n_flags") == 0)
+
+    def after(state: int) -> Column:
+        outcome = low[0] if state else plain[0]
+        return F.when(outcome == "withhold", most).when(clean, max(0, state - 1)).otherwise(state)
+
+    out = parts.automaton(given, "provider_id", ["seq"], F.floor(F.col("seq") / part_rows), [after(s) for s in range(most + 1)], "before")
+    left = F.col("before")
+    kind, warn, block = (F.when(left > 0, lowered).otherwise(own) for own, lowered in zip(plain, low))
+    remaining = F.when(kind == "withhold", most).when(clean, F.greatest(F.lit(0), left - 1)).otherwise(left)
+    return out.select("provider_id", "seq", "response_id", "score", kind.alias("outcome"), warn.alias("effective_warn"), block.alias("effective_block"), remaining.cast("int").alias("clean_remaining"))
 
 
 def with_authority(decided: DataFrame, flags: Column, policy: dict[str, Any], found: dict[str, Any] | None = None) -> DataFrame:
@@ -90,6 +110,6 @@ def notices(reason: Column, outcome: Column) -> Column:
     return F.concat(F.filter(reason, lambda r: r == "unsealed_notice"), F.when((outcome == "deliver_with_notice") & (F.get(F.reverse(reason), F.lit(0)) == "warn_line"), F.array(F.lit("warn_band"))).otherwise(F.array().cast("array<string>")))
 
 
-def parts(number: Column, window: Column, instant: Column, seed: Column) -> Column:
+def score_parts(number: Column, window: Column, instant: Column, seed: Column) -> Column:
     """The score beside what it adds up."""
     return F.struct(number.alias("score"), window.alias("window"), instant.alias("instant"), seed.alias("seed"))
