@@ -15,6 +15,14 @@ HALF_LIFE_MS, BUMP, FLOOR = 350.0, 0.6, 0.002
 COMPOSE_HALF_LIFE_MS, COMPOSE_CHAR, COMPOSE_WORD = 700.0, 0.1, 0.32
 
 
+def goes_up(notice: dict[str, Any], before: int | None, at_ms: int, in_warn_band: bool) -> bool:
+    """Whether one delivery raises a notice last raised at ``before``."""
+    trigger, repeat = notice.get("trigger") or "session_start", notice.get("repeatMinutes")
+    if trigger in ("always", "on_warn"):
+        return trigger == "always" or in_warn_band
+    return before is None or bool(repeat and at_ms - before >= repeat * 60_000)
+
+
 #: A session's time is cut in this many blocks at most, and a notice's repeat in this many, while next deliveries are looked up.
 BLOCKS, OF_REPEAT = 4096, 64
 
