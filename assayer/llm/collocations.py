@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from assayer.llm import _graph, _text, decontam
 
 LEAST_BITS, MOST_BITS = 18, 26
-#: Rows in one Arrow batch of phrases.
-ROWS = 50_000
+#: Bytes of text taken at once, rows in one Arrow batch of phrases: what bounds a task's memory.
+RUN, ROWS = _text.CHUNK // 4, 50_000
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _BETWEEN = _ENDS.copy()
@@ -90,7 +90,7 @@ def _counted(docs: DataFrame, sizes: list[int], known: Broadcast | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.columns
-            for a, b in _text.runs(texts):
+            for a, b in _text.runs(texts, RUN):
                 words = _Words(texts.slice(a, b - a), langs.slice(a, b - a))
                 may = decontam._in(known.value, words.grams(known_size)) if known else None
                 for n in sizes:
