@@ -1,12 +1,24 @@
-"""Taxonomy scanning: one projection with literal patterns, no row explosion."""
+"""Taxonomy scanning: one projection, no row explosion.
+
+Whatever the number of criteria, a text is searched once for the literals that their matches must hold, and
+only criteria with one of theirs in it are matched.  Patterns that begin with a run of characters are matched in a form that takes time
+in proportion to the text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assayer.functions import patterns
+
+#: Up to this many literals are looked for one by one, more of them in one pass.
+FEW = 16
+
 MAX_SPANS, MAX_CHARS = 3, 200
 
 
@@ -18,7 +30,7 @@ def admissible(taxonomy: dict[str, Any]) -> None:
 def _pattern(criterion: dict[str, Any]) -> str:
     flags = criterion.get("flags", "gi")
     inline = "".join(f for f in "ims" if f in flags)
-    return (f"(?{inline})" if inline else "") + criterion["pattern"]
+    return (f"(?{inline})" if inline else "") + patterns.linear(criterion["pattern"])
 
 
 def _exempt(match: Column, criterion: dict[str, Any]) -> Column:
@@ -46,21 +58,51 @@ def spans(text: Column, criterion: dict[str, Any], most: int | None = None) -> C
 
 
 def _hits(text: Column, criterion: dict[str, Any]) -> Column:
-    """Whether a match stands that is not exempt; ``needs`` of a criterion, if given, is in each of its matches and looked for first."""
-    if criterion.get("unless"):
-        out = F.regexp_extract_all(text, F.lit(_pattern(criterion)), F.lit(0))
-        hit = F.size(F.filter(out, lambda m: ~_exempt(m, criterion))) > 0
-    else:
-        hit = text.rlike(_pattern(criterion))
-    return text.contains(criterion["needs"]) & hit if criterion.get("needs") else hit
+    """Whether a match stands that is neither empty nor exempt."""
+    if not criterion.get("unless") and not patterns.may_be_empty(criterion["pattern"]):
+        return text.rlike(_pattern(criterion))
+    out = F.regexp_extract_all(text, F.lit(_pattern(criterion)), F.lit(0))
+    return F.exists(out, lambda m: (m != "") & ~_exempt(m, criterion))
+
+
+def _needed(criterion: dict[str, Any]) -> frozenset[str]:
+    """Literals of which each match holds one: ``needs`` if it is given, else what the pattern shows."""
+    return frozenset([criterion["needs"].lower()]) if criterion.get("needs") else patterns.required(criterion["pattern"], shortest=2)
+
+
+def _in_sight(text: Column, taxonomy: dict[str, Any], test: Callable[[Callable[[dict[str, Any]], Column]], Column]) -> Column:
+    """``test`` of a function that tells, for a criterion, whether its match may stand in the text; literals are looked for once."""
+    literals = set().union(*(_needed(c) for f in taxonomy["flags"] for c in f["criteria"]))
+    if len(literals) <= FEW:
+
+        def one_by_one(c: dict[str, Any]) -> Column:
+            own = [(text if x == x.upper() else F.lower(text)).contains(x) for x in sorted(_needed(c))]
+            return reduce(lambda a, b: a | b, own, F.lit(False)) if own else F.lit(True)
+
+        return test(one_by_one)
+    present = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(patterns.any_of(literals)), F.lit(1)), F.lower))
+
+    def seen(found: Column) -> Callable[[dict[str, Any]], Column]:
+        def may(c: dict[str, Any]) -> Column:
+            needed = _needed(c)
+            # Where a longer literal stands, those it starts with do too.
+            own = sorted(x for x in literals if any(x.startswith(n) for n in needed))
+            return F.arrays_overlap(found, F.array(*map(F.lit, own))) if needed else F.lit(True)
+
+        return may
+
+    # A lambda's variable is computed once, however often it is read.
+    return F.get(F.transform(F.array(present), lambda found: test(seen(found))), F.lit(0))
 
 
 def flags(text: Column, taxonomy: dict[str, Any], evidence: bool = False) -> Column:
     """At most one flag of each type, in the taxonomy's order: (type, severity, basis[, evidence])."""
     admissible(taxonomy)
     version = F.lit(taxonomy["taxonomyVersion"] + ":")
-    fired = lambda flag: F.array_compact(F.array(*[F.when(_hits(text, c), F.lit(c["id"])) for c in flag["criteria"]]))
-    each = [F.struct(F.lit(f["type"]).alias("type"), F.lit(int(f["severity"])).alias("severity"), fired(f).alias("ids")) for f in taxonomy["flags"]]
+
+    def fired(may: Callable[[dict[str, Any]], Column]) -> Column:
+        ids = lambda flag: F.array_compact(F.array(*[F.when(may(c) & _hits(text, c), F.lit(c["id"])) for c in flag["criteria"]]))
+        return F.array(*[F.struct(F.lit(f["type"]).alias("type"), F.lit(int(f["severity"])).alias("severity"), ids(f).alias("ids")) for f in taxonomy["flags"]])
 
     def shown(f: Column) -> Column:
         fields = [f["type"].alias("type"), f["severity"].alias("severity"), F.concat(version, F.array_join(f["ids"], "+")).alias("basis")]
@@ -72,7 +114,7 @@ def flags(text: Column, taxonomy: dict[str, Any], evidence: bool = False) -> Col
         return F.struct(*fields)
 
     # The criteria of a flag are tested once: both lambdas read the array.
-    return F.transform(F.filter(F.array(*each), lambda f: F.size(f["ids"]) > 0), shown)
+    return F.transform(F.filter(_in_sight(text, taxonomy, fired), lambda f: F.size(f["ids"]) > 0), shown)
 
 
 def instant_score(flag_array: Column) -> Column:
