@@ -7,7 +7,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.plans import parts, stage
+from assayer.operators.ledger import PART_ROWS
+from assayer.plans import ordered, parts, stage
 
 #: Arrivals: half-life in ms, what one adds, below what a level is none.
 HALF_LIFE_MS, BUMP, FLOOR = 350.0, 0.6, 0.002
@@ -55,25 +56,45 @@ def _raise_times(deliveries: DataFrame, repeating: list[tuple[int, int]]) -> Dat
     starts = spans.select("s", kinds, F.col("first").alias("at")).select("s", "k.n", "at")
     width = F.greatest(F.lit(1), F.floor(F.col("k.repeat") / OF_REPEAT), F.ceil((F.col("last") - F.col("first")) / BLOCKS))
     times = deliveries.join(spans, "s").select("s", kinds, "at", "first", "last").select("s", "k.n", "at", "k.repeat", width.alias("width"))
+    most = spans.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0
     jumps = [stage.saved(_next_delivery(stage.saved(times)))]
-    while not stage.is_empty(jumps[-1]):
+    # A chain has at most as many raises as repeats fit in its session.
+    for _ in range((most // min(r for _, r in repeating)).bit_length()):
         last = jumps[-1]
         onward = last.select("s", "n", F.col("at").alias("next"), F.col("next").alias("then"))
         jumps.append(stage.saved(last.join(onward, ["s", "n", "next"]).select("s", "n", "at", F.col("then").alias("next"))))
     found = stage.saved(starts)
-    for jump in reversed(jumps[:-1]):
+    for jump in reversed(jumps):
         found = stage.saved(found.unionByName(found.join(jump, ["s", "n", "at"]).select("s", "n", F.col("next").alias("at"))))
     return found
 
 
-def raised(deliveries: DataFrame, notices: list[dict[str, Any]]) -> DataFrame:
+def raised(deliveries: DataFrame, notices: list[dict[str, Any]], part_rows: int = PART_ROWS) -> DataFrame:
     """(session_id, at_ms, order_id, raised): ids of the notices each delivery pins.
 
     ``always`` is raised each time, ``on_warn`` in the warn band, others at a session's first delivery
     and again ``repeatMinutes`` after they were last raised.  Deliveries of one millisecond go by order_id; rows equal
-    in session, time and order_id are one delivery.
+    in session, time and order_id are one delivery.  Sessions of more than ``part_rows`` rows are not run through but
+    found by pointers.
     """
-    rows = deliveries.select(F.struct("session_id").alias("s"), "session_id", F.col("at_ms").cast("long").alias("at_ms"), F.col("order_id").cast("long").alias("order_id"), "in_warn_band")
+    rows = deliveries.select("session_id", F.col("at_ms").cast("long").alias("at_ms"), F.col("order_id").cast("long").alias("order_id"), F.coalesce("in_warn_band", F.lit(False)).alias("in_warn_band"))
+    return parts.by_size(rows, "session_id", part_rows, lambda r: _run_through(r, notices), lambda r: _by_pointers(r, notices))
+
+
+def _run_through(rows: DataFrame, notices: list[dict[str, Any]]) -> DataFrame:
+    def step(state: tuple[dict[str, int], Any, list[str]], row: dict[str, Any]) -> tuple[tuple, tuple]:
+        last, before, out = state
+        now = (row["at_ms"], row["order_id"])
+        if now != before:
+            out = [n["id"] for n in notices if goes_up(n, last.get(n["id"]), now[0], row["in_warn_band"])]
+            last |= {i: now[0] for i in out}
+        return (last, now, out), (row["session_id"], *now, out)
+
+    return ordered.fold(rows, "session_id", ["at_ms", "order_id"], lambda: ({}, None, []), step, "session_id string, at_ms long, order_id long, raised array<string>")
+
+
+def _by_pointers(deliveries: DataFrame, notices: list[dict[str, Any]]) -> DataFrame:
+    rows = deliveries.withColumn("s", F.struct("session_id"))
     shown, timed = {}, []
     for i, n in enumerate(notices):
         trigger = n.get("trigger") or "session_start"
@@ -110,12 +131,27 @@ def decayed(level: float, elapsed_ms: float, half_life: float = HALF_LIFE_MS) ->
 PART_HALF_LIVES = 4096
 
 
-def arrival_levels(arrivals: DataFrame, half_life: float = HALF_LIFE_MS, part_half_lives: int = PART_HALF_LIVES) -> DataFrame:
-    """(stream_id, at_ms, order_id, level) after each arrival of (stream_id, at_ms, order_id[, bump]); a stream is cut in parts of time."""
-    bump = F.col("bump") if "bump" in arrivals.columns else F.lit(BUMP)
+def arrival_levels(arrivals: DataFrame, half_life: float = HALF_LIFE_MS, part_half_lives: int = PART_HALF_LIVES, part_rows: int = PART_ROWS) -> DataFrame:
+    """(stream_id, at_ms, order_id, level) after each arrival of (stream_id, at_ms, order_id[, bump]); arrivals without a time are left out.
+
+    A stream of more than ``part_rows`` arrivals is cut in parts of ``part_half_lives``.
+    """
+    bump = F.coalesce(F.col("bump").cast("double"), F.lit(0.0)) if "bump" in arrivals.columns else F.lit(BUMP)
     rows = arrivals.select("stream_id", F.col("at_ms").cast("long").alias("at_ms"), F.col("order_id").cast("long").alias("order_id"), bump.alias("bump")).where("at_ms is not null")
     part = F.floor(F.col("at_ms") / (half_life * part_half_lives))
-    return parts.decaying(rows, "stream_id", "at_ms", ["at_ms", "order_id"], part, F.col("bump"), half_life, FLOOR, "level").drop("bump")
+
+    def step(state: tuple[float, int] | None, row: dict[str, Any]) -> tuple[tuple[float, int], tuple]:
+        level = 0.0 if state is None else decayed(state[0], row["at_ms"] - state[1], half_life)
+        level = min(1.0, level + row["bump"])
+        return (level, row["at_ms"]), (row["stream_id"], row["at_ms"], row["order_id"], level)
+
+    def whole(own: DataFrame) -> DataFrame:
+        return ordered.fold(own, "stream_id", ["at_ms", "order_id"], lambda: None, step, "stream_id string, at_ms long, order_id long, level double")
+
+    def split(own: DataFrame) -> DataFrame:
+        return parts.decaying(own, "stream_id", "at_ms", ["at_ms", "order_id"], part, F.col("bump"), half_life, FLOOR, "level").drop("bump")
+
+    return parts.by_size(rows, "stream_id", part_rows, whole, split)
 
 
 def compose_bump(kind: Column, text: Column) -> Column:

@@ -20,6 +20,17 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from assayer.plans import ordered, stage
 
 
+def by_size(rows: DataFrame, key: str, most: int, whole: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``whole`` of the keys of up to ``most`` rows, which one task may run through, and ``split`` of longer ones; both give the same rows."""
+    name = stage.free_name(rows, "key")
+    long = stage.saved(rows.groupBy(F.struct(key).alias(name)).count().where(F.col("count") > most).select(name))
+    if stage.is_empty(long):
+        return whole(rows)
+    keyed = rows.withColumn(name, F.struct(key))
+    # Each has more than ``most`` rows, so there are few.
+    return whole(keyed.join(long, name, "left_anti").drop(name)).unionByName(split(keyed.join(long, name, "left_semi").drop(name)))
+
+
 class _Runs:
     """Runs of equal (key, part) in sorted batches: where each starts and ends, its name, whether it goes on from the batch before."""
 
