@@ -1,7 +1,7 @@
 """Repeated passages: paragraph MinHash banding and exact verification (operator 6).
 
 Paragraphs are the runs between newlines.  Equal sequences of words (128-bit hash) are one class, whatever
-their length.  Classes of ``BANDED`` words or more are sketched by minima of their five-word shingles; ``BAND_ROWS``
+their length.  Classes of six words or more (``banded``) are sketched by minima of their five-word shingles; ``BAND_ROWS``
 coordinates make a band, and the number of bands is the least that misses a paragraph at the threshold
 in fewer than one of a thousand cases.  Paragraphs that collide are verified by the exact Jaccard similarity of their
 whole shingle sets, with hubs as in ``minhash.connect``; a cluster is a connected component.  (Shorter ones
@@ -34,14 +34,18 @@ from pyspark.sql import functions as F
 from assayer.llm import _graph, _text, minhash
 
 SHINGLE = 5
-#: Paragraphs of fewer words have equal shingle sets at any similarity of 0.8 or more.
-BANDED = 8
 BAND_ROWS = 2
 ANCHOR, WINDOW = 15, 36
 BLOCK = 128
 PARITY = 8
 
 
+def banded(percent: int) -> int:
+    """Words from which on two paragraphs of different words may be near: one of five or fewer has a single shingle, which
+    a longer one's shingles can make half of at most."""
+    return SHINGLE + 1 if percent > 50 else SHINGLE
+
+
 def tuned_bands(percent: int, rows: int = BAND_ROWS, miss: float = 1e-3) -> int:
     """The least number of bands that all miss a pair at the threshold at most so often."""
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
@@ -102,9 +106,9 @@ def _bands(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: in
     return keys
 
 
-def _units_of(texts: pa.Array, bands: int) -> Iterator[tuple]:
+def _units_of(texts: pa.Array, bands: int, least: int) -> Iterator[tuple]:
     """For each text: number of words; first words and hashes of anchors; first words, sizes and two hashes of
-    paragraphs; band keys of those of ``BANDED`` words or more."""
+    paragraphs; band keys of those of ``least`` words or more."""
     for a, b in _text.runs(texts):
         raw, offsets = _text.buffer_of(texts.slice(a, b - a))
         starts, ends, rows = _text.word_bounds(raw, offsets)
@@ -114,11 +118,11 @@ def _units_of(texts: pa.Array, bands: int) -> Iterator[tuple]:
         line_ends = np.append(lines[1:], len(words)).astype(np.int64)
         one = _text.segment_hashes(words, lines, line_ends)
         two = _text.segment_hashes(_text.mix(words, 77), lines, line_ends)
-        banded = line_ends - lines >= BANDED
+        sketched = line_ends - lines >= least
         shingles, _ = _text.shingle_hashes(words, np.array([0, len(words)]), SHINGLE)
-        keys = _bands(shingles, lines[banded], line_ends[banded], bands) if banded.any() else np.zeros((0, bands), np.uint64)
+        keys = _bands(shingles, lines[sketched], line_ends[sketched], bands) if sketched.any() else np.zeros((0, bands), np.uint64)
         at, hashes = _anchors(words, rows)
-        of_anchor, of_line, of_key = np.searchsorted(at, rows), np.searchsorted(lines, rows), np.searchsorted(lines[banded], rows)
+        of_anchor, of_line, of_key = np.searchsorted(at, rows), np.searchsorted(lines, rows), np.searchsorted(lines[sketched], rows)
         for r in range(b - a):
             anchors, own, banded_own = slice(of_anchor[r], of_anchor[r + 1]), slice(of_line[r], of_line[r + 1]), slice(of_key[r], of_key[r + 1])
             yield int(rows[r + 1] - rows[r]), at[anchors] - rows[r], hashes[anchors], lines[own] - rows[r], (line_ends - lines)[own], one[own], two[own], keys[banded_own].ravel()
@@ -131,13 +135,13 @@ def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _LISTS = {"at": pa.int32(), "anchor": pa.int64(), "first": pa.int32(), "size": pa.int32(), "one": pa.int64(), "two": pa.int64(), "keys": pa.int64()}
 
 
-def units(docs: DataFrame, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def units(docs: DataFrame, bands: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, mark, other, n_words, at, anchor, first, size, one, two, keys): a row of arrays for each text with words;
     mark and other are hashes of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_units_of(batch.column(3), bands))
+            found = list(_units_of(batch.column(3), bands, least))
             lists = [_text.lists([x[i + 1] for x in found], kind) for i, kind in enumerate(_LISTS.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in found], pa.int64()), *lists], ["doc", "mark", "other", "n_words", *_LISTS])
 
@@ -265,9 +269,9 @@ def _pasted(own: DataFrame, given: DataFrame) -> DataFrame:
 def _clusters(own: DataFrame, given: DataFrame, percent: int, bands: int) -> DataFrame:
     """(doc, mark, first, size, cluster, removed): the paragraphs that have an equal or a near one elsewhere."""
     every = own.select("doc", "mark", F.explode(F.arrays_zip("first", "size", "one", "two")).alias("u")).select("doc", "mark", "u.*")
-    long_ = F.filter(F.arrays_zip("first", "size", "one", "two"), lambda u: u["size"] >= BANDED)
+    long_ = F.filter(F.arrays_zip("first", "size", "one", "two"), lambda u: u["size"] >= banded(percent))
     rows = F.transform(long_, lambda u, i: F.struct(u["first"].alias("first"), u["size"].alias("size"), u["one"].alias("one"), u["two"].alias("two"), F.slice("keys", i * bands + 1, bands).alias("keys")))
-    short = F.transform(F.filter(F.arrays_zip("first", "size", "one", "two"), lambda u: u["size"] < BANDED), lambda u: F.struct(u["first"].alias("first"), u["size"].alias("size"), u["one"].alias("one"), u["two"].alias("two"), F.array().cast("array<bigint>").alias("keys")))
+    short = F.transform(F.filter(F.arrays_zip("first", "size", "one", "two"), lambda u: u["size"] < banded(percent)), lambda u: F.struct(u["first"].alias("first"), u["size"].alias("size"), u["one"].alias("one"), u["two"].alias("two"), F.array().cast("array<bigint>").alias("keys")))
     place = F.struct("doc", "mark", "first")
     keyed = own.select("doc", "mark", F.explode(F.concat(rows, short)).alias("u")).select("doc", "mark", "u.*")
     classes = keyed.groupBy("one", "two").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.first("size").alias("size"), F.first("keys").alias("keys"))
@@ -303,7 +307,7 @@ def occurrences(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     """(doc, mark, first, size, cluster, removed): words of every paragraph or passage that stands elsewhere too."""
     bands = tuned_bands(percent)
     given = _given(docs, id_col, text_col)
-    table = _graph.saved(units(docs, bands, id_col, text_col))
+    table = _graph.saved(units(docs, bands, banded(percent), id_col, text_col))
     texts = table.select("mark", "other", "n_words", F.struct("doc").alias("doc"))
     copied = _graph.saved(texts.groupBy("mark", "other", "n_words").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("mark", "other", "n_words", "least"))
     every = texts.join(copied, ["mark", "other", "n_words"]).select("doc.doc", "mark", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("size"), F.col("mark").alias("cluster"), (F.col("doc") > F.col("least")).alias("removed"))
@@ -354,14 +358,15 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
 
 def remove_passages(docs: DataFrame, percent: int = 80, run: int = 15) -> DataFrame:
     """``docs`` with removed occurrences cut from the texts; all rows and columns stay."""
-    found = repeated_passages(docs, percent, run=run).where("removed").groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cut"))
-    at = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_m"))
-    given = docs.join(_graph.small_lists(_graph.saved(found), "_cut"), at, "left").select(*docs.columns, "_cut")
+    d, m, gone_col = _graph.free_names(docs, "_d", "_m", "_cut")
+    found = repeated_passages(docs, percent, run=run).where("removed").groupBy(F.col("doc_id").alias(d), F.col("mark").alias(m)).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(gone_col))
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(m))
+    given = docs.join(_graph.small_lists(_graph.saved(found), gone_col), at, "left").select(*docs.columns, gone_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_cut").to_pylist()):
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(gone_col).to_pylist()):
                 if gone:
                     raw = text.encode()
                     starts, ends, _ = _text.word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
