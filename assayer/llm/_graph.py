@@ -26,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each made longer while ``df`` has a column of its name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a small table through the shared checkpoint folder."""
     shared_folder(df.sparkSession)

@@ -48,13 +48,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gone: str = "_gone") -> DataFrame:
-    """``docs`` with the text without later occurrences and, as column ``gone``, the removed lines' numbers (null: none)."""
-    found = _graph.saved(removals(docs, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("gone").alias(gone)))
+    """``docs`` with the text without later occurrences and, as column ``gone`` (a name that ``docs`` lacks), the removed lines' numbers (null: none)."""
+    own_doc, own_mark = _graph.free_names(docs, "_doc", "_mark")
+    found = _graph.saved(removals(docs, id_col, text_col).select(F.col("doc").alias(own_doc), F.col("mark").alias(own_mark), F.col("gone").alias(gone)))
     # The positions to remove are few beside the texts: sent to all tasks while they are at most some 16 MB.
     places = found.agg(F.coalesce(F.sum(F.size(gone) + 6), F.lit(0))).first()[0]
     found = F.broadcast(found) if places <= 4_000_000 else found
     mark = F.xxhash64(F.col(text_col))
-    out = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (mark == F.col("_mark")), "left")
+    out = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(own_doc)) & (mark == F.col(own_mark)), "left")
     lines = _lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
@@ -63,5 +64,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` (with n_chars) after removal; all rows and columns stay."""
-    out = remove_repeats(docs).drop("_gone")
+    (gone,) = _graph.free_names(docs, "_gone")
+    out = remove_repeats(docs, gone=gone).drop(gone)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

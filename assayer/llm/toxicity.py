@@ -197,4 +197,5 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without rejected documents; all columns stay."""
     model = train(docs, grades_of(labels))
-    return score(docs, model, "_severity", "_p_toxic").where(F.col("_p_toxic") < REJECT).select(*docs.columns)
+    severity, risk = _graph.free_names(docs, "_severity", "_p_toxic")
+    return score(docs, model, severity, risk).where(F.col(risk) < REJECT).select(*docs.columns)

@@ -208,3 +208,33 @@ def test_merkle_tree_finds_the_edit():
     a, b = merkle.fingerprint(text), merkle.fingerprint(edited)
     assert a != b and merkle.differences(b, a) == [33] and merkle.differences(a, a) == [] and 0.9 < merkle.likeness(a, b) < 1
     assert merkle.likeness("x/", "y/") == 0.0 and merkle.likeness(a, a) == 1.0
+
+
+INTERNAL = ["_severity", "_p_toxic", "_doc", "_mark", "_gone", "_d", "_m", "_cut", "doc", "mark", "gone", "severity", "p_toxic", "shingles", "key", "size", "ids", "item_id", "component", "_severity_"]
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "lines", "near", "benchmark", "passages"])
+def test_columns_of_internal_names_stay(spark, stage):
+    """Extra columns of every name an operator uses itself keep their values; no row with them is lost or changed."""
+    block = "first line here\nsecond line here\nthird line here"
+    texts = [(1, block), (2, block + "\nand one more"), (3, "clean words that stand alone in this text here"), (4, None), (5, ""), (None, "clean and without an id of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA).withColumns({n: F.concat(F.lit("mine-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in INTERNAL})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 4)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "this item is nowhere in these texts at all")], "item_id long, text string")
+    out = {
+        "toxicity": lambda d: toxicity.drop_toxic(d, labels), "lines": lines.clean, "near": lambda d: minhash.keep_one(d), "benchmark": lambda d: decontam.drop_contaminated(d, items),
+        "passages": lambda d: substring.remove_passages(d, run=3),
+    }[stage]
+    got = out(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert all(r[n] == f"mine-{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in INTERNAL)
+    assert {r["doc_id"] for r in rows} >= {1, 3, None} and (stage == "near" or len(rows) == 6)
+    assert out(docs.limit(0)).count() == 0
+
+
+def test_short_paragraphs_of_equal_shingles(spark):
+    """Six words each, in another order: the same five-word shingles; one word more: two of three shared."""
+    pairs = spark.createDataFrame([(1, "a b a b a b"), (2, "b a b a b a"), (3, "c d e f g h"), (4, "c d e f g h i"), (5, "k l m n o"), (6, "k l m n o p")], "doc_id long, text string")
+    linked = lambda percent: {r["doc_id"] for r in substring.repeated_passages(pairs, percent).collect()}
+    assert linked(80) == {1, 2} and linked(60) == {1, 2, 3, 4} and linked(50) == {1, 2, 3, 4, 5, 6}
