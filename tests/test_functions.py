@@ -127,3 +127,43 @@ def test_scripted_deltas_read_back(spark):
     rows = spark.createDataFrame([("x", ' one\n"two"  é')], "exchange_id string, text string")
     got = wire.accumulated(wire.whole_chunks(views.scripted_deltas(rows)), "chat-delta").first()
     assert got["sealed_content"] == ' one\n"two"  é' and got["terminal_seal"] is None
+
+
+def test_strict_json_in_columns(spark):
+    """Against a plain reader, on sound texts, cut and glued ones, repeats at any depth, escapes and odd numbers."""
+    import json
+    import random
+
+    def plain(text):
+        seen = []
+
+        def pairs(found):
+            seen.append(len({k for k, _ in found}) < len(found))
+            return dict(found)
+
+        try:
+            json.loads(text, object_pairs_hook=pairs, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+        except (ValueError, TypeError):
+            return "malformed"
+        return "duplicate" if any(seen) else "ok"
+
+    rng = random.Random(9)
+    names = ["a", "b", "A", "", "k", "\\u0061", "é", "\\n", '\\"']
+
+    def value(depth):
+        kind = rng.randint(0, 7 if depth else 4)
+        if kind == 5:
+            return "[" + rng.choice([",", ", "]).join(value(depth - 1) for _ in range(rng.randint(0, 3))) + "]"
+        if kind > 5:
+            return "{" + ",".join(f'"{rng.choice(names)}": {value(depth - 1)}' for _ in range(rng.randint(0, 3))) + "}"
+        return rng.choice(["1", "-0", "1e5", "0.5", "null", "true", '"x"', '"\\ud83d\\ude00"', '"\\\\"', "123456789012345678901234567890", '"}"', '"],["'])
+
+    texts = [value(3) for _ in range(700)]
+    texts += [t[: rng.randint(0, len(t))] for t in texts[:200]] + [a + rng.choice(["", " ", ",", "}", "]", "],[", '}{"k":', "\n", ':1,"k":']) + b for a, b in zip(texts[200:400], texts[400:600])]
+    texts += ["", " ", "\t1\n", "NaN", "[NaN]", "Infinity", "01", "1.", ".5", "+1", "'a'", "{'a': 1}", '{"a": 1,}', "[1,]", "1 2", "1,2", "1],[2", '1}{"k":2', '"a\nb"', '"\\x"', "// c\n1", "﻿1", None, "[" * 300 + "]" * 300, '{"a":{"b":1,"b":2}}x', "tru", '"open', "1:2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    plan = rows.select(wire.json_code(F.col("t")).alias("code"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["code"] for r in rows.select("i", wire.json_code(F.col("t")).alias("code")).collect()}
+    wrong = [(t, got[i], plain(t)) for i, t in enumerate(texts) if got[i] != plain(t)]
+    assert not wrong and set(got.values()) == {"ok", "duplicate", "malformed"}
