@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.flags import instant_score
 from assayer.operators.ledger import PART_ROWS
-from assayer.plans import ordered
+from assayer.plans import ordered, parts, stage
 from assayer.sources.tables import holds_no_content
 
 #: A response scored now may see rows up to a second later.
@@ -37,30 +37,69 @@ def count_window(ledger: DataFrame, n: int = 10, session_start: Column | None =
     return ordered.rolling(ledger, "provider_id", "seq", F.floor(F.col("seq") / part_rows), n, measures)
 
 
-def time_window(ledger: DataFrame, hours: int = 24, session: Column | None = None) -> DataFrame:
+def time_window(ledger: DataFrame, hours: int = 24, session: Column | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """window_score and window_size over ``[at - hours, at + 1 s)`` without the row itself, within the session if there is one.
 
-    A provider's rows are split in parts as long as the window; time and score of a row go to each part that can see it.  A sum
-    is the difference of two running sums, which read each row once however many rows a window holds.
+    Providers of up to ``part_rows`` rows take one shuffle (``_by_spans``); of longer ones even a single day is many tasks (``_by_ranges``).
     """
     span = hours * 3_600_000_000
-    keys = ["provider_id"] if session is None else ["provider_id", "session_"]
-    own = ledger.withColumn("us_", F.unix_micros(F.col("at").cast("timestamp")))
-    own = own if session is None else own.withColumn("session_", session)
-    part = lambda us: F.floor(us / span).cast("long")
-    sent = own.withColumn("own_", part(F.col("us_"))).withColumn("part_", F.explode_outer(F.sequence(part(F.col("us_") - (AHEAD_US - 1)), part(F.col("us_") + span))))
-    mine = F.col("own_").eqNullSafe(F.col("part_"))
-    kept = {*keys, "us_", "own_", "part_", "instant_score"}
+    us, own_session = stage.free_name(ledger, "us"), stage.free_name(ledger, "session_of")
+    rows = ledger.withColumn(us, F.unix_micros(F.col("at").cast("timestamp")))
+    keys = ["provider_id"] if session is None else ["provider_id", own_session]
+    rows = rows if session is None else rows.withColumn(own_session, session)
+    out = parts.by_size(rows, "provider_id", part_rows, lambda r: _by_spans(r, keys, us, span), lambda r: _by_ranges(r, keys, us, span))
+    return out.drop(us, own_session)
+
+
+def _by_spans(own: DataFrame, keys: list[str], us: str, span: int) -> DataFrame:
+    """Time cut in parts as long as the window; time and score of a row go to each part that can see it.  A sum
+    is the difference of two running sums, which read each row once however many rows a window holds."""
+    here, there = stage.free_name(own, "here"), stage.free_name(own, "there")
+    part = lambda x: F.floor(x / span).cast("long")
+    sent = own.withColumn(here, part(F.col(us))).withColumn(there, F.explode_outer(F.sequence(part(F.col(us) - (AHEAD_US - 1)), part(F.col(us) + span))))
+    mine = F.col(here).eqNullSafe(F.col(there))
+    kept = {*keys, us, here, there, "instant_score"}
     sent = sent.select(*[F.col(c) if c in kept else F.when(mine, F.col(c)).alias(c) for c in sent.columns])
-    within = Window.partitionBy(*keys, "part_").orderBy("us_")
+    within = Window.partitionBy(*keys, there).orderBy(us)
     until, before = within.rangeBetween(Window.unboundedPreceding, AHEAD_US - 1), within.rangeBetween(Window.unboundedPreceding, -span - 1)
     # Rows without a time see one another and nothing else.
-    early = lambda c: F.coalesce(F.when(F.col("us_").isNotNull(), c.over(before)), F.lit(0))
+    early = lambda c: F.coalesce(F.when(F.col(us).isNotNull(), c.over(before)), F.lit(0))
     out = sent.withColumns({
         "window_score": F.sum("instant_score").over(until) - early(F.sum("instant_score")) - F.col("instant_score"),
         "window_size": F.count("*").over(until) - early(F.count("*")) - 1,
     })
-    return out.where(mine).drop("us_", "session_", "own_", "part_")
+    return out.where(mine).drop(here, there)
+
+
+def _by_ranges(own: DataFrame, keys: list[str], us: str, span: int) -> DataFrame:
+    """The same for hot providers: scores and the two ends of every row's window are points of one line, cut in ranges of equal size.
+
+    Running sums within a range go on from the sums of earlier ranges; a row's score is the sum at its window's end less
+    that before its start.  However many rows an hour holds, they are many ranges.
+    """
+    name = stage.free_name(own, "row")
+    rows = stage.saved(own.withColumn(name, F.monotonically_increasing_id()))
+    key = F.struct(*keys).alias("key")
+    timed = rows.where(F.col(us).isNotNull()).select(name, key, F.col(us).alias("us"), F.col("instant_score").cast("long").alias("own"))
+    none = F.lit(None).cast("long")
+    ends = [timed.select("key", (F.col("us") + shift).alias("x"), F.lit(kind).alias("kind"), F.col(name).alias("of"), none.alias("own")) for kind, shift in ((1, AHEAD_US - 1), (2, -span - 1))]
+    line = timed.select("key", F.col("us").alias("x"), F.lit(0).alias("kind"), none.alias("of"), "own").union(ends[0]).union(ends[1])
+    # Saved with its range: a second run of the cut might cut elsewhere.
+    line = stage.saved(line.repartitionByRange("key", "x", "kind").withColumn("range", F.spark_partition_id()))
+    sums = {"score": F.sum("own"), "size": F.count("own")}
+    inside = Window.partitionBy("key", "range").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    whole = line.groupBy("key", "range").agg(*[c.alias(n) for n, c in sums.items()])
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each range of a hot provider.
+    starts = whole.select("key", "range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums])
+    upto = line.withColumns({n: F.coalesce(c.over(inside), F.lit(0)) for n, c in sums.items()}).where("of is not null").join(starts, ["key", "range"])
+    at = lambda kind, n: F.max(F.when(F.col("kind") == kind, F.col(n) + F.col(f"{n}_before")))
+    found = upto.groupBy("of").agg(*[(at(1, n) - at(2, n)).alias(n) for n in sums])
+    untimed = rows.where(F.col(us).isNull()).groupBy(key).agg(F.sum("instant_score").alias("score"), F.count("*").alias("size"))
+    untimed = rows.where(F.col(us).isNull()).select(F.col(name).alias("of"), key).join(untimed, "key").select("of", "score", "size")
+    both = found.unionByName(untimed).select("of", F.col("score").alias("window_score"), F.col("size").alias("window_size"))
+    out = rows.join(both, F.col(name) == F.col("of"))
+    return out.select(*own.columns, (F.col("window_score") - F.col("instant_score")).alias("window_score"), (F.col("window_size") - 1).alias("window_size"))
 
 
 def seed(standing: Column, elevated: int = 2, unknown: int = 0) -> Column:

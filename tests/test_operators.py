@@ -141,13 +141,13 @@ def test_split_count_windows_are_whole(spark, part_rows):
     _same(scoring.count_window(rows, 10, start, part_rows), want)
 
 
-@pytest.mark.parametrize("sessions", [0, 3])
-def test_split_time_windows_are_whole(spark, sessions):
+@pytest.mark.parametrize(("sessions", "part_rows"), [(0, 10**6), (3, 10**6), (0, 100), (3, 0)])
+def test_split_time_windows_are_whole(spark, sessions, part_rows):
     session = F.col("seq") % sessions if sessions else None
     rows = _hot_ledger(spark).withColumn("s", F.lit(0) if session is None else session)
     w = Window.partitionBy("provider_id", "s").orderBy(F.unix_micros("at")).rangeBetween(-24 * 3_600_000_000, 999_999)
     want = rows.withColumn("window_score", F.sum("instant_score").over(w) - F.col("instant_score")).withColumn("window_size", F.count("*").over(w) - 1)
-    _same(scoring.time_window(rows, 24, session), want)
+    _same(scoring.time_window(rows, 24, session, part_rows), want)
 
 
 def test_split_numbers_go_on(spark):
@@ -167,3 +167,11 @@ def test_reload_keeps_rows_of_a_broken_document(spark):
         assert {tuple(r) for r in rows.collect()} == {("a", 1), ("b", 2)} and not gone.count()
     rows, gone = tables.reloaded(current, document("[]"), "id")
     assert not rows.count() and {r[0] for r in gone.collect()} == {"a", "b"}
+
+
+def test_a_hot_day_is_many_ranges(spark):
+    """All rows of one provider within an hour, many at the same time."""
+    rows = spark.range(20_000).select(F.lit("hot").alias("provider_id"), F.col("id").alias("seq"), F.timestamp_micros(F.floor(F.col("id") / 3) * 540_000).alias("at"), (F.col("id") % 4).alias("instant_score"))
+    w = Window.partitionBy("provider_id").orderBy(F.unix_micros("at")).rangeBetween(-3_600_000_000, 999_999)
+    want = rows.withColumn("window_score", F.sum("instant_score").over(w) - F.col("instant_score")).withColumn("window_size", F.count("*").over(w) - 1)
+    _same(scoring.time_window(rows, 1, part_rows=1000), want)
