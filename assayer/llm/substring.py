@@ -38,6 +38,8 @@ BAND_ROWS = 2
 ANCHOR, WINDOW = 15, 36
 BLOCK = 128
 PARITY = 8
+#: Bytes of text taken at once: what bounds a task's working arrays.
+RUN = _text.CHUNK // 4
 
 
 def banded(percent: int) -> int:
@@ -109,7 +111,7 @@ def _bands(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: in
 def _units_of(texts: pa.Array, bands: int, least: int) -> Iterator[tuple]:
     """For each text: number of words; first words and hashes of anchors; first words, sizes and two hashes of
     paragraphs; band keys of those of ``least`` words or more."""
-    for a, b in _text.runs(texts):
+    for a, b in _text.runs(texts, RUN):
         raw, offsets = _text.buffer_of(texts.slice(a, b - a))
         starts, ends, rows = _text.word_bounds(raw, offsets)
         words = _text.word_hashes(raw, starts, ends)
@@ -168,7 +170,7 @@ def _paragraph_sets(given: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _text.runs(batch.column(0)):
+            for a, b in _text.runs(batch.column(0), RUN):
                 raw, offsets = _text.buffer_of(batch.column(0).slice(a, b - a))
                 starts, ends, rows = _text.word_bounds(raw, offsets)
                 words = _text.word_hashes(raw, starts, ends)
@@ -189,7 +191,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _text.runs(batch.column(2)):
+            for a, b in _text.runs(batch.column(2), RUN):
                 raw, offsets = _text.buffer_of(batch.column(2).slice(a, b - a))
                 starts, ends, rows = _text.word_bounds(raw, offsets)
                 data, row, number, pieces = raw.tobytes(), [], [], []
