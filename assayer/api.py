@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import flags as scanning
-from assayer.operators import gate, ledger, policy, scoring, verdict
+from assayer.operators import gate, ledger, notices, policy, scoring, verdict
+from assayer.plans import stage
 from assayer.sources.documents import DEFAULT_POLICY, NO_OVERLAY, TAXONOMY
 
 rates = scoring.rates
@@ -102,15 +103,39 @@ def decide(scored: DataFrame, standing: Column, passed: Column, sealed: Column,
     return gate.with_authority(decided.join(flags_of, ["provider_id", "seq"]), F.col("flags"), rules, found).drop("flags")
 
 
+def resolve(scored: DataFrame, session: Column, standing: Column, passed: Column, sealed: Column, minor: bool = False, rules: dict[str, Any] = DEFAULT_POLICY, overlay: dict[str, Any] = NO_OVERLAY) -> DataFrame:
+    """``decide`` with what a gate result says besides: (provider_id, seq, response_id, score, outcome, .., release_authority, reasons, notices).
+
+    ``reasons`` has codes in the order of the checks.  ``notices`` are ids: the policy's, then the overlay's that this delivery of its
+    session raises, then the provenance notice of an unsealed response, whatever the outcome, then the warn band's.
+    """
+    found = policy.treatments(overlay, minor)
+    mode = F.lit(policy.mode(overlay, rules["mode"], minor))
+    given = scored.withColumns({"standing": standing, "passed": passed, "sealed": sealed, "session_id": session, "at_ms": F.unix_millis(F.col("at").cast("timestamp"))})
+    given = stage.saved(given.withColumn("mandatory", policy.first_mandatory(policy.floored(F.col("flags"), found), found)))
+    own = {c: F.col(c) for c in ("standing", "passed", "sealed")}
+    decided = decide(given, **own, minor=minor, rules=rules, overlay=overlay)
+    context = given.select("provider_id", F.col("seq").cast("long").alias("seq"), *own, "mandatory", "session_id", "at_ms")
+    decided = decided.join(context, ["provider_id", "seq"])
+    reasons = gate.reasons(*own.values(), F.col("mandatory"), mode, rules["standingSeed"]["refuseExcluded"], policy.unsealed(overlay), F.col("score"), F.col("effective_warn"), F.col("effective_block"))
+    decided = stage.saved(decided.withColumn("reasons", reasons))
+    deliveries = decided.select("session_id", "at_ms", F.col("seq").alias("order_id"), (F.col("outcome") == "deliver_with_notice").alias("in_warn_band"))
+    raised = notices.raised(deliveries.distinct(), [*rules.get("notices", []), *policy.notices(overlay)])
+    keys = F.struct("session_id", "at_ms", F.col("order_id").alias("seq")).alias("of")
+    out = decided.withColumn("of", F.struct("session_id", "at_ms", "seq")).join(raised.select(keys, "raised"), "of")
+    pinned = F.concat("raised", gate.notices(F.col("reasons"), F.col("outcome")))
+    return out.withColumn("notices", pinned).drop("of", "raised", "session_id", "at_ms", "mandatory", *own)
+
+
 def withheld_content(decided: DataFrame, released: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Texts of withheld responses that an authority has released (provider_id, response_id)."""
     own = decided.where("outcome = 'withhold'").join(released.select("provider_id", "response_id"), ["provider_id", "response_id"], "left_semi")
     return own.select("provider_id", "response_id").join(transcripts.select(F.col("id").alias("response_id"), "content"), "response_id")
 
 
-def pinned(notices: DataFrame) -> DataFrame:
+def pinned(raised: DataFrame) -> DataFrame:
     """One row of each notice id, the first raised."""
-    return notices.groupBy("id").agg(F.min_by(F.struct(*[c for c in notices.columns if c != "id"]), "raised_at").alias("r")).select("id", "r.*")
+    return raised.groupBy("id").agg(F.min_by(F.struct(*[c for c in raised.columns if c != "id"]), "raised_at").alias("r")).select("id", "r.*")
 
 
 def confirmed_entry(responses: DataFrame, looked_up: DataFrame) -> DataFrame:

@@ -154,6 +154,24 @@ def export_view(rated: DataFrame, ledger: DataFrame) -> DataFrame:
     return provider_payload(rated).withColumn("would_leave_bytes", F.octet_length("payload").cast("long")).join(rows, "provider_id")
 
 
+def export_summary(view: DataFrame, transcripts: DataFrame, evidence: DataFrame, outbound: list[str] | None = None) -> DataFrame:
+    """One row: what a batch would send of all providers beside what never leaves (turns, spans, their sealed sizes, ledger rows),
+    and the paths on which content does leave.
+
+    ``view`` is ``export_view``'s; transcripts and evidence have their sealed bytes in ``sealed``.
+    """
+    out = view.agg(F.count("*").alias("providers"), F.coalesce(F.sum("would_leave_bytes"), F.lit(0)).alias("would_leave_bytes"), F.coalesce(F.sum("ledger_rows"), F.lit(0)).alias("ledger_rows"))
+    size = F.coalesce(F.sum(F.octet_length("sealed")), F.lit(0)).cast("long")
+    turns = transcripts.agg(F.count("*").alias("transcript_turns"), size.alias("transcript_bytes"))
+    spans = evidence.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).cast("long").alias("evidence_spans"), size.alias("evidence_bytes"))
+    # Three single rows side by side.
+    both = [d.withColumn("one", F.lit(1)) for d in (out, turns, spans)]
+    joined = both[0].join(both[1], "one").join(both[2], "one").drop("one")
+    paths = F.array(*map(F.lit, outbound)) if outbound else F.array().cast("array<string>")
+    sealed = F.col("transcript_bytes") + F.col("evidence_bytes")
+    return joined.select("providers", "would_leave_bytes", "ledger_rows", "transcript_turns", "evidence_spans", sealed.alias("sealed_bytes"), paths.alias("outbound_paths"))
+
+
 def typical_duration(durations: DataFrame, last: int = 20, fewest: int = 3) -> DataFrame:
     """Median of the last durations of each (provider_id, model): null below ``fewest``; of an even number the mean
     of the middle two, rounded half up."""

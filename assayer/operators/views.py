@@ -48,6 +48,40 @@ def trail(stage: Column, outcome: Column, unsent: Column, unevaluated: Column) -
     return F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), mark)
 
 
+def _active(stage: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in MARK_OF_STAGE.items() for x in item]), stage), F.lit(0))
+
+
+def trail_after(before: Column, stage: Column) -> Column:
+    """The marks once a stage is reported: those before it are done, but what was skipped or stopped stays."""
+    now = _active(stage)
+
+    def mark(i: Column) -> Column:
+        own = F.coalesce(F.get(before, i), F.lit("pending"))
+        return F.when(own.isin("stopped", "skipped"), own).when(i < now, "done").when(i == now, "active").otherwise("pending")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), mark)
+
+
+def trail_settled(before: Column, outcome: Column, passed: Column, evaluated: Column, sent: Column) -> Column:
+    """The marks of a finished exchange: a delivery has all done; else it stops at the decision, or at once where nothing was
+    sent, and the evaluation counts as skipped where the deterministic layer refused without one."""
+    delivered = F.coalesce(outcome.isin("deliver", "deliver_with_notice"), F.lit(False))
+    halt = F.when((outcome == "refuse") & ~sent, 0).otherwise(DECIDE)
+
+    def mark(i: Column) -> Column:
+        skipped = ((i == EVALUATE) & ~passed & ~evaluated) | (F.coalesce(F.get(before, i), F.lit("pending")) == "skipped")
+        stopped = F.when(i == halt, "stopped").when(i > halt, "pending").when(skipped, "skipped").otherwise("done")
+        return F.when(delivered, "done").otherwise(stopped)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), mark)
+
+
+def trail_reduced(before: Column, stages: Column) -> Column:
+    """``trail_after`` of an exchange's stages, one after the other."""
+    return F.aggregate(stages, before, lambda marks, stage: trail_after(marks, stage))
+
+
 def halted(marks: Column) -> Column:
     return F.array_contains(marks, "stopped")
 

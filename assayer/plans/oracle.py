@@ -147,7 +147,8 @@ def oracle_sql() -> dict[str, str]:
         "worst_authority": f"""WITH {LEDGER} SELECT provider_id, CAST(CAST(tm AS DATE) AS VARCHAR) AS day, CASE WHEN bool_or(coalesce(type = 'service_error', false)) THEN 'custodial_release' ELSE 'self_release' END AS authority,
             CASE WHEN bool_or(coalesce(type = 'service_error', false)) THEN 'non_releasable' ELSE 'self_release' END AS authority_minor FROM l GROUP BY ALL""",
         "effective_thresholds": "SELECT c_custkey, c_custkey % 4 = 0 AS minor, CAST(3 AS BIGINT) AS warn, CAST(CASE WHEN c_custkey % 4 = 0 THEN 6 ELSE 8 END AS BIGINT) AS block, CASE WHEN c_custkey % 4 = 0 THEN 'enforce' ELSE 'annotate' END AS mode FROM customer",
-        "pending_provisions": "SELECT unnest(['category:service_error', 'provenance']) AS provision",
+        "pending_provisions": """SELECT n_nationkey, CASE WHEN k % 9 = 8 THEN NULL ELSE concat_ws(',', CASE WHEN k % 5 = 0 THEN 'notice:n' || k END, CASE WHEN k % 2 = 0 THEN 'category:slow_view' END, CASE WHEN k % 3 = 0 THEN 'category:of_' || lower(n_name) END,
+            CASE WHEN k % 4 <> 1 AND k % 8 = 0 THEN 'thresholdOverrides' END, CASE WHEN k % 3 <> 1 AND k % 7 = 0 THEN 'modeFloor' END, CASE WHEN k % 11 = 0 THEN 'provenance' END) END AS pending FROM (SELECT *, n_nationkey AS k FROM nation)""",
         "open_blocks": f"{BLOCKS} SELECT provider_id, response_id, authority, epoch_us(raised_at) AS raised_us FROM b WHERE released_at IS NULL",
         "release_decision": f"""{BLOCKS}, q AS (SELECT DISTINCT 'u' || user_id AS provider_id, 'b' || i AS response_id, CASE WHEN user_id % 2 = 0 THEN 'self' ELSE 'custodian' END AS actor, user_id % 3 > 0 AS adult FROM events, range(5) t(i)),
             o AS (SELECT provider_id, response_id, authority FROM b WHERE released_at IS NULL),
@@ -204,6 +205,26 @@ def oracle_sql() -> dict[str, str]:
                   CASE WHEN mandatory THEN 'mandatory:service_error' WHEN mode = 'observe' THEN 'observe_mode' WHEN score >= 8 THEN CASE mode WHEN 'annotate' THEN 'block_line_annotated' ELSE 'block_line' END WHEN score >= 4 THEN 'warn_line' ELSE 'below_lines' END AS why FROM s)
             SELECT event_id, CASE WHEN early IS NOT NULL OR mandatory THEN 'refuse' WHEN why = 'block_line' THEN 'withhold' WHEN why IN ('warn_line', 'block_line_annotated') THEN 'deliver_with_notice' ELSE 'deliver' END AS outcome,
                    coalesce(early, concat_ws(',', noticed, why)) AS reasons, CASE WHEN early IS NULL THEN concat_ws(',', noticed, CASE WHEN why = 'warn_line' THEN 'warn_band' END) ELSE '' END AS notices FROM o""",
+        "gate_result": f"""WITH RECURSIVE {LEDGER}, s AS (SELECT provider_id, seq, event_id, epoch_ms(tm) AS t, CAST(instant_score + coalesce(sum(instant_score) OVER w, 0) AS BIGINT) AS score, type IS NULL AS clean, value > 250 AS excluded, event_id % 13 = 0 AS failed, event_id % 4 = 0 AS unsealed FROM l {W10}),
+            g AS (SELECT provider_id, CAST(0 AS BIGINT) AS seq, '' AS outcome, '' AS why, CAST(0 AS BIGINT) AS clean_remaining, CAST(NULL AS BIGINT) AS last, false AS start FROM s WHERE seq = 1
+                  UNION ALL SELECT s.provider_id, s.seq,
+                      CASE WHEN excluded OR failed THEN 'refuse' WHEN s.score >= CASE WHEN g.clean_remaining > 0 THEN 6 ELSE 8 END THEN 'withhold' WHEN s.score >= CASE WHEN g.clean_remaining > 0 THEN 3 ELSE 4 END THEN 'deliver_with_notice' ELSE 'deliver' END,
+                      CASE WHEN excluded THEN 'standing_excluded' WHEN failed THEN 'deterministic_refusal' WHEN s.score >= CASE WHEN g.clean_remaining > 0 THEN 6 ELSE 8 END THEN 'block_line' WHEN s.score >= CASE WHEN g.clean_remaining > 0 THEN 3 ELSE 4 END THEN 'warn_line' ELSE 'below_lines' END,
+                      CAST(CASE WHEN excluded THEN g.clean_remaining WHEN NOT failed AND s.score >= CASE WHEN g.clean_remaining > 0 THEN 6 ELSE 8 END THEN 5 WHEN clean THEN greatest(g.clean_remaining - 1, 0) ELSE g.clean_remaining END AS BIGINT),
+                      CASE WHEN g.last IS NULL OR s.t - g.last >= 2880 * 60000 THEN s.t ELSE g.last END, g.last IS NULL OR s.t - g.last >= 2880 * 60000
+                  FROM g JOIN s ON s.provider_id = g.provider_id AND s.seq = g.seq + 1)
+            SELECT provider_id, seq, outcome, clean_remaining, concat_ws(',', CASE WHEN unsealed AND outcome <> 'refuse' THEN 'unsealed_notice' END, why) AS reasons,
+                   concat_ws(',', CASE WHEN start THEN 'start' END, CASE WHEN outcome = 'deliver_with_notice' THEN 'warn' END, 'local', CASE WHEN unsealed AND outcome <> 'refuse' THEN 'unsealed_notice' END, CASE WHEN why = 'warn_line' THEN 'warn_band' END) AS notices
+            FROM g JOIN s USING (provider_id, seq) WHERE seq > 0""",
+        "mandatory_refusal": f"WITH {FLAGGED} SELECT doc_id, arg_min(type, pos) FILTER (type IN ('network_address', 'secret', 'shouting')) AS mandatory FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id",
+        "dns_entry": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 THEN 'dns-' || s_name ELSE 'own-' || s_nationkey END AS register_entry_id, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 4 = 0 THEN 'abc' END AS dns_digest FROM supplier",
+        "export_residency": f"""{RATES}, p AS (SELECT provider_id, ledger_rows, '{{"providerId":"' || provider_id || '","evaluatedResponses":' || evaluated_responses || ',"flagCounts":{{' || coalesce(j, '') || '}},"severityWeightedIncidents":' || severity_weighted_incidents || ',"incidentRate":null,"suppressed":' || (evaluated_responses < 20) || '}}' AS payload FROM w LEFT JOIN c USING (provider_id))
+            SELECT count(*) AS providers, CAST(sum(strlen(payload)) AS BIGINT) AS would_leave_bytes, CAST(sum(ledger_rows) AS BIGINT) AS ledger_rows, (SELECT count(*) FROM conversations) AS transcript_turns, (SELECT count(type) FROM l) AS evidence_spans, true AS sealed, 'https://evaluator.example' AS outbound FROM p""",
+        "trail_reducer": """WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, arg_max(event_id % 9, event_id) AS stage, max(value) AS most FROM events GROUP BY ALL),
+            a AS (SELECT *, [0, 1, 1, 1, 2, 3, 4, 4, 5][stage + 1] AS now FROM d),
+            m AS (SELECT *, list_transform(range(6), lambda i: CASE WHEN i = 2 AND user_id % 3 = 0 THEN 'skipped' WHEN i < now THEN 'done' WHEN i = now THEN 'active' ELSE 'pending' END) AS m FROM a),
+            h AS (SELECT *, CASE WHEN most > 80 THEN CASE WHEN most > 150 AND user_id % 2 <> 0 THEN 0 ELSE 4 END END AS halt FROM m)
+            SELECT user_id, day, array_to_string(m, ',') AS marks, array_to_string(list_transform(range(6), lambda i: CASE WHEN halt IS NULL THEN 'done' WHEN i = halt THEN 'stopped' WHEN i > halt THEN 'pending' WHEN (i = 3 AND NOT most < 120) OR m[i + 1] = 'skipped' THEN 'skipped' ELSE 'done' END), ',') AS settled FROM h""",
         "settings_latest": "SELECT 'u' || user_id AS key, props AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "setting_lookup": "SELECT 'u1' AS key, props AS value FROM events WHERE user_id = 1 ORDER BY ts DESC, event_id DESC LIMIT 1",
         "setting_keys": "SELECT DISTINCT 'u' || user_id AS key FROM events",

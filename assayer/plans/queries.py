@@ -284,9 +284,21 @@ def effective_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", "minor", warn.cast("long").alias("warn"), block.cast("long").alias("block"), policy.by_age(F.col("minor"), lambda m: policy.mode(OVERLAY, "observe", m)).alias("mode"))
 
 
+def _overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overlay document for each nation, as JSON text: provisions of every kind, pending in some nations."""
+    k, status = F.col("n_nationkey"), lambda m: F.when(F.col("n_nationkey") % m == 0, "pending").otherwise("in_force")
+    treatments = F.map_from_arrays(F.array(F.lit("slow_view"), F.concat(F.lit("of_"), F.lower("n_name"))), F.array(F.struct(status(2).alias("status")), F.struct(status(3).alias("status"))))
+    document = F.struct(
+        F.array(F.struct(F.concat(F.lit("n"), k.cast("string")).alias("id"), status(5).alias("status"))).alias("notices"), treatments.alias("categoryTreatments"),
+        F.when(k % 4 != 1, F.struct(status(8).alias("status"))).alias("thresholdOverrides"), F.when(k % 3 != 1, "annotate").alias("modeFloor"), status(7).alias("modeFloorStatus"), F.struct(status(11).alias("status")).alias("provenance"),
+    )
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.when(k % 9 != 8, F.to_json(document)).otherwise("{broken").alias("document"))
+
+
 @query
 def pending_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in policy.pending(OVERLAY)], "provision string")
+    o = _overlays(spark, sf_dir)
+    return o.select("n_nationkey", F.array_join(policy.pending_of(F.col("document")), ",").alias("pending"))
 
 
 def _block_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -489,6 +501,59 @@ def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "outcome", F.array_join("why", ",").alias("reasons"), F.array_join(gate.notices(F.col("why"), F.col("outcome")), ",").alias("notices"))
 
 
+@query
+def gate_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole result of the gate: outcome after carryover, reasons and notices in their order; a provider is a session."""
+    rows = scoring.count_window(scoring.with_instant(events_ledger(spark, sf_dir)), LAST)
+    n = F.col("event_id")
+    rules = DEFAULT_POLICY | {"notices": [{"id": "start", "trigger": "session_start", "repeatMinutes": 2880}, {"id": "warn", "trigger": "on_warn"}]}
+    overlay = {"id": "example", "notices": [{"id": "local", "trigger": "always"}, {"id": "later", "trigger": "always", "status": "pending"}], "provenance": {"unsealedTreatment": "notice", "status": "in_force"}}
+    out = api.resolve(rows, F.col("provider_id"), F.when(F.col("value") > 250, "excluded").otherwise("good"), n % 13 != 0, n % 4 != 0, rules=rules, overlay=overlay)
+    return out.select("provider_id", "seq", "outcome", F.col("clean_remaining").cast("long").alias("clean_remaining"), F.array_join("reasons", ",").alias("reasons"), F.array_join("notices", ",").alias("notices"))
+
+
+@query
+def mandatory_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first flag of a document that is never delivered."""
+    never = policy.treatments({"categoryTreatments": {t: {"mandatoryNonDelivery": True} for t in ("network_address", "secret", "shouting")}}, False)
+    return _flagged_documents(spark, sf_dir).select("doc_id", policy.first_mandatory(F.col("flags"), never).alias("mandatory"))
+
+
+@query
+def dns_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register entries that TXT records name, before the configured ones."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("provider_id"), F.concat(F.lit("own-"), F.col("s_nationkey").cast("string")).alias("register_entry_id"))
+    record = F.concat(F.lit("v=b1; e=dns-"), F.col("provider_id"), F.when(k % 4 == 0, "; k=abc").otherwise(""))
+    read = s.where(k % 3 != 0).select("provider_id", wire.txt_binding(F.when(k % 5 != 0, record).otherwise("e=none"), "b1").alias("b")).where("b.ok")
+    return api.confirmed_entry(s, read.select("provider_id", "b.entry_id", "b.key_set_digest")).select("s_suppkey", "register_entry_id", "dns_digest")
+
+
+@query
+def export_residency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would leave beside what stays, with the sealed sizes of conversations and evidence."""
+    key = F.lit(bytes(range(32)))
+    turns = table(spark, sf_dir, "conversations").select(digests.sealed(F.col("text"), key).alias("sealed"))
+    spans = event_rows(spark, sf_dir).where(F.size("flags") > 0).select(F.col("flags").alias("spans"), digests.sealed(F.col("response_id"), key).alias("sealed"))
+    out = scoring.export_summary(export_view(spark, sf_dir), turns, spans, ["https://evaluator.example"])
+    # 12 bytes of nonce and 16 of tag, in base64.
+    return out.select("providers", "would_leave_bytes", "ledger_rows", "transcript_turns", "evidence_spans", (F.col("sealed_bytes") > 28 * F.col("transcript_turns")).alias("sealed"), F.array_join("outbound_paths", ",").alias("outbound"))
+
+
+@query
+def trail_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of a user's day one after the other, from marks of which one may be skipped, and the settled trail."""
+    n = F.col("event_id")
+    stage_of = F.get(F.array(*map(F.lit, views.MARK_OF_STAGE)), (n % len(views.MARK_OF_STAGE)).cast("int"))
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_id", stage_of.alias("stage"), "value")
+    days = e.groupBy("user_id", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "stage"))), lambda x: x["stage"]).alias("stages"), F.max("value").alias("most"))
+    start = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("pending"), F.lit("pending"), F.lit("skipped"))).otherwise(F.array().cast("array<string>"))
+    marks = days.select("user_id", "day", "most", views.trail_reduced(start, F.col("stages")).alias("m"))
+    outcome = F.when(F.col("most") > 150, "refuse").when(F.col("most") > 80, "withhold").otherwise("deliver")
+    settled = views.trail_settled(F.col("m"), outcome, F.col("most") < 120, F.lit(False), F.col("user_id") % 2 == 0)
+    return marks.select("user_id", "day", F.array_join("m", ",").alias("marks"), F.array_join(settled, ",").alias("settled"))
+
+
 # Stores
 
 
