@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer import schemas
 from assayer.functions import digests
-from assayer.plans import ordered
+from assayer.plans import ordered, stage
 
 DOMAIN = "assayer-ledger/v1"
 
@@ -71,6 +71,15 @@ def recent(ledger: DataFrame, n: int) -> DataFrame:
     return ledger.withColumn("rank_", rank).where(F.col("rank_") <= n).drop("rank_")
 
 
+def newest(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The last ``n`` rows of each provider with the seq that ``numbered`` would give them, of rows not numbered yet: only
+    they and a count of each provider are shuffled."""
+    place, total = stage.free_name(rows, "place_"), stage.free_name(rows, "total_")
+    top = rows.withColumn(place, F.row_number().over(Window.partitionBy("provider_id").orderBy(*map(F.desc, order)))).where(F.col(place) <= n)
+    sizes = rows.groupBy("provider_id").agg(F.count("*").alias(total))
+    return top.join(sizes, "provider_id").withColumn("seq", F.col(total) - F.col(place) + 1).drop(place, total)
+
+
 def between(ledger: DataFrame, since: Column, until: Column) -> DataFrame:
     return ledger.where((F.col("at") >= since) & (F.col("at") < until))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from assayer.plans.stage import free_name
+
 
 def fold(df: DataFrame, key: str, order: list[str | Column], init: Callable[[], Any], step: Callable[[Any, dict[str, Any]], tuple[Any, tuple]], schema: str) -> DataFrame:
     """One output row for each row, from a state that runs through each key's rows in order.
@@ -41,13 +43,14 @@ def numbered(df: DataFrame, key: str, order: list[str | Column], part: Column, n
     """Row numbers from 1 within each key, where no task holds a key: rows are numbered within (key, part) and each part
     goes on from the sizes of the parts before it.  ``part`` must not fall along the order (a day of the time, a thousand ids).
     """
-    own = df.withColumn("part_", F.struct(F.col(key).alias("k"), part.alias("p")))
-    sizes = own.groupBy("part_").agg(F.count("*").alias("size_"))
-    before = Window.partitionBy("part_.k").orderBy("part_.p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("start_"))
+    own_part, place, size, start = (free_name(df, n) for n in ("part_", "place_", "size_", "start_"))
+    own = df.withColumn(own_part, F.struct(F.col(key).alias("k"), part.alias("p")))
+    sizes = own.groupBy(own_part).agg(F.count("*").alias(size))
+    before = Window.partitionBy(f"{own_part}.k").orderBy(f"{own_part}.p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(own_part, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start))
     # Structs are equal where both hold null, so a null key or part finds its start.
-    inside = own.withColumn("place_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
-    return inside.join(starts, "part_").withColumn(name, F.col("start_") + F.col("place_")).drop("part_", "place_", "start_")
+    inside = own.withColumn(place, F.row_number().over(Window.partitionBy(own_part).orderBy(*order)))
+    return inside.join(starts, own_part).withColumn(name, F.col(start) + F.col(place)).drop(own_part, place, start)
 
 
 def rolling(df: DataFrame, key: str, order: str, part: Column, n: int, measures: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
@@ -56,8 +59,9 @@ def rolling(df: DataFrame, key: str, order: str, part: Column, n: int, measures:
     A window within (key, part) is right for all but the first ``n`` rows of a part; these are read again in a window over the
     first and last ``n`` rows of each part, which hold all they need.  ``part`` must not fall along the order.
     """
-    inside, across = Window.partitionBy(key, "part_").orderBy(order), Window.partitionBy(key).orderBy(order)
-    places = {"place_": F.row_number().over(inside), "last_": F.lead(F.lit(True), n).over(inside).isNull()}
-    done = df.withColumn("part_", part).withColumns(places | measures(inside))
-    edges = done.where((F.col("place_") <= n) | F.col("last_")).withColumns(measures(across))
-    return done.where(F.col("place_") > n).unionByName(edges.where(F.col("place_") <= n)).drop("part_", "place_", "last_")
+    own_part, place, last = (free_name(df, n) for n in ("part_", "place_", "last_"))
+    inside, across = Window.partitionBy(key, own_part).orderBy(order), Window.partitionBy(key).orderBy(order)
+    places = {place: F.row_number().over(inside), last: F.lead(F.lit(True), n).over(inside).isNull()}
+    done = df.withColumn(own_part, part).withColumns(places | measures(inside))
+    edges = done.where((F.col(place) <= n) | F.col(last)).withColumns(measures(across))
+    return done.where(F.col(place) > n).unionByName(edges.where(F.col(place) <= n)).drop(own_part, place, last)

@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer import api
+from assayer import api, schemas
 from assayer.functions import digests, flags, urls, wire
 from assayer.operators import gate, ledger, notices, policy, scoring, verdict, views
 from assayer.sources import tables
@@ -194,7 +194,7 @@ def ledger_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ledger_recent_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.recent(events_ledger(spark, sf_dir), 3).select("provider_id", "seq", "response_id")
+    return ledger.newest(event_rows(spark, sf_dir), 3, "at", "event_id").select("provider_id", "seq", "response_id")
 
 
 @query
@@ -232,8 +232,8 @@ def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_tamper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One outcome is changed in every ledger of more than 40 rows, at row 7."""
     rows = _chained(spark, sf_dir)
-    long_ = F.count("*").over(Window.partitionBy("provider_id")) > 40
-    changed = rows.withColumn("long", long_).withColumn("outcome", F.when(F.col("long") & (F.col("seq") == 7), "refuse").otherwise(F.col("outcome")))
+    long_ = ledger.counts(rows).where("n_rows > 40").select("provider_id", F.lit(7).cast("long").alias("seq"), F.lit(True).alias("long"))
+    changed = rows.join(long_, ["provider_id", "seq"], "left").withColumn("outcome", F.when(F.col("long"), "refuse").otherwise(F.col("outcome")))
     return ledger.verify(changed.drop("long"))
 
 
@@ -273,8 +273,11 @@ def severity_floor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def worst_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events_ledger(spark, sf_dir)
-    by_day = rows.groupBy("provider_id", F.to_date("at").alias("day")).agg(F.flatten(F.collect_list("flags")).alias("flags"))
-    return by_day.select("provider_id", F.col("day").cast("string").alias("day"), policy.worst_authority(F.col("flags"), AUTHORITY).alias("authority"), policy.worst_authority(F.col("flags"), AUTHORITY, policy.treatments(OVERLAY, True)).alias("authority_minor"))
+    # The gravest of a day is the gravest of its rows': ranks are compared in tasks before the shuffle.
+    ranked = lambda found=None: F.max(F.array_position(F.array(*map(F.lit, schemas.AUTHORITIES)), policy.worst_authority(F.col("flags"), AUTHORITY, found)))
+    by_day = rows.groupBy("provider_id", F.to_date("at").alias("day")).agg(ranked().alias("own"), ranked(policy.treatments(OVERLAY, True)).alias("minor"))
+    named = lambda c: F.element_at(F.array(*map(F.lit, schemas.AUTHORITIES)), F.col(c).cast("int"))
+    return by_day.select("provider_id", F.col("day").cast("string").alias("day"), named("own").alias("authority"), named("minor").alias("authority_minor"))
 
 
 @query

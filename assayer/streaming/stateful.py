@@ -20,21 +20,28 @@ from assayer.operators import gate, notices
 
 
 def decisions(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
-    """``gate.decisions`` on a stream: the state of a provider is its clean responses still to come."""
+    """``gate.decisions`` on a stream: the state of a provider is its clean responses still to come and the last seq decided.
+
+    A row at or before that seq came too late to be decided in its place: it comes out as ``out_of_order`` and changes nothing.
+    """
     carryover = policy["carryover"]
 
     def one(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (remaining,) = state.get if state.exists else (0,)
+        remaining, last = state.get if state.exists else (0, None)
         out = []
         for row in pd.concat(list(frames)).sort_values("seq").to_dict("records"):
             row["fixed"] = row["fixed"] if isinstance(row["fixed"], str) else None
-            remaining, made = gate.step(remaining, row, carryover)
+            if last is not None and row["seq"] <= last:
+                made = ("out_of_order", None, None, remaining)
+            else:
+                remaining, made = gate.step(remaining, row, carryover)
+                last = row["seq"]
             out.append((key[0], row["seq"], row["response_id"], row["score"], *made))
-        state.update((remaining,))
+        state.update((remaining, last))
         yield pd.DataFrame(out, columns=["provider_id", "seq", "response_id", "score", "outcome", "effective_warn", "effective_block", "clean_remaining"])
 
     schema = "provider_id string, seq long, response_id string, score double, outcome string, effective_warn double, effective_block double, clean_remaining int"
-    return rows.groupBy("provider_id").applyInPandasWithState(one, schema, "remaining int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("provider_id").applyInPandasWithState(one, schema, "remaining int, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def arrival_levels(arrivals: DataFrame, half_life: float = notices.HALF_LIFE_MS) -> DataFrame:

@@ -167,3 +167,8 @@ def test_strict_json_in_columns(spark):
     got = {r["i"]: r["code"] for r in rows.select("i", wire.json_code(F.col("t")).alias("code")).collect()}
     wrong = [(t, got[i], plain(t)) for i, t in enumerate(texts) if got[i] != plain(t)]
     assert not wrong and set(got.values()) == {"ok", "duplicate", "malformed"}
+
+
+def test_txt_faults_go_tag_by_tag(spark):
+    reason = lambda t: one(spark, wire.txt_binding(F.col("t"), "b1")["reason"], t=t)
+    assert [reason(t) for t in ("e=one;nonsense", "v=b1;nonsense;e=a;e=b", "v=b1;e=a;e=b;nonsense", "nonsense", "v=b1;v=b1", ";", "v=b1;=x")] == ["version_not_first", "bad_tag", "repeated_tag", "bad_tag", "repeated_tag", "empty", "bad_tag"]

@@ -32,6 +32,8 @@ def test_gate(spark, tmp_path):
     got = run(spark, tmp_path, [rows.where("seq < 5"), rows.where("seq >= 5")], lambda d: stateful.decisions(d, DEFAULT_POLICY), "gate")
     want = gate.decisions(rows, DEFAULT_POLICY)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    late = run(spark, tmp_path, [rows.where("seq >= 5"), rows.where("seq < 5")], lambda d: stateful.decisions(d, DEFAULT_POLICY), "late")
+    assert {(r["seq"] < 5, r["outcome"] == "out_of_order") for r in late.collect()} == {(True, True), (False, False)}
 
 
 def test_arrivals(spark, tmp_path):
