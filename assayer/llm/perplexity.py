@@ -31,13 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import _graph, _text
 
 ORDER = 5
 BLOCK = 1 << 25
+#: Buckets of the table of texts, and files it may be written as without a shuffle, at most.
+BUCKETS, FILES = 10_000, 100_000
 QUANTILE = 0.98
 #: So many held-out texts at least set a threshold: with fewer the quantile is their maximum.
 FEWEST = 50
@@ -185,8 +187,12 @@ _SCORED = "doc_id long, lang string, perplexity double"
 
 
 def _packed(given: DataFrame, blocks: int) -> DataFrame:
-    """(block, texts): runs of rows as compressed Arrow streams, dealt to blocks; a table bucketed by block, so that
-    both its readers find a block's texts in one task without a shuffle."""
+    """(block, texts): runs of rows as compressed Arrow streams, dealt to blocks; a table in the shared folder, bucketed by block, so that
+    both its readers find a block's texts in one task without a shuffle.
+
+    Beyond ``BUCKETS`` blocks a bucket holds several.  Each task may write a file for each bucket; where these would be more than
+    ``FILES``, the compressed texts are shuffled by block first.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.large_string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +203,27 @@ def _packed(given: DataFrame, blocks: int) -> DataFrame:
                     stream.write_batch(pa.RecordBatch.from_arrays([c.slice(a, b - a).cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema))
                 yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["texts"])
 
-    name = f"assayer_{uuid.uuid4().hex}"
-    rows = given.mapInArrow(run, "texts binary").select(F.pmod(F.xxhash64("texts"), F.lit(blocks)).cast("int").alias("block"), "texts")
-    rows.write.bucketBy(blocks, "block").format("parquet").option("compression", "uncompressed").saveAsTable(name)
-    table = given.sparkSession.table(name)
-    table._named = name
+    spark, name, buckets = given.sparkSession, f"assayer_{uuid.uuid4().hex}", min(blocks, BUCKETS)
+    rows = given.mapInArrow(run, "texts binary").select(F.pmod(F.xxhash64("texts"), F.lit(blocks)).alias("block"), "texts")
+    if buckets * given.rdd.getNumPartitions() > FILES:
+        rows = rows.repartition(buckets, "block")
+    path = f"{_graph.shared_folder(spark).rstrip('/')}/{name}"
+    try:
+        rows.write.bucketBy(buckets, "block").format("parquet").option("compression", "uncompressed").option("path", path).saveAsTable(name)
+        table = spark.table(name)
+    except Exception:
+        _drop(spark, name, path)
+        raise
+    table._named, table._saved_at = name, path
     return table
 
 
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _opened(texts: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
     for packed in texts:
         with pa.ipc.open_stream(packed.as_buffer()) as stream:
@@ -232,7 +251,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 grams, parts = merged(), []
         grams = merged()
         number = texts.column("block")[0].as_py()
-        return pa.table([pa.array(np.full(len(grams), number), pa.int32()), pa.array(_names(grams), pa.string())], ["block", "gram"])
+        return pa.table([pa.array(np.full(len(grams), number), pa.int64()), pa.array(_names(grams), pa.string())], ["block", "gram"])
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
         # A block of empty texts has asked for nothing.
@@ -248,12 +267,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out.append(pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.exp(-sums / np.maximum(n, 1)), mask=n == 0)], ["doc_id", "lang", "perplexity"]))
         return pa.Table.from_batches(out)
 
-    asked = _graph.saved(packed.groupBy("block").applyInArrow(ask, "block int, gram string"))
-    distinct = _graph.saved(asked.select("gram").distinct())
-    answers = asked.join(resolved(distinct, model), "gram").select("block", "gram", F.col("p").cast("float").alias("p"))
-    scored = _graph.saved(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell, _SCORED))
-    _graph.free(asked, distinct)
-    docs.sparkSession.sql(f"DROP TABLE {packed._named}")
+    try:
+        asked = _graph.saved(packed.groupBy("block").applyInArrow(ask, "block long, gram string"))
+        distinct = _graph.saved(asked.select("gram").distinct())
+        answers = asked.join(resolved(distinct, model), "gram").select("block", "gram", F.col("p").cast("float").alias("p"))
+        scored = _graph.saved(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell, _SCORED))
+        _graph.free(asked, distinct)
+    finally:
+        _drop(docs.sparkSession, packed._named, packed._saved_at)
     return scored
 
 

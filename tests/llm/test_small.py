@@ -238,3 +238,16 @@ def test_short_paragraphs_of_equal_shingles(spark):
     pairs = spark.createDataFrame([(1, "a b a b a b"), (2, "b a b a b a"), (3, "c d e f g h"), (4, "c d e f g h i"), (5, "k l m n o"), (6, "k l m n o p")], "doc_id long, text string")
     linked = lambda percent: {r["doc_id"] for r in substring.repeated_passages(pairs, percent).collect()}
     assert linked(80) == {1, 2} and linked(60) == {1, 2, 3, 4} and linked(50) == {1, 2, 3, 4, 5, 6}
+
+
+def test_perplexity_in_few_buckets(spark, monkeypatch):
+    """Many blocks in a few buckets, shuffled before they are written or not: the same perplexities, and no table or file left."""
+    docs = spark.createDataFrame([(i, f"some words of text number {i} and more of it {i * 7919 % 13}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    model = perplexity.build(perplexity.count_ngrams(docs))
+    want = sorted(map(tuple, perplexity.score(docs, model).collect()))
+    before = {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    for buckets, files in ((10_000, 10_000), (3, 10_000), (3, 1)):
+        monkeypatch.setattr(perplexity, "BUCKETS", buckets)
+        monkeypatch.setattr(perplexity, "FILES", files)
+        assert sorted(map(tuple, perplexity.score(docs, model, block=200).collect())) == want
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
