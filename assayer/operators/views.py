@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,6 +90,12 @@ def complete(marks: Column) -> Column:
     return F.forall(marks, lambda m: m == "done")
 
 
+def scripted(calls: DataFrame, script: Column, key: str, order: str) -> DataFrame:
+    """``calls`` with the scripted response of each as ``text``: one after the other for each key, the last one again for all later calls."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return calls.withColumn("text", F.get(script, F.least(nth, F.size(script)) - 1))
+
+
 def scripted_deltas(texts: DataFrame) -> DataFrame:
     """(exchange_id, chunk_no, chunk) of a scripted response (exchange_id, text): one event for each run of blanks or
     other characters, and the end marker; a fixture for the stream operators."""

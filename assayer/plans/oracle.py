@@ -225,6 +225,7 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT *, list_transform(range(6), lambda i: CASE WHEN i = 2 AND user_id % 3 = 0 THEN 'skipped' WHEN i < now THEN 'done' WHEN i = now THEN 'active' ELSE 'pending' END) AS m FROM a),
             h AS (SELECT *, CASE WHEN most > 80 THEN CASE WHEN most > 150 AND user_id % 2 <> 0 THEN 0 ELSE 4 END END AS halt FROM m)
             SELECT user_id, day, array_to_string(m, ',') AS marks, array_to_string(list_transform(range(6), lambda i: CASE WHEN halt IS NULL THEN 'done' WHEN i = halt THEN 'stopped' WHEN i > halt THEN 'pending' WHEN (i = 3 AND NOT most < 120) OR m[i + 1] = 'skipped' THEN 'skipped' ELSE 'done' END), ',') AS settled FROM h""",
+        "scripted_responses": "SELECT event_id, ['one', 'two', 'three'][least(row_number() OVER (PARTITION BY user_id ORDER BY event_id), user_id % 3 + 1)] AS text FROM events",
         "settings_latest": "SELECT 'u' || user_id AS key, props AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "setting_lookup": "SELECT 'u1' AS key, props AS value FROM events WHERE user_id = 1 ORDER BY ts DESC, event_id DESC LIMIT 1",
         "setting_keys": "SELECT DISTINCT 'u' || user_id AS key FROM events",

@@ -751,6 +751,13 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("exchange_id", F.sha2("sealed_content", 256).alias("text_sha256"), F.col("terminal_seal").isNull().alias("unsealed"))
 
 
+@query
+def scripted_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's calls answered from a script of as many responses as the user's number says; the last one repeats."""
+    script = F.slice(F.array(F.lit("one"), F.lit("two"), F.lit("three")), F.lit(1), (F.col("user_id") % 3 + 1).cast("int"))
+    return views.scripted(table(spark, sf_dir, "events").select("event_id", "user_id"), script, "user_id", "event_id").select("event_id", "text")
+
+
 @query
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = wire.tokens(F.col("text"))

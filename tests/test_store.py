@@ -5,7 +5,7 @@ import itertools
 import pytest
 
 from assayer import host
-from assayer.sources import conformance
+from assayer.sources import conformance, sinks
 from assayer.sources.store import open_store
 
 SECRETS = {"ledger": bytes(32), "transcript": bytes(range(32)), "preference": bytes(32)}
@@ -43,3 +43,16 @@ def test_host(spark, tmp_path):
     assert own.store.ledger.rows().count() == 0 and own.dispatch("session.new")["sessionId"] and own.dispatch("transcript").count() == 0
     with pytest.raises(ValueError):
         own.dispatch("nothing")
+
+
+def test_what_came_of_a_batch(spark, tmp_path):
+    batch = spark.createDataFrame([(None, "{}"), ("p", '{"providerId":"p"}')], "provider_id string, payload string")
+
+    def refuses(rows, endpoint):
+        raise OSError(f"{endpoint} is down\nand more")
+
+    assert sinks.emit(batch, None) == {"status": "no_endpoint", "error": None}
+    assert sinks.emit(batch, "x", refuses) == {"status": "failed", "error": "x is down"}
+    for _ in range(2):
+        assert sinks.emit(batch, str(tmp_path / "out")) == {"status": "sent", "error": None}
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
