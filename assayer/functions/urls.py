@@ -36,15 +36,33 @@ def has_credentials(url: Column) -> Column:
     return _group(url, 2) != ""
 
 
-def endpoint_matches(base: Column, contacted: Column) -> Column:
+_CUT = "\x01"
+
+
+def _parts(url: Column) -> Column:
+    """(scheme, credentials, host, port, path) by one match; an array of another size for what is no URL."""
+    text = F.trim(url)
+    return F.when(~text.contains(_CUT), F.split(F.regexp_replace(text, _URL, _CUT.join(f"${i}" for i in range(1, 6))), _CUT))
+
+
+def _same(base: Column, own: Column) -> Column:
     """Same origin, and a path that is the base's or goes on from it after a slash; never with credentials."""
-    same = origin(base) == origin(contacted)
-    goes_on = (path(contacted) == path(base)) | path(contacted).startswith(F.concat(path(base), F.lit("/")))
-    return F.coalesce(valid(base) & valid(contacted) & ~has_credentials(base) & ~has_credentials(contacted) & same & goes_on, F.lit(False))
+    part = lambda p, i: F.get(p, F.lit(i))
+    port = lambda p: F.when(part(p, 3) != "", part(p, 3)).when(F.lower(part(p, 0)) == "https", "443").when(F.lower(part(p, 0)) == "http", "80").otherwise("")
+    path_of = lambda p: F.regexp_replace(part(p, 4), "/+$", "")
+    sound = (F.size(base) == 5) & (F.size(own) == 5) & (part(base, 1) == "") & (part(own, 1) == "")
+    origins = (F.lower(part(base, 0)) == F.lower(part(own, 0))) & (F.lower(part(base, 2)) == F.lower(part(own, 2))) & (port(base) == port(own))
+    return sound & origins & ((path_of(own) == path_of(base)) | path_of(own).startswith(F.concat(path_of(base), F.lit("/"))))
+
+
+def endpoint_matches(base: Column, contacted: Column) -> Column:
+    return endpoint_authorized(F.array(base), contacted)
 
 
 def endpoint_authorized(endpoints: Column, contacted: Column) -> Column:
-    return F.coalesce(F.exists(endpoints, lambda e: endpoint_matches(e, contacted)), F.lit(False))
+    """Whether any endpoint is the contacted URL's; each URL is matched once, as a lambda's variable is computed once."""
+    either = lambda own: F.exists(F.transform(endpoints, _parts), lambda base: F.coalesce(_same(base, own), F.lit(False)))
+    return F.coalesce(F.get(F.transform(F.array(_parts(contacted)), either), F.lit(0)), F.lit(False))
 
 
 def forbidden_host(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import urls
+from assayer.plans import stage
 
 FUTURE_SKEW_MS, OLDEST_MS = 300_000, 3_600_000
 
@@ -40,6 +41,15 @@ def verdicts(rows: DataFrame) -> DataFrame:
 
     Signature checks are an input (``signature_valid``), since they need the served bytes only.
     """
+    # Times and URLs are read once: what several findings ask for is a column of an earlier projection.
+    names = dict(zip(("fresh", "status", "endpoint"), (stage.free_name(rows, n) for n in ("fresh", "status_of_key", "endpoint"))))
+    known = F.col("entry").isNotNull()
+    columns = rows.columns
+    rows = rows.withColumns({
+        names["fresh"]: freshness(F.col("seal.signedAt"), F.col("received_at")),
+        names["status"]: F.when(known & F.col("key").isNotNull(), key_status(F.col("key.status"), F.col("key.retiredAt"), F.col("seal.signedAt"))),
+        names["endpoint"]: F.when(known, urls.endpoint_authorized(F.col("entry.authorizedEndpoints"), F.col("served_from"))).otherwise(F.lit(True)),
+    })
     c = F.col
     yes = lambda x: F.coalesce(x, F.lit(False))
     entry, sealed = c("entry").isNotNull(), c("seal").isNotNull()
@@ -47,20 +57,18 @@ def verdicts(rows: DataFrame) -> DataFrame:
     digests = c("dns_digest").isNotNull() & c("computed_digest").isNotNull()
     equal = digests & (c("dns_digest") == c("computed_digest"))
     key = c("key").isNotNull()
-    status = F.when(entry & key, key_status(c("key.status"), c("key.retiredAt"), c("seal.signedAt")))
+    fresh, status, endpoint = (c(names[n]) for n in ("fresh", "status", "endpoint"))
     checked = sealed & entry & key & status.isNull()
     signed = checked & yes(c("signature_valid"))
     same_provider = yes(c("seal.providerIdentity") == c("entry.providerIdentity"))
     valid = signed & same_provider
     all_sealed = yes(c("entry.sealPolicy") == "all")
-    endpoint = F.when(entry, urls.endpoint_authorized(c("entry.authorizedEndpoints"), c("served_from"))).otherwise(F.lit(True))
 
     def finding(when: Column, code: Column | str, refuses: Column | bool) -> Column:
         code = F.lit(code) if isinstance(code, str) else code
         refuses = F.lit(refuses) if isinstance(refuses, bool) else refuses
         return F.when(yes(when), F.struct(code.alias("code"), refuses.alias("refuses")))
 
-    fresh = freshness(c("seal.signedAt"), c("received_at"))
     found = F.array_compact(F.array(
         finding(named & ~entry, "register_entry_unknown", True),
         finding(c("entry.status") == "revoked", "register_entry_revoked", True),
@@ -86,10 +94,11 @@ def verdicts(rows: DataFrame) -> DataFrame:
     unattributed = status.isin("seal_key_compromised", "seal_key_retired")
     unbound = yes(c("unknown_binding"))
     attribution = F.when(unbound, "none").when(equal & ~yes(sealed & unattributed), "confirmed").when(equal, "unconfirmed").when(digests, "none").when(entry, "unconfirmed").otherwise("none")
-    return rows.withColumn("findings_", found).withColumn(
+    codes = stage.free_name(rows, "findings")
+    return rows.withColumn(codes, found).withColumn(
         "verdict",
         F.struct(
-            (~F.exists("findings_", lambda f: f["refuses"])).alias("passed"), sealed.alias("seal_present"), (valid & ~unbound).alias("seal_valid"),
-            endpoint.alias("endpoint_authorized"), attribution.alias("attribution"), F.transform("findings_", lambda f: f["code"]).alias("findings"),
+            (~F.exists(codes, lambda f: f["refuses"])).alias("passed"), sealed.alias("seal_present"), (valid & ~unbound).alias("seal_valid"),
+            endpoint.alias("endpoint_authorized"), attribution.alias("attribution"), F.transform(codes, lambda f: f["code"]).alias("findings"),
         ),
-    ).drop("findings_")
+    ).select(*columns, "verdict")
