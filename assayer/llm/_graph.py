@@ -43,10 +43,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes a large table as Parquet (compressed, read by column) to the shared folder."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._saved_at = path
     return table

@@ -268,8 +268,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return pa.Table.from_batches(out)
 
     try:
-        asked = _graph.saved(packed.groupBy("block").applyInArrow(ask, "block long, gram string"))
-        distinct = _graph.saved(asked.select("gram").distinct())
+        asked = _graph.saved(packed.groupBy("block").applyInArrow(ask, "block long, gram string"), "zstd")
+        distinct = _graph.saved(asked.select("gram").distinct(), "zstd")
         answers = asked.join(resolved(distinct, model), "gram").select("block", "gram", F.col("p").cast("float").alias("p"))
         scored = _graph.saved(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell, _SCORED))
         _graph.free(asked, distinct)
