@@ -12,6 +12,11 @@ may be such an item's, so none escapes.  An item of fewer words than a shingle h
 words, looked for in every document of as many words or more.  Pairs with a hit are verified
 by exact containment of the item's shingle set in the document's whole set.
 
+A key that many documents have ("which of the following is") would pair all of them with every item that has it, so an item's
+keys of a part are ranked by how many of the documents found hold the key's shingle, and only the rarest are joined: as many as the item
+may lack, and one more of a short item, ``SURE`` more of a sketched one.  A document with the item has at least that one (those eight), so no
+short item escapes by it, and a sketched one in fewer than one of 10^5 cases.  Documents of more than 2^24 shingles have no bins: all their shingles are keys.
+
 A fixed-size bitmap of the item sketches (at most 2^27 bits, whatever the number of items)
 goes to all executors, so only sketch values that may be an item's leave the scan, and with
 them the document's shingles that may be an item's.
@@ -26,15 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import _graph, _text
 
-PARTS = range(0, 26, 2)
+#: The last part has the documents above 2^24 shingles.
+PARTS = range(0, 28, 2)
 LEAST_BITS, MOST_BITS = 20, 27
 #: Items of fewer shingles are looked for by each of them; the seed of these keys is no part's.
 SHORT, WHOLE = 12, 99
+#: Keys of a sketched item that are joined beyond those it may lack: 0.21^8 is below 10^-5.
+SURE = 8
 
 
 def _part(n: np.ndarray) -> np.ndarray:
@@ -43,8 +51,17 @@ def _part(n: np.ndarray) -> np.ndarray:
     return np.minimum(power + power % 2, PARTS[-1])
 
 
+def _bins(part: np.ndarray) -> np.ndarray:
+    """How many bins documents of the parts have; none in the last."""
+    return np.where(part < PARTS[-1], 2 << np.minimum(part, PARTS[-2]), 0)
+
+
 def _least_of_bins(shingles: np.ndarray, bins: np.ndarray, bases: np.ndarray, total: int) -> np.ndarray:
-    """Which shingles are the least of their bin; ``bases`` sets the rows' bins apart."""
+    """Which shingles are the least of their bin; ``bases`` sets the rows' bins apart, and without bins all are."""
+    if not bins.all():
+        out, some = np.ones(len(shingles), bool), bins > 0
+        out[some] = _least_of_bins(shingles[some], bins[some], bases[some], total)
+        return out
     cell = bases + (_text.mix(shingles, 5) & (bins - 1).astype(np.uint64)).astype(np.int64)
     least = np.full(total, np.uint64(2**64 - 1))
     np.minimum.at(least, cell, shingles)
@@ -52,29 +69,33 @@ def _least_of_bins(shingles: np.ndarray, bins: np.ndarray, bases: np.ndarray, to
 
 
 def item_table(items: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n_words, shingles, keys): the item's shingle set and its keys (of a long item: its sketch values for all parts);
-    n_words counts to ``k``."""
+    """(item_id, n_words, shingles, keys, of, parts): the item's shingle set and its keys (of a long item: its sketch values for all parts)
+    with the shingle and the part of each, -1 for a short item's; n_words counts to ``k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, keys = [], []
+            sets, keys, of, parts = [], [], [], []
             for _, own in _text.shingle_sets(batch.column(1), k):
                 sets.append(own)
                 if len(own) < SHORT:
                     keys.append(_text.mix(own, WHOLE))
+                    of.append(own)
+                    parts.append(np.full(len(own), -1))
                     continue
-                found = []
+                least = []
                 for p in PARTS:
-                    bins = np.full(len(own), 2 << p, np.int64)
-                    least = _least_of_bins(own, bins, np.zeros(len(own), np.int64), 2 << p) if 4 * len(own) > 1 << p else np.ones(len(own), bool)
-                    found.append(_text.mix(own[least], 100 + p))
-                keys.append(np.concatenate(found))
+                    bins = np.full(len(own), int(_bins(np.array(p))), np.int64)
+                    few = 4 * len(own) <= 1 << p
+                    least.append(own if few else own[_least_of_bins(own, bins, np.zeros(len(own), np.int64), int(bins[0]))])
+                keys.append(np.concatenate([_text.mix(held, 100 + p) for p, held in zip(PARTS, least)]))
+                of.append(np.concatenate(least))
+                parts.append(np.repeat(np.array(PARTS), [len(held) for held in least]))
             raw, offsets = _text.buffer_of(batch.column(1))
             n_words = np.minimum(np.diff(_text.word_bounds(raw, offsets)[2]), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), _text.lists(sets, pa.int64()), _text.lists(keys, pa.int64())], ["item_id", "n_words", "shingles", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), *(_text.lists(x, pa.int64()) for x in (sets, keys, of, parts))], ["item_id", "n_words", "shingles", "keys", "of", "parts"])
 
     given = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
-    return given.mapInArrow(run, "item_id long, n_words long, shingles array<long>, keys array<long>").where("n_words > 0")
+    return given.mapInArrow(run, "item_id long, n_words long, shingles array<long>, keys array<long>, of array<long>, parts array<long>").where("n_words > 0")
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -108,7 +129,7 @@ def _hits(docs: DataFrame, k: int, sketch_map, set_map, fewer: list[int]) -> Dat
                 shingles, begins = _text.shingle_hashes(words, rows, k)
                 n = np.where(long_enough, np.diff(begins), 0)
                 part = _part(n)
-                bins = np.where(n > 0, 2 << part, 0)
+                bins = np.where(n > 0, _bins(part), 0)
                 size = np.diff(begins)
                 doc = np.repeat(np.arange(b - a), size)
                 first = np.cumsum(bins) - bins
@@ -143,6 +164,17 @@ def _hits(docs: DataFrame, k: int, sketch_map, set_map, fewer: list[int]) -> Dat
     return docs.mapInArrow(run, "doc_id long, keys array<long>, shingles array<long>")
 
 
+def candidates(hits: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, item_id) of documents that have one of the item's rarest keys."""
+    keys = table.select("item_id", F.xxhash64("shingles").alias("text"), F.size("shingles").alias("n"), F.explode(F.arrays_zip("keys", "of", "parts")).alias("z")).select("item_id", "text", "n", "z.*").distinct()
+    held = hits.select(F.explode("shingles").alias("of")).join(_graph.small(_graph.saved(keys.select("of").distinct())), "of", "left_semi").groupBy("of").agg(F.count("*").alias("held"))
+    lacking = F.expr(f"n * {100 - percent} div 100")
+    rank = F.row_number().over(Window.partitionBy("item_id", "text", "parts").orderBy(F.coalesce("held", F.lit(0)), "keys"))
+    rarest = keys.join(held, "of", "left").withColumn("rank", rank).where(F.col("rank") <= lacking + F.when(F.col("parts") < 0, 1).otherwise(SURE))
+    asked = rarest.select("item_id", F.col("keys").alias("key")).distinct()
+    return hits.select("doc_id", F.explode("keys").alias("key")).join(asked, "key").select("doc_id", "item_id").distinct()
+
+
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item, n_shared) of every item of which at least ``percent`` per cent
     of the ``k``-word shingles are in the document; an item of fewer words has one, itself."""
@@ -156,8 +188,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     fewer = sorted(r["n_words"] for r in table.where(F.col("n_words") < k).select("n_words").distinct().collect())
     hits = _graph.saved(_hits(given, k, sketch_map, set_map, fewer))
-    pairs = hits.select("doc_id", F.explode("keys").alias("key")).join(keys, "key").select("doc_id", "item_id").distinct()
-    both = pairs.join(table.select("item_id", F.col("shingles").alias("of_item")), "item_id").join(hits.select("doc_id", "shingles"), "doc_id")
+    sketch_map.destroy()
+    set_map.destroy()
+    both = candidates(hits, table, percent).join(table.select("item_id", F.col("shingles").alias("of_item")), "item_id").join(hits.select("doc_id", "shingles"), "doc_id")
     shared = F.size(F.array_intersect("of_item", "shingles")).cast("long")
     both = both.select("doc_id", "item_id", F.size("of_item").cast("long").alias("n_item"), shared.alias("n_shared")).where(100 * F.col("n_shared") >= percent * F.col("n_item"))
     best = F.max(F.struct("n_shared", "n_item"))
