@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm import _text
+from assayer.llm import _graph, _text
 
 MOST = 64
 _FIRST = (2, 4, 8, 16, 32)
@@ -159,29 +159,28 @@ def _compare(doc_id: int | None, text: str, mark: str, after: str, next_mark: st
     return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, changed, likeness(mark, changed), likeness(mark, next_mark), differences(changed, mark)
 
 
-def _bounds(ids: DataFrame, parts: int) -> list[int]:
-    """The least id and about ``parts`` - 1 others that cut the ids in equal shares; a null id counts as the least."""
-    row = ids.agg(F.min("key"), F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()
-    return sorted({row[0], *(row[1] or [])}) if row[0] is not None else []
+def _bounds(keys: DataFrame, parts: int) -> DataFrame:
+    """(stretch, bounds): the least key of each of about ``parts`` ranges of equal size, in stretches of about the root of their
+    number, numbered in order; Spark's range partitioning cuts the ranges."""
+    ranges = keys.repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.min("key").alias("key"))
+    cut = ranges.agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    step = F.greatest(F.lit(1), F.round(F.sqrt(F.size("keys")))).cast("int")
+    starts = F.when(F.size("keys") > 0, F.sequence(F.lit(1), F.size("keys"), step))
+    return cut.select(F.posexplode(F.transform(starts, lambda i: F.slice("keys", i, step))).alias("stretch", "bounds"))
 
 
-def _part(key: Column, bounds: list[int]) -> Column:
-    """The number of the last bound not above the key, by way of every so many-th bound."""
-    step = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    long = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    group = F.size(F.filter(long([g[0] for g in groups]), lambda b: b <= key)) - 1
-    inner = F.size(F.filter(F.get(F.array(*[long(g) for g in groups]), group), lambda b: b <= key)) - 1
-    return group * step + inner
+def _last_not_above(bounds: Column, key: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b <= key)) - 1
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Every text beside its edit: its last half replaced by as many of the next document's first characters; ``changed`` has
     the numbers of the edited text's paragraphs that the text lacks, found by the branches that differ.
 
-    Quantiles of the ids cut the documents in ranges; each document goes to its range once and
-    the first of each range to the range before it too, so each task walks whole ranges in
-    order, holds two documents at a time, and needs nothing of other tasks.
+    Ids and text hashes cut the documents in ranges; each document goes to its range once and
+    the first of each range to the range before it too, so each task walks a whole range in
+    order, holds two documents at a time, and needs nothing of other tasks.  Rows of one id are cut too, unless their texts are equal.
+    The first bounds of the stretches, the root of the ranges in number, are in the plan, the others in a table joined by stretch.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -189,9 +188,11 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # Ranges of some 64 MB however large the table is.
         chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars >> 26)
-    given = given.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    bounds = _bounds(given.select("key"), parts)
-    if not bounds:
+    given = given.withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id"), F.xxhash64("text").alias("hash")))
+    stretches = _graph.saved(_bounds(given.select("key"), parts))
+    heads = sorted((r["stretch"], r["head"], r["n"]) for r in stretches.select("stretch", F.col("bounds")[0].alias("head"), F.size("bounds").alias("n")).collect())
+    n = sum(h[2] for h in heads)
+    if not n:
         return spark.createDataFrame(spark.sparkContext.emptyRDD(), _SPARK_PAIR)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +217,15 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if rows:
             yield out()
 
-    part = _part(F.col("key"), bounds)
-    given = given.withColumn("part", part)
-    given = given.withColumn("first", F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("part") + 1) == F.col("key"))
-    before = F.pmod(F.col("part") - 1, F.lit(len(bounds)))
+    tops = F.array(*[F.struct(F.lit(h["id"]).cast("long").alias("id"), F.lit(h["hash"]).cast("long").alias("hash")) for _, h, _ in heads])
+    given = given.withColumn("stretch", _last_not_above(tops, F.col("key"))).join(_graph.small_lists(stretches, "bounds"), "stretch")
+    given = given.withColumn("at", _last_not_above(F.col("bounds"), F.col("key")))
+    given = given.withColumn("part", F.col("stretch") * heads[0][2] + F.col("at")).withColumn("first", F.element_at("bounds", F.col("at") + 1) == F.col("key"))
+    before = F.pmod(F.col("part") - 1, F.lit(n))
     host = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
     copies = F.when(F.col("first"), F.array(host, F.struct(before.alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(host))
     dealt = given.select("doc_id", "text", "key", F.explode(copies).alias("c")).select("doc_id", "text", "key", "c.part", "c.guest")
-    order = [F.col("part"), F.col("guest"), F.col("key"), F.xxhash64("text")]
-    walked = dealt.repartitionByRange("part").sortWithinPartitions(*order).select("doc_id", "text", "part", "guest")
+    walked = dealt.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("guest", "key").select("doc_id", "text", "part", "guest")
     return walked.mapInArrow(walk, _SPARK_PAIR)
 
 

@@ -251,3 +251,33 @@ def test_perplexity_in_few_buckets(spark, monkeypatch):
         monkeypatch.setattr(perplexity, "FILES", files)
         assert sorted(map(tuple, perplexity.score(docs, model, block=200).collect())) == want
     assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
+
+
+def test_merkle_ranges(spark):
+    """As many ranges as asked for, also of rows that share an id; every neighbour is right."""
+    texts = [(i // 3 if i < 60 else 1000 if i < 90 else i, f"text {i} " + "w" * (i % 7)) for i in range(200)] + [(500, "same")] * 20
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs = merkle.edited_pairs(docs, parts=37)
+    assert pairs.rdd.getNumPartitions() > 30
+    hashed = docs.withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h").collect()
+    want = []
+    for a, b in zip(hashed, hashed[1:] + hashed[:1]):
+        half = len(a["text"]) // 2
+        edited = a["text"][: len(a["text"]) - half] + b["text"][:half]
+        want.append((a["doc_id"], len(a["text"]), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in pairs.collect()) == sorted(want)
+
+
+def test_decontam_stock_phrase(spark):
+    """2000 items with one stock phrase against 2000 documents that hold it: only pairs by other words; all items are found."""
+    phrase = "which of the following is the right one"
+    items = spark.range(2000).select(F.col("id").alias("item_id"), F.concat(F.lit(phrase), *[F.concat(F.lit(f" q{j}x"), "id") for j in range(14)]).alias("text"))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(*[F.concat(F.lit(f"d{j}x"), "id", F.lit(" ")) for j in range(60)], F.lit(phrase), *[F.when(F.col("id") < 200, F.concat(F.lit(f" q{j}x"), "id")).otherwise(F.lit(f" z{j}")) for j in range(14)]).alias("text"))
+    seen = []
+    whole = decontam.candidates
+    decontam.candidates = lambda *a: seen.append(whole(*a)) or seen[-1]
+    try:
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.contained_items(docs, items).collect()}
+    finally:
+        decontam.candidates = whole
+    assert got == {(i, i) for i in range(200)} and seen[0].count() < 4000
