@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from assayer.functions import ed25519
 from assayer.functions.flags import instant_score
 from assayer.operators.ledger import PART_ROWS
 from assayer.plans import ordered, parts, stage
@@ -192,6 +193,25 @@ def batch(rated: DataFrame, header: dict[str, Any]) -> DataFrame:
     return head.union(provider_payload(rated))
 
 
+def signed_batch(rated: DataFrame, header: dict[str, Any], seed: bytes) -> DataFrame:
+    """The batch with a signature of each row: a provider's is of header and payload, the header's of itself and the number
+    of providers, so a changed, moved, added or lost row shows and no task holds the batch as one document."""
+    text = json.dumps(header, separators=(",", ":"), ensure_ascii=False)
+    parts = provider_payload(rated).withColumn("signed", F.concat_ws("\n", F.lit(text), F.col("payload")))
+    head = parts.agg(F.concat_ws("\n", F.lit(text), F.count("*").cast("string")).alias("signed"))
+    both = head.select(F.lit(None).cast("string").alias("provider_id"), F.lit(text).alias("payload"), "signed").union(parts)
+    return both.select("provider_id", "payload", ed25519.signature(F.col("signed"), seed).alias("signature"))
+
+
+def checked_batch(batch: DataFrame, pem: str) -> DataFrame:
+    """(provider_id, payload, valid) of a signed batch by the sender's public key; without exactly one header nothing is valid."""
+    heads = [r["payload"] for r in batch.where("provider_id is null").select("payload").limit(2).collect()]
+    n = batch.where("provider_id is not null").count()
+    about = F.when(F.col("provider_id").isNull(), F.lit(str(n))).otherwise(F.col("payload"))
+    valid = ed25519.signature_valid(F.lit(pem), F.concat_ws("\n", F.lit(heads[0]), about), F.col("signature")) if len(heads) == 1 and heads[0] is not None else F.lit(False)
+    return batch.select("provider_id", "payload", valid.alias("valid"))
+
+
 def monitor_state(ledger: DataFrame, blocks: DataFrame, chain: DataFrame, n: int = 10, typical: DataFrame | None = None) -> DataFrame:
     """The dashboard's row of each provider: a count window with neither seed nor carryover, and flags by type in it.
 

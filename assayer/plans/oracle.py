@@ -104,6 +104,10 @@ SELECT n AS event_id, len(list_filter(string_split(findings, ','), lambda x: x <
 """
 
 
+BATCH_ROWS = f"""{RATES} SELECT NULL AS provider_id, '{{"version":"1","trafficClass":"test","windowStart":"2024-01-10","windowEnd":"2024-01-20","evaluatorVersion":"e1","taxonomyVersion":"t1"}}' AS payload
+            UNION ALL SELECT provider_id, '{{"providerId":"' || provider_id || '","evaluatedResponses":' || evaluated_responses || ',"flagCounts":{{' || coalesce(j, '') || '}},"severityWeightedIncidents":' || severity_weighted_incidents || ',"incidentRate":null,"suppressed":' || (evaluated_responses < 20) || '}}' FROM w LEFT JOIN c USING (provider_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "flag_scan": f"WITH {FLAGGED} SELECT doc_id, coalesce(string_agg(type, ',' ORDER BY pos), '') AS types, coalesce(string_agg(basis, ',' ORDER BY pos), '') AS basis, CAST(coalesce(sum(severity), 0) AS BIGINT) AS severity FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id",
@@ -238,8 +242,11 @@ def oracle_sql() -> dict[str, str]:
         "pinned_notices": "SELECT event_type || '-' || user_id % 7 AS id, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY ALL",
         "self_audit": "WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS origin FROM pages) SELECT page_id, origin AS evaluator FROM p WHERE origin = (SELECT min(origin) FROM p)",
         "released_content": f"WITH {LEDGER} SELECT provider_id, 'r' || l.event_id AS response_id, props AS content FROM l JOIN events ON l.event_id = events.event_id WHERE l.event_type = 'error' AND l.value > 100",
-        "telemetry_batch": f"""{RATES} SELECT NULL AS provider_id, '{{"version":"1","trafficClass":"test","windowStart":"2024-01-10","windowEnd":"2024-01-20","evaluatorVersion":"e1","taxonomyVersion":"t1"}}' AS payload
-            UNION ALL SELECT provider_id, '{{"providerId":"' || provider_id || '","evaluatedResponses":' || evaluated_responses || ',"flagCounts":{{' || coalesce(j, '') || '}},"severityWeightedIncidents":' || severity_weighted_incidents || ',"incidentRate":null,"suppressed":' || (evaluated_responses < 20) || '}}' FROM w LEFT JOIN c USING (provider_id)""",
+        "telemetry_batch": BATCH_ROWS,
+        "telemetry_signed": f"""SELECT provider_id, CASE WHEN third THEN replace(payload, '"evaluatedResponses":', '"evaluatedResponses":1') ELSE payload END AS payload, NOT coalesce(third, false) AS valid
+            FROM (SELECT *, CAST(substr(provider_id, 2) AS BIGINT) % 3 = 0 AS third FROM ({BATCH_ROWS}))""",
+        "signed_documents": """SELECT s_suppkey, sha256('{"registerEntryId":"' || s_name || '","nation":' || s_nationkey || '}' || CASE WHEN s_suppkey % 5 = 0 THEN ' ' ELSE '' END) AS document_sha256,
+            s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AS signature_valid FROM supplier""",
         "dashboard_totals": f"SELECT 'withheld' AS name, count(*) AS n FROM ({BLOCKS} SELECT 1 FROM b WHERE released_at IS NULL) UNION ALL SELECT 'largest_count', coalesce(max(n), 0) FROM ({RATES} SELECT n FROM t)",
         "transport_choice": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'content-block-delta' WHEN s_suppkey % 3 = 0 THEN 'chat-delta' END AS transport FROM supplier",
         "setting_precedence": "SELECT c_custkey, 'off' AS locked, CASE WHEN c_custkey % 3 = 0 THEN 'on' ELSE 'off' END AS free FROM customer",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer import api, schemas
-from assayer.functions import digests, flags, urls, wire
+from assayer.functions import digests, ed25519, flags, urls, wire
 from assayer.operators import gate, ledger, notices, policy, scoring, verdict, views
 from assayer.sources import tables
 from assayer.sources.documents import DEFAULT_POLICY, TAXONOMY
@@ -26,6 +26,8 @@ WARN, BLOCK, LAST = 4, 8, 10
 DAY = "2024-01-15"
 
 BATCH = {"version": "1", "trafficClass": "test", "windowStart": "2024-01-10", "windowEnd": "2024-01-20", "evaluatorVersion": "e1", "taxonomyVersion": "t1"}
+#: The secret seed of test 2 of RFC 8032, section 7.1; a fixed value.
+SEED = bytes.fromhex("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb")
 OVERLAY: dict[str, Any] = {
     "id": "example",
     "categoryTreatments": {"slow_view": {"severityFloor": 2, "status": "in_force"}, "service_error": {"severityFloor": 3, "status": "pending"}},
@@ -176,6 +178,27 @@ def telemetry_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.batch(rated.withColumn("incident_rate", F.lit(None).cast("double")), BATCH)
 
 
+@query
+def telemetry_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signed batch as it arrives: every third user's payload was changed on the way."""
+    rated = scoring.rates(event_rows(spark, sf_dir).select("provider_id", "at", "flags"), F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), 20)
+    sent = scoring.signed_batch(rated.withColumn("incident_rate", F.lit(None).cast("double")), BATCH, SEED)
+    third = F.substring("provider_id", 2, 20).cast("long") % 3 == 0
+    arrived = sent.withColumn("payload", F.when(third, F.replace("payload", F.lit('"evaluatedResponses":'), F.lit('"evaluatedResponses":1'))).otherwise(F.col("payload")))
+    return scoring.checked_batch(arrived, ed25519.pem_of(ed25519.public_key(SEED)))
+
+
+@query
+def signed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each supplier with a detached signature and the pinned key: some were changed after signing, some keys are another's."""
+    k = F.col("s_suppkey")
+    own, other = (ed25519.pem_of(ed25519.public_key(seed)) for seed in (SEED, SEED[::-1]))
+    doc = F.to_json(F.struct(F.col("s_name").alias("registerEntryId"), F.col("s_nationkey").alias("nation")))
+    sealed = table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("document")).withColumn("signature", ed25519.signature(F.col("document"), SEED))
+    read = sealed.select("s_suppkey", F.when(k % 5 == 0, F.concat("document", F.lit(" "))).otherwise(F.col("document")).alias("document"), F.when(k % 11 == 0, F.substring("signature", 2, 90)).otherwise(F.col("signature")).alias("signature"), F.when(k % 7 == 0, other).otherwise(own).alias("pem"))
+    return read.select("s_suppkey", F.sha2("document", 256).alias("document_sha256"), ed25519.signature_valid(F.col("pem"), F.col("document"), F.col("signature")).alias("signature_valid"))
+
+
 @query
 def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = policy.blocks(*_block_events(spark, sf_dir)).where("released_at is null").groupBy("provider_id").agg(F.count("*").alias("open_blocks"))

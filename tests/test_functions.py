@@ -111,6 +111,9 @@ def test_signatures(spark, tmp_path):
 
     key, message, signature = map(bytes.fromhex, (KEY, MESSAGE, SIGNATURE))
     assert ed25519.verify(key, message, signature)
+    seed = bytes.fromhex("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb")
+    assert ed25519.public_key(seed) == key and ed25519.sign(seed, message) == signature
+    assert all(ed25519.verify(key, m, ed25519.sign(seed, m)) for m in (b"", b"x" * 1000, bytes(range(256))))
     assert not ed25519.verify(key, b"s", signature) and not ed25519.verify(key, message, signature[:63] + b"\x10") and not ed25519.verify(b"", message, signature)
     pem = "-----BEGIN PUBLIC KEY-----\n" + base64.b64encode(ed25519._SPKI + key).decode() + "\n-----END PUBLIC KEY-----\n"
     text = base64.urlsafe_b64encode(signature).decode().rstrip("=")

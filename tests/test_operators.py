@@ -175,3 +175,23 @@ def test_a_hot_day_is_many_ranges(spark):
     w = Window.partitionBy("provider_id").orderBy(F.unix_micros("at")).rangeBetween(-3_600_000_000, 999_999)
     want = rows.withColumn("window_score", F.sum("instant_score").over(w) - F.col("instant_score")).withColumn("window_size", F.count("*").over(w) - 1)
     _same(scoring.time_window(rows, 1, part_rows=1000), want)
+
+
+def test_signed_batch(spark):
+    """A changed header or a changed number of rows spoils the header's row, a changed payload its own; another key opens nothing."""
+    from assayer.functions import ed25519
+    from assayer.operators import scoring
+
+    seed = bytes(range(32))
+    at = F.lit("2024-01-11").cast("timestamp")
+    rows = spark.range(6).select(F.concat(F.lit("p"), F.col("id") % 3).alias("provider_id"), at.alias("at"), F.expr("cast(array() as array<struct<type: string, severity: int>>)").alias("flags"))
+    rated = scoring.rates(rows, F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), 1)
+    batch = scoring.signed_batch(rated, {"version": "1"}, seed)
+    pem = ed25519.pem_of(ed25519.public_key(seed))
+    valid = lambda b, p=pem: {r["provider_id"]: r["valid"] for r in scoring.checked_batch(b, p).collect()}
+    assert valid(batch) == {None: True, "p0": True, "p1": True, "p2": True}
+    assert valid(batch.where("provider_id is null or provider_id <> 'p1'")) == {None: False, "p0": True, "p2": True}
+    assert valid(batch.withColumn("payload", F.when(F.col("provider_id") == "p2", "{}").otherwise(F.col("payload")))) == {None: True, "p0": True, "p1": True, "p2": False}
+    assert not any(valid(batch.withColumn("payload", F.when(F.col("provider_id").isNull(), "{}").otherwise(F.col("payload")))).values())
+    assert not any(valid(batch, ed25519.pem_of(ed25519.public_key(seed[::-1]))).values()) and not any(valid(batch.where("provider_id is not null")).values())
+    assert valid(scoring.signed_batch(rated.limit(0), {"version": "1"}, seed)) == {None: True} and not valid(batch.limit(0))
