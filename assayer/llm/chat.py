@@ -106,7 +106,11 @@ def format_paths(messages: DataFrame, paths_per_tree: int = 1, unique: bool = Fa
     if not unique:
         one = F.max(F.struct("parent", "role", "text", "score"))
         given = given.groupBy("tree", "node").agg(one.alias("m")).select("tree", "node", "m.*")
-    turns = best_paths(given, paths_per_tree).join(given.select("tree", "node", "role", "text"), ["tree", "node"])
+    return _formatted(best_paths(given, paths_per_tree).join(given.select("tree", "node", "role", "text"), ["tree", "node"]))
+
+
+def _formatted(turns: DataFrame) -> DataFrame:
+    """(tree, leaf, path_score, formatted, loss) of paths whose messages (back, role, text) are rows."""
     turn = F.struct((-F.col("back")).alias("at"), "role", "text")
     whole = turns.groupBy("tree", "leaf", "path_score").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
@@ -143,3 +147,21 @@ def chains(conversations: DataFrame) -> DataFrame:
     # Where only ids are read, only the hash of the text goes through the shuffle.
     given = conversations.select("conv_id", "turn", "role", "text", F.xxhash64("text").alias("mark")).withColumn("node", node)
     return given.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+
+
+def format_chains(conversations: DataFrame) -> DataFrame:
+    """``format_paths`` of ``chains``, with the texts moved twice: to their places on the paths and to their conversations.
+
+    Order and paths are found on ids and hashes; a text is told by a 64-bit hash of its turn, role and words within its conversation,
+    and equal rows are sent once.
+    """
+    tree, blank = F.coalesce(F.col("conv_id").cast("string"), F.lit("")), [F.coalesce(c, F.lit("")) for c in ("role", "text")]
+    said = F.xxhash64(F.col("turn").isNull(), F.coalesce("turn", F.lit(0)), *blank)
+    own = Window.partitionBy("tree").orderBy("turn", "role", "mark")
+    rows = conversations.select(tree.alias("tree"), "turn", "role", F.xxhash64("text").alias("mark"), said.alias("said"))
+    ids = _graph.saved(rows.select("tree", F.row_number().over(own).cast("long").alias("node"), "said"))
+    messages = ids.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"))
+    places = best_paths(messages).join(ids, ["tree", "node"])
+    texts = conversations.select(tree.alias("tree"), said.alias("said"), blank[0].alias("role"), blank[1].alias("text"))
+    once = texts.groupBy("tree", "said").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    return _formatted(places.join(once, ["tree", "said"]).select("tree", "leaf", "path_score", "back", "role", "text"))

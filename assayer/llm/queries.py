@@ -19,7 +19,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    read = chat.read_back(chat.format_paths(chat.chains(given), unique=True))
+    read = chat.read_back(chat.format_chains(given))
     return read.select(F.when(F.col("tree") != "", F.col("tree").cast("long")).alias("conv_id"), *read.columns[1:])
 
 

@@ -281,3 +281,12 @@ def test_decontam_stock_phrase(spark):
     finally:
         decontam.candidates = whole
     assert got == {(i, i) for i in range(200)} and seen[0].count() < 4000
+
+
+def test_chains_by_ids(spark):
+    """Places found on ids alone give what messages with their texts give: repeated rows, nulls in every column, roles and texts that swap."""
+    rows = [(c, t, r, x) for c in (1, 2, None) for t in (0, 0, 1, None) for r, x in (("a", None), (None, "a"), ("", "a"), ("assistant", "b"), ("assistant", "b"), (None, None))] + [(7, 1, "user", LONG)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    both = [sorted(map(tuple, f.select("tree", "leaf", "path_score", "formatted", F.to_json("loss")).collect())) for f in (chat.format_chains(given), chat.format_paths(chat.chains(given)))]
+    assert len(both[0]) == 4 and both[0] == both[1] and sum(len(chat.read_turns(r[3])) for r in both[0]) == len(rows)
+    assert chat.format_chains(given.limit(0)).count() == 0
