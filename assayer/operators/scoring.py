@@ -200,7 +200,7 @@ def signed_batch(rated: DataFrame, header: dict[str, Any], seed: bytes) -> DataF
     parts = provider_payload(rated).withColumn("signed", F.concat_ws("\n", F.lit(text), F.col("payload")))
     head = parts.agg(F.concat_ws("\n", F.lit(text), F.count("*").cast("string")).alias("signed"))
     both = head.select(F.lit(None).cast("string").alias("provider_id"), F.lit(text).alias("payload"), "signed").union(parts)
-    return both.select("provider_id", "payload", ed25519.signature(F.col("signed"), seed).alias("signature"))
+    return ed25519.dealt(both, "provider_id").select("provider_id", "payload", ed25519.signature(F.col("signed"), seed).alias("signature"))
 
 
 def checked_batch(batch: DataFrame, pem: str) -> DataFrame:
@@ -209,7 +209,7 @@ def checked_batch(batch: DataFrame, pem: str) -> DataFrame:
     n = batch.where("provider_id is not null").count()
     about = F.when(F.col("provider_id").isNull(), F.lit(str(n))).otherwise(F.col("payload"))
     valid = ed25519.signature_valid(F.lit(pem), F.concat_ws("\n", F.lit(heads[0]), about), F.col("signature")) if len(heads) == 1 and heads[0] is not None else F.lit(False)
-    return batch.select("provider_id", "payload", valid.alias("valid"))
+    return ed25519.dealt(batch, "provider_id").select("provider_id", "payload", valid.alias("valid"))
 
 
 def monitor_state(ledger: DataFrame, blocks: DataFrame, chain: DataFrame, n: int = 10, typical: DataFrame | None = None) -> DataFrame:

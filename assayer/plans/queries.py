@@ -194,7 +194,7 @@ def signed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     own, other = (ed25519.pem_of(ed25519.public_key(seed)) for seed in (SEED, SEED[::-1]))
     doc = F.to_json(F.struct(F.col("s_name").alias("registerEntryId"), F.col("s_nationkey").alias("nation")))
-    sealed = table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("document")).withColumn("signature", ed25519.signature(F.col("document"), SEED))
+    sealed = ed25519.dealt(table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("document")), "s_suppkey").withColumn("signature", ed25519.signature(F.col("document"), SEED))
     read = sealed.select("s_suppkey", F.when(k % 5 == 0, F.concat("document", F.lit(" "))).otherwise(F.col("document")).alias("document"), F.when(k % 11 == 0, F.substring("signature", 2, 90)).otherwise(F.col("signature")).alias("signature"), F.when(k % 7 == 0, other).otherwise(own).alias("pem"))
     return read.select("s_suppkey", F.sha2("document", 256).alias("document_sha256"), ed25519.signature_valid(F.col("pem"), F.col("document"), F.col("signature")).alias("signature_valid"))
 
