@@ -27,6 +27,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks long work on few bytes is dealt to: one to four a core, in favour of the session's shuffles."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 

@@ -159,6 +159,41 @@ def test_a_key_met_again_is_not_doubled_again(monkeypatch):
     assert ed25519.verify(one, b"m", one + bytes(32)) and not ed25519.verify(one, b"m", (ed25519._P + 1).to_bytes(32, "little") + bytes(32))
 
 
+def test_chunks_are_dealt_by_their_bytes(spark):
+    """However many chunks there are, a task sorts some 64 MB of them: 370 MB go to more tasks than the session's four."""
+    i = F.col("id")
+    chunks = spark.range(1_500_000).select((i % 5000).alias("exchange_id"), F.floor(i / 5000).alias("chunk_no"), F.expr("cast(repeat('x', 150) as binary)").alias("chunk"))
+    sizes = wire.whole_chunks(chunks).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("size")).collect()
+    assert len(sizes) == 5 and sum(r["n"] for r in sizes) == 5000 and sum(r["size"] for r in sizes) == 225_000_000
+
+
+def test_chunks_of_odd_keys(spark):
+    """No key is a key, a null chunk is empty, equal numbers go by their bytes, a character may be cut; batches of two rows change nothing."""
+    rows = [(None, 1, b"b"), (None, 0, b"a"), ("k", 1, b"\xa9"), ("k", 0, b"\xc3"), ("k", 2, None), ("k", None, b"0"), ("d", 5, b"y"), ("d", 5, b"x"), ("e", 0, b""), ("bad", 0, b"\xff")]
+    chunks = spark.createDataFrame([(k, n, c and bytearray(c)) for k, n, c in rows], "exchange_id string, chunk_no int, chunk binary")
+    want = {None: "ab", "k": "0é", "d": "xy", "e": "", "bad": "\ufffd"}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("2", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            assert all({r[0]: r[1] for r in wire.whole_chunks(chunks, parts=parts).collect()} == want for parts in (None, 1, 3))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_bodies_are_read_where_they_lie(spark):
+    """Neither a shuffle nor a window: no task sorts the events of other bodies."""
+    data, seal = 'data: {"choices":[{"delta":{"content":"a"}}]}\n\n', "event: seal\ndata: %s\n\n"
+    bodies = {"plain": data * 2, "none": None, "late": data + seal % 1 + data, "first": seal % 1, "twice": data + seal % 1 + seal % 2, "pre": "event: pre-seal\ndata: p\n\n" + data}
+    out = wire.accumulated(spark.createDataFrame(list(bodies.items()), "exchange_id string, body string"), "chat-delta")
+    assert {r[0]: tuple(r)[1:] for r in out.collect()} == {
+        "plain": ("aa", None, False, False), "none": ("", None, False, False), "late": ("a", "1", True, False),
+        "first": ("", "1", False, False), "twice": ("a", "2", False, True), "pre": ("a", None, False, False),
+    }
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
 def test_scripted_deltas_read_back(spark):
     from assayer.operators import views
 
